@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: An ASCII word: what lies between spaces and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_BLOCK = 256
+
 _local_scratch: list[str] = []
 
 
@@ -47,21 +49,34 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
-def grouped_rank(df: DataFrame, group: list[str], bucket: list[str], tie: list[str], salts: int) -> DataFrame:
-    """Adds `rank_` (long, from 0) of each row in its group, by bucket, then by salt, then by tie.
+def salts_for(rows: int) -> int:
+    """Into how many parts grouped_rank() should split a bucket: one per 20,000 rows, 1,024 at most."""
+    return min(1024, 1 + rows // 20_000)
+
 
-    No task holds a whole group: rows are ranked within (group, bucket, salt), and the offsets come
-    from a cumulative sum over the counts, of which a group has at most buckets x salts. Group and
-    bucket columns must not be null. df is read twice: pass something cheap or materialized.
+def grouped_rank(
+    df: DataFrame, group: list[str], bucket: list[str], tie: list[str], salts: int, known: DataFrame | None = None
+) -> DataFrame:
+    """Adds `rank_` (long, from 0) of each row in its group: by bucket, then salt, then tie.
+
+    No task holds a whole group: rows are ranked within (group, bucket, salt) only, and offsets come
+    from cumulative sums over counts, of which a window holds a group's buckets or a bucket's salts.
+    Group and bucket columns must not be null. `known` may hold further columns by group, which then
+    come along. df is read twice: pass something cheap or materialized.
     """
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     keys = [*group, *bucket, "salt_"]
     salted = df.withColumn("salt_", F.pmod(F.xxhash64(*tie), F.lit(salts)).cast("int"))
-    before = Window.partitionBy(*group).orderBy(*bucket, "salt_").rowsBetween(Window.unboundedPreceding, -1)
+    parts = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
+    buckets = parts.groupBy(*group, *bucket).agg(F.sum("n_").alias("n_"))
+    first = F.coalesce(F.sum("n_").over(earlier(Window.partitionBy(*group).orderBy(*bucket))), F.lit(0))
+    buckets = buckets.withColumn("first_", first).drop("n_")
+    if known is not None:
+        buckets = buckets.join(known, group)
+    inside = F.coalesce(F.sum("n_").over(earlier(Window.partitionBy(*group, *bucket).orderBy("salt_"))), F.lit(0))
     offsets = (
-        salted.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_"))
-        .withColumn("offset_", F.coalesce(F.sum("n_").over(before), F.lit(0)))
-        .drop("n_")
+        parts.withColumn("inside_", inside).join(buckets, [*group, *bucket])
+        .withColumn("offset_", F.col("first_") + F.col("inside_")).drop("n_", "inside_", "first_")
     )
     own = Window.partitionBy(*keys).orderBy(*tie)
     return (
@@ -72,6 +87,22 @@ def grouped_rank(df: DataFrame, group: list[str], bucket: list[str], tie: list[s
     )
 
 
+def running_sums(lengths: Column) -> Column:
+    """For n lengths, the n + 1 sums of the first 0, 1, ... of them, in blocks of _BLOCK."""
+    zero = F.array(F.lit(0))
+
+    def sums(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.array(start), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+
+    count = F.ceil(F.size(lengths) / _BLOCK).cast("int")
+    blocks = F.when(F.size(lengths) == 0, F.array().cast("array<array<int>>")).otherwise(
+        F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK))
+    )
+    starts = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
+    inner = F.transform(blocks, lambda b, i: F.slice(sums(b, F.get(starts, i)), 2, _BLOCK))
+    return F.concat(zero, F.flatten(inner))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id of edges(a, b), both long; component is the smallest id reachable.
 

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlane.llm.common import running_sums
+
 # Possessive quantifiers and the lookbehinds keep scanning linear; they match what the plain forms
 # match. An e-mail may start inside a run of its characters only where the last match ended (\G).
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -29,8 +31,6 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
 
-_BLOCK = 256
-
 
 @dataclass(frozen=True)
 class Kind:
@@ -103,26 +103,10 @@ def _of_rank(rank: int) -> Callable[[Column], Column]:
     return lambda span: span["rank"] == rank
 
 
-def _running(lengths: Column) -> Column:
-    """For n lengths, the n + 1 sums of the first 0, 1, ... of them, in blocks of _BLOCK."""
-    zero = F.array(F.lit(0))
-
-    def sums(xs: Column, start: Column) -> Column:
-        return F.aggregate(xs, F.array(start), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-
-    count = F.ceil(F.size(lengths) / _BLOCK).cast("int")
-    blocks = F.when(F.size(lengths) == 0, F.array().cast("array<array<int>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK))
-    )
-    starts = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
-    inner = F.transform(blocks, lambda b, i: F.slice(sums(b, F.get(starts, i)), 2, _BLOCK))
-    return F.concat(zero, F.flatten(inner))
-
-
 def _spans_of(kind: Kind, text: Column, found: Column) -> Column:
     """array<struct<start, end, kind, rank, score>> of one kind, in order, from its matches."""
     gaps = F.slice(F.split(text, kind.pattern, -1), 1, F.size(found))
-    ends = F.slice(_running(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m))), 2, F.size(found))
+    ends = F.slice(running_sums(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m))), 2, F.size(found))
     good = F.filter(
         F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), e.alias("e"))), lambda x: _confirmed(kind, x["m"])
     )

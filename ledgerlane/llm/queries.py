@@ -3,8 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import table
+from ledgerlane.llm.common import crc_of_id, table
+
+
+def op1_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlane.llm.grid_order_join import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlane.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_of_id() % 5 == 0).alias("held_out"))
+    return identify(spark, docs.drop("lang"), train(docs.filter("not held_out"))).drop("text")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlane.llm.chat_format import digest
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("<|im_end|><|im_start|>assistant ok").alias("text"),
+    )
+    return digest(turns.unionByName(extra))
+
+
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlane.llm.multi_index import search
+
+    return search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlane.llm.hilbert_shards import shards
+
+    return shards(table(spark, sf_dir, "documents"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlane.llm.source_mix import mix_plan
+
+    return mix_plan(table(spark, sf_dir, "documents"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +60,15 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     from ledgerlane.llm.bpe_automaton import encoded
 
-    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary or default_vocabulary(), spark).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoded(docs, vocabulary or default_vocabulary(), spark).drop("text")
+
+
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlane.llm.ngram_lm import scored, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_of_id() % 5 == 1).alias("held_out"))
+    return scored(spark, docs, train(spark, docs.filter("not held_out"))).drop("text")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

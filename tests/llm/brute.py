@@ -68,3 +68,79 @@ def components(ids: list, linked) -> dict:
     for i, x in enumerate(ids):
         least[root(i)] = min(least.get(root(i), x), x)
     return {x: least[root(i)] for i, x in enumerate(ids)}
+
+
+def conversation(turns: list[tuple]) -> tuple:
+    """n_turns, turns_sha256, loss_chars, loss_sha256 of (turn, role, text) rows."""
+    rows = sorted((t, r or "", x or "") for t, r, x in turns)
+    said = "".join(f"{r}\n{x}\n" for _, r, x in rows)
+    loss = "".join(x for _, r, x in rows if r == "assistant")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return len(rows), sha(said), len(loss), sha(loss)
+
+
+def targets(sizes: dict) -> dict:
+    """Water-filling by repeated resharing; sizes by source (None last)."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    out, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / total > 3 * sizes[s]}
+        if not over:
+            return out | {s: left * weight[s] / total for s in free}
+        for s in over:
+            out[s] = 3.0 * sizes[s]
+        left -= sum(out[s] for s in over)
+        free -= over
+    return out
+
+
+def kneser_ney(train: list, texts: list) -> list[float]:
+    """log10 probability of each text under the interpolated modified Kneser-Ney bigram model."""
+    import math
+    from collections import Counter
+
+    def tokens(t):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        return [*re.findall(r"[^\x20\x09-\x0D]+", low), "</s>"]
+
+    pairs = Counter()
+    for t in train:
+        ws = tokens(t)
+        pairs.update(zip(["<s>", *ws], ws, strict=False))
+    contexts = Counter(w for _, w in pairs)
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+        if min(n[:3]) == 0:
+            return [0, 0.5, 1.0, 1.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+        return [0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True))]
+
+    high, low = discounts(pairs.values()), discounts(contexts.values())
+    total, vocabulary = sum(contexts.values()), len(contexts)
+    rest = sum(low[min(c, 3)] for c in contexts.values()) / total
+
+    def one(w):
+        c = contexts[w]
+        return (c - low[min(c, 3)]) / total + rest / (vocabulary + 1)
+
+    follow: dict = {}
+    for (v, w), c in pairs.items():
+        follow.setdefault(v, {})[w] = c
+
+    def two(v, w):
+        own = follow.get(v)
+        if not own:
+            return one(w)
+        n = sum(own.values())
+        c = own.get(w, 0)
+        return (c - high[min(c, 3)]) / n + sum(high[min(x, 3)] for x in own.values()) / n * one(w)
+
+    out = []
+    for t in texts:
+        ws = tokens(t)
+        out.append(sum(math.log10(two(v, w)) for v, w in zip(["<s>", *ws], ws, strict=False)))
+    return out
