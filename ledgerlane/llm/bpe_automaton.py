@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -67,6 +68,7 @@ class Automaton:
     group: np.ndarray  # the class of a label
     barred: np.ndarray  # bits (class, state), packed by state: no such arc
     special: dict[str, int]
+    dead: frozenset[int]  # labels without arcs
     cache: dict = field(default_factory=dict)
     by_id: dict = field(default_factory=dict)
     names: list = field(default_factory=list)
@@ -87,7 +89,7 @@ class Automaton:
                     node = nodes.setdefault(node * 256 + b, len(ends))
                     if node == len(ends):
                         ends.append(-1)
-                ends[node] = label
+                ends[node] = -1 if label in self.dead else label
             keys = np.array(sorted(nodes), dtype=np.int64)
             self.table = (keys, np.array([nodes[k] for k in keys.tolist()], dtype=np.int64), np.array(ends, dtype=np.int64))
         return self.table
@@ -167,15 +169,11 @@ class Automaton:
         for s in fresh & self.special.keys():
             cache[s] = (1, str(self.special[s]), s.encode())
         fresh -= self.special.keys()
-        short = [w for w in fresh if len(w) <= 16]
-        for k in range(0, len(short), _ABREAST):
-            chunk = short[k : k + _ABREAST]
-            cache.update(zip(chunk, self._learn(chunk), strict=True))
-        for w in sorted(fresh - set(short), key=len):
-            cache[w] = self._learn([w])[0] if len(w) > 256 else None
-        middle = [w for w in fresh if 16 < len(w) <= 256]
-        for k in range(0, len(middle), 256):
-            cache.update(zip(middle[k : k + 256], self._learn(middle[k : k + 256]), strict=True))
+        # Longer words in smaller lots, since a lot is padded to its longest word.
+        for least, most, lot in ((0, 16, _ABREAST), (16, 256, 256), (256, sys.maxsize, 1)):
+            some = [w for w in fresh if least < len(w) <= most]
+            for k in range(0, len(some), lot):
+                cache.update(zip(some[k : k + lot], self._learn(some[k : k + lot]), strict=True))
         got = [[cache[w] for w in ws] for ws in words]
         for w in fresh:
             if len(w) > 256:
@@ -216,10 +214,14 @@ def compile_merges(merges: list[tuple[bytes, bytes]], ids: dict[bytes, int], spe
     state, group = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
     led, held = [256], [256]  # labels that lead to a state; labels of a class
     barred = np.zeros((1024, 1024), dtype=bool)
+    dead: set[int] = set()
     for c, (left, right) in enumerate(merges, start=256):
         a, b = labels[left], labels[right]
         if labels.setdefault(left + right, c) != c:
             raise ValueError("two merges make one token")
+        if a in dead or b in dead or barred[group[b], state[a]]:
+            dead.add(c)  # no path has a, then b: the merge never applies
+            continue
         target, kind = state[b], group[a]
         old = state[a]
         if len(held) == barred.shape[0] or len(led) == barred.shape[1]:
@@ -246,7 +248,7 @@ def compile_merges(merges: list[tuple[bytes, bytes]], ids: dict[bytes, int], spe
     tokens = sorted(labels, key=labels.__getitem__)
     return Automaton(
         tokens, np.array([ids[t] for t in tokens], dtype=np.int64), state, group,
-        np.packbits(barred[: len(held), : len(led)], axis=1), special,
+        np.packbits(barred[: len(held), : len(led)], axis=1), special, frozenset(dead),
     )
 
 
@@ -263,35 +265,23 @@ def load(path: str) -> Automaton:
     return compile_merges([(raw(a), raw(b)) for a, b in merges], ids, special)
 
 
-def encoded(docs: DataFrame, vocabulary: str, spark: SparkSession) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256. vocabulary is read on the driver; the
-    compiled table (a few tens of MB, bounded by the vocabulary) is broadcast."""
+def encoded(docs: DataFrame, vocabulary: str, spark: SparkSession, with_ids: bool = False) -> DataFrame:
+    """docs with n_tokens, ids_sha256, decoded_sha256, and on request token_ids. vocabulary is read on
+    the driver; the compiled table (about 20 MB, bounded by the vocabulary) is broadcast."""
     shared = spark.sparkContext.broadcast(load(vocabulary))
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids]
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = shared.value
         for batch in texts:
             rows = []
             for parts in automaton.parts(list(batch)):
                 ids = ",".join([p[1] for p in parts])
-                rows.append((
-                    sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(),
-                    hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest(),
-                ))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                emitted = b"".join([p[2] for p in parts])
+                row = (sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(emitted).hexdigest())
+                rows.append((*row, np.array(ids.split(","), dtype=np.int32) if ids else np.zeros(0, np.int32)) if with_ids else row)
+            yield pd.DataFrame(rows, columns=names)
 
-    keep = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "bpe_")]
+    keep = [c for c in docs.columns if c not in (*names, "bpe_")]
     return docs.select(*keep, run(docs["text"]).alias("bpe_")).select(*keep, "bpe_.*")
-
-
-def token_ids(docs: DataFrame, vocabulary: str, spark: SparkSession) -> DataFrame:
-    """docs with token_ids array<int>."""
-    shared = spark.sparkContext.broadcast(load(vocabulary))
-
-    @F.pandas_udf("array<int>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([shared.value.encode(x) for x in batch], dtype=object)
-
-    return docs.withColumn("token_ids", run(docs["text"]))

@@ -160,6 +160,9 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, int]]:
         """Language, score and number of spans of each text."""
+        if not self.langs:
+            yield from [(UNKNOWN, 0.0, 0)] * len(texts)
+            return
         start = 0
         while start < len(texts):
             end, chars = start, 0
@@ -171,7 +174,7 @@ class Model:
             start = end
 
     def _verdict(self, path: np.ndarray, weight: np.ndarray) -> tuple[str, float, int]:
-        all_ = float(weight.sum()) if self.langs else 0.0
+        all_ = float(weight.sum())
         if not all_:
             return UNKNOWN, 0.0, 0
         got = np.bincount(path, weight, len(self.langs))
@@ -257,13 +260,15 @@ def label_spans(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame
 
 
 def spans_of(model: Model, text: str | None) -> list[dict]:
-    paths, weights = model.label([text])
     out: list[dict] = []
+    if not model.langs:
+        return out
+    paths, weights = model.label([text])
     # Lower-casing can lengthen a text, so offsets are taken where it doesn't.
     low = (text or "").lower()
     source = low if len(low) == len(text or "") else "".join(c if len(c.lower()) > 1 else c.lower() for c in text or "")
     for m, label, weight in zip(_WORDS.finditer(source), paths[0].tolist(), weights[0].tolist(), strict=False):
-        if not weight or not model.langs:
+        if not weight:
             continue
         if out and out[-1]["lang"] == model.langs[label]:
             out[-1]["end"] = m.end()
