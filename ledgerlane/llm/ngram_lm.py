@@ -38,16 +38,16 @@ from ledgerlane.llm.common import scratch
 
 #: Bytes of text a bucket stands for; entries a task gathers before it sorts and sends them; bytes of
 #: text scored together; a context is spread if it has more than this share of its bucket's tokens.
-BUCKET_BYTES, HELD, TOGETHER, SPREAD = 8 << 20, 4 << 20, 8 << 20, 0.05
+BUCKET_BYTES, HELD, TOGETHER, SPREAD = 8 << 20, 1 << 20, 4 << 20, 0.05
 END, START = (xxhash.xxh64_intdigest(b, 0) for b in (b"", b" "))
 _BLOBS = "bucket int, a binary, b binary, n binary"
 
 
-def hashes_of(text: str | None) -> list[int]:
+def hashes_of(text: str | None) -> np.ndarray:
     """The hashes of a text's tokens, the end token included."""
-    out = list(map(xxhash.xxh64_intdigest, (text or "").encode().lower().split()))
-    out.append(END)
-    return out
+    words = (text or "").encode().lower().split()
+    out = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    return np.append(out, np.uint64(END))
 
 
 def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -64,13 +64,14 @@ def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.
     if not len(n):
         return keys, n
     order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.zeros(len(order), dtype=bool)
+    keys, n = [k[order] for k in keys], n[order]
+    del order
+    new = np.zeros(len(n), dtype=bool)
     new[0] = True
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     starts = np.flatnonzero(new)
-    return [k[starts] for k in keys], np.add.reduceat(n[order], starts, axis=0)
+    return [k[starts] for k in keys], np.add.reduceat(n, starts, axis=0)
 
 
 def _blobs(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pd.DataFrame:
@@ -87,7 +88,10 @@ def _column(table: pa.Table, name: str, kind: str) -> np.ndarray:
 
 
 def _save(folder: str, name: str, array: np.ndarray) -> None:
+    """Writes an array under its name, whole or not at all; counts in the fewest bytes that hold them."""
     os.makedirs(folder, exist_ok=True)
+    if array.dtype != np.uint64 and array.size:
+        array = array.astype(np.min_scalar_type(array.max()))
     own = f"{folder}/.{name}-{uuid.uuid4().hex}.npy"
     np.save(own, array)
     os.replace(own, f"{folder}/{name}.npy")
@@ -151,7 +155,7 @@ class Model:
         """n_tokens, n_known, base_score and score of each text, for texts of bounded total length."""
         lists = [hashes_of(t) for t in texts]
         n = np.array([len(x) for x in lists])
-        word = np.array([h for x in lists for h in x], dtype=np.uint64)
+        word = np.concatenate(lists)
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
         context = np.empty_like(word)
         context[1:], context[first] = word[:-1], START
@@ -225,14 +229,14 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
 
     def words(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for held in _gathered(texts):
-            word = np.array([h for x in held for h in x], dtype=np.uint64)
+            word = np.concatenate(held)
             home = (word % np.uint64(buckets)).astype(np.int32)
             (home, word), n = summed([home, word], np.ones(len(word), dtype=np.int64))
-            yield _blobs(home, word, np.zeros(0, np.uint64), n)
+            yield _blobs(home, word, np.zeros(0, np.uint64), n.astype("<u4"))
 
     def store_words(key: tuple, table: pa.Table) -> pa.Table:
         b = key[0].as_py()
-        (word,), n = summed([_column(table, "a", "<u8")], _column(table, "n", "<i8"))
+        (word,), n = summed([_column(table, "a", "<u8")], _column(table, "n", "<u4").astype(np.int64))
         _save(folder, f"raw-key-{b}", word)
         _save(folder, f"raw-n-{b}", n)
         return pa.table({"b": [b], "tokens": [int(n.sum())], "words": [len(n)], "often": [word[n > often].tobytes()]})
@@ -244,7 +248,7 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     def pairs(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for held in _gathered(texts):
             n = np.array([len(x) for x in held])
-            word = np.array([h for x in held for h in x], dtype=np.uint64)
+            word = np.concatenate(held)
             context = np.empty_like(word)
             context[1:], context[np.concatenate([[0], np.cumsum(n)[:-1]])] = word[:-1], START
             bucket = _bucket_of(context, word, spread, buckets).astype(np.int32)
@@ -259,11 +263,11 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
         hashed = mixed(context, word)
         order = np.argsort(hashed)
         _save(folder, f"pair-key-{b}", hashed[order])
-        _save(folder, f"pair-n-{b}", n[order].astype(np.uint32))
+        _save(folder, f"pair-n-{b}", n[order])
         (owner,), stats = summed([context], np.stack([n, n == 1, n == 2, n >= 3], axis=1).astype(np.int64))
         wide = _among(owner, spread)
         _save(folder, f"context-key-{b}", owner[~wide])
-        _save(folder, f"context-n-{b}", stats[~wide].astype(np.uint32))
+        _save(folder, f"context-n-{b}", stats[~wide])
         home = (word % np.uint64(buckets)).astype(np.int32)
         (home, word), times = summed([home, word], np.ones(len(word), dtype=np.int64))
         parts = [_blobs(home, word, np.zeros(0, np.uint64), times.astype("<u4")).assign(kind="low")]
@@ -279,7 +283,7 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
         of = lambda kind: table.filter(pc.equal(table["kind"], kind))
         (word,), times = summed([_column(of("low"), "a", "<u8")], _column(of("low"), "n", "<u4").astype(np.int64))
         _save(folder, f"low-key-{b}", word)
-        _save(folder, f"low-n-{b}", times.astype(np.uint32))
+        _save(folder, f"low-n-{b}", times)
         (owner,), stats = summed([_column(of("spread"), "a", "<u8")], _column(of("spread"), "n", "<i8").reshape(-1, 4))
         _save(folder, f"spread-key-{b}", owner)
         _save(folder, f"spread-n-{b}", stats)
@@ -303,7 +307,7 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     )
 
 
-def _gathered(texts: Iterator[pd.DataFrame]) -> Iterator[list[list[int]]]:
+def _gathered(texts: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
     """Token hashes of documents, in lists of about HELD tokens."""
     held, size = [], 0
     for batch in texts:
