@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +34,9 @@ def scratch(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not _local_scratch:
-        _local_scratch.append("file://" + tempfile.mkdtemp(prefix="ledgerlane-"))
+        folder = tempfile.mkdtemp(prefix="ledgerlane-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_scratch.append(f"file://{folder}")
     return _local_scratch[0]
 
 
@@ -44,6 +48,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the shared folder's tables and models of all programs that use it; results that are read
+    from them must have been saved before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/ledgerlane")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_of_id(doc_id: str = "doc_id") -> Column:
     """crc32 of doc_id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
