@@ -100,20 +100,20 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return chunks.groupBy("conv_id").agg(joined("chunk", "written").alias("formatted"))
 
 
-def loss_spans(formatted: Column, role: str = "assistant") -> Column:
-    """array<struct<start, end>>: code points of a formatted conversation that training counts."""
-    pieces = _pieces(formatted)
-    ends = running_sums(F.transform(pieces, lambda p: F.length(p) + len(START)))
-    marked = F.transform(
-        pieces,
-        lambda p, i: F.struct(
-            (F.get(ends, i) + len(START) + F.instr(p, "\n")).alias("start"),
-            (F.get(ends, i) + len(START) + F.instr(p, END) - 1).alias("end"),
+def with_loss_spans(formatted: DataFrame, role: str = "assistant") -> DataFrame:
+    """formatted(formatted, ...) with loss_spans: array<struct<start, end>>, the code points of a
+    conversation that training counts."""
+    pieced = formatted.withColumn("pieces_", _pieces(F.col("formatted")))
+    stepped = pieced.withColumn("steps_", F.transform("pieces_", lambda p: F.length(p) + len(START)))
+    marked = F.zip_with(
+        F.col("pieces_"), F.slice(running_sums(F.col("steps_")), 1, F.size("pieces_")),
+        lambda p, at: F.struct(
+            (at + len(START) + F.instr(p, "\n")).alias("start"), (at + len(START) + F.instr(p, END) - 1).alias("end"),
             _turn(p)["role"].alias("role"),
         ),
     )
-    own = F.filter(marked, lambda x: x["role"] == role)
-    return F.transform(own, lambda x: F.struct(x["start"], x["end"]))
+    own = F.transform(F.filter(marked, lambda x: x["role"] == role), lambda x: F.struct(x["start"], x["end"]))
+    return stepped.withColumn("loss_spans", own).drop("pieces_", "steps_")
 
 
 def digest(turns: DataFrame) -> DataFrame:

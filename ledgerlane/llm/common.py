@@ -56,6 +56,17 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def aside(df: DataFrame, *needed: str) -> DataFrame:
+    """df with every column renamed in_<name>, and the needed ones again under their own names, so that
+    working columns cannot clash with what the input brings along."""
+    return df.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in df.columns], *needed)
+
+
+def back(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns that aside() renamed, under their first names; those in new replaced."""
+    return df.select(*[new.get(c, F.col(f"`in_{c}`")).alias(c) for c in columns])
+
+
 def crc_of_id(doc_id: str = "doc_id") -> Column:
     """crc32 of doc_id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
@@ -100,8 +111,8 @@ def grouped_rank(
 
 
 def running_sums(lengths: Column) -> Column:
-    """For n lengths, the n + 1 sums of the first 0, 1, ... of them, in blocks of _BLOCK."""
-    zero = F.array(F.lit(0))
+    """For n lengths, the n + 1 sums of the first 0, 1, ... of them, in blocks of _BLOCK, so that
+    appending stays cheap. lengths must be a column, not an expression: a lambda reads it."""
 
     def sums(xs: Column, start: Column) -> Column:
         return F.aggregate(xs, F.array(start), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
@@ -111,8 +122,8 @@ def running_sums(lengths: Column) -> Column:
         F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK))
     )
     starts = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
-    inner = F.transform(blocks, lambda b, i: F.slice(sums(b, F.get(starts, i)), 2, _BLOCK))
-    return F.concat(zero, F.flatten(inner))
+    inner = F.zip_with(blocks, F.slice(starts, 1, F.greatest(count, F.lit(0))), lambda b, s: F.slice(sums(b, s), 2, _BLOCK))
+    return F.concat(F.array(F.lit(0)), F.flatten(inner))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

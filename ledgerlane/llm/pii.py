@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import running_sums
+from ledgerlane.llm.common import aside, back, running_sums
 
 # Possessive quantifiers and the lookbehinds keep scanning linear; they match what the plain forms
 # match. An e-mail may start inside a run of its characters only where the last match ended (\G).
@@ -103,10 +103,10 @@ def _of_rank(rank: int) -> Callable[[Column], Column]:
     return lambda span: span["rank"] == rank
 
 
-def _spans_of(kind: Kind, text: Column, found: Column) -> Column:
-    """array<struct<start, end, kind, rank, score>> of one kind, in order, from its matches."""
-    gaps = F.slice(F.split(text, kind.pattern, -1), 1, F.size(found))
-    ends = F.slice(running_sums(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m))), 2, F.size(found))
+def _spans_of(kind: Kind, text: Column, found: Column, steps: Column) -> Column:
+    """array<struct<start, end, kind, rank, score>> of one kind, in order, from its matches and the
+    length of each with the gap before it."""
+    ends = F.slice(running_sums(steps), 2, F.size(found))
     good = F.filter(
         F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), e.alias("e"))), lambda x: _confirmed(kind, x["m"])
     )
@@ -128,18 +128,28 @@ def detect(docs: DataFrame) -> DataFrame:
     """docs with pii: array<struct<start, end, kind, rank, score>>, by start, then kind as listed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,kind:string,rank:int,score:double>>")
-    # Each step is a projection of its own, so that matches are searched for once.
-    found = docs.withColumns({
+    # Each step is a projection of its own, so that matches are searched for once and lambdas read
+    # columns instead of evaluating expressions again and again.
+    matches = docs.withColumns({
         f"pii_{k.name}_": F.when(F.rlike(text, F.lit(k.hint)), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)))
         for k in KINDS
     })
+    steps = {}
+    for k in KINDS:
+        found = F.col(f"pii_{k.name}_")
+        gaps = F.slice(F.split(text, k.pattern, -1), 1, F.size(found))
+        lengths = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m))
+        steps[f"pii_{k.name}_steps_"] = F.when(F.exists(found, _test(k)), lengths)
+    stepped = matches.withColumns(steps)
     parts = [
-        F.when(F.exists(f"pii_{k.name}_", _test(k)), _spans_of(k, text, F.col(f"pii_{k.name}_"))).otherwise(none)
+        F.when(F.col(f"pii_{k.name}_steps_").isNotNull(), _spans_of(k, text, F.col(f"pii_{k.name}_"), F.col(f"pii_{k.name}_steps_"))).otherwise(none)
         for k in KINDS
     ]
-    listed = found.withColumn("pii_all_", F.concat(*parts))
+    listed = stepped.withColumn("pii_all_", F.concat(*parts))
     in_order = F.array_sort(F.transform("pii_all_", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x.alias("s"))))
-    return listed.withColumn("pii", F.transform(in_order, lambda x: x["s"])).drop("pii_all_", *[f"pii_{k.name}_" for k in KINDS])
+    return listed.withColumn("pii", F.transform(in_order, lambda x: x["s"])).drop(
+        "pii_all_", *[f"pii_{k.name}_{x}" for k in KINDS for x in ("", "steps_")]
+    )
 
 
 def _listed(found: Column) -> Column:
@@ -149,7 +159,7 @@ def _listed(found: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs, same columns, with the union of all spans of each text replaced by [KIND]; overlapping
     spans become one, named for the first."""
-    found = detect(docs)
+    found = detect(aside(docs, "text"))
     merged = F.aggregate(
         F.col("pii"),
         F.array().cast("array<struct<start:int,end:int,kind:string>>"),
@@ -178,11 +188,8 @@ def redact(docs: DataFrame) -> DataFrame:
     )
     tail = F.substr(F.col("text"), F.element_at("merged_", -1)["end"] + 1)
     cleaned = F.concat(F.array_join(pieces, ""), tail)
-    return (
-        found.withColumn("merged_", merged)
-        .withColumn("text", F.when(F.size("merged_") > 0, cleaned).otherwise(F.col("text")))
-        .select(*docs.columns)
-    )
+    whole = F.when(F.size("merged_") > 0, cleaned).otherwise(F.col("text"))
+    return back(found.withColumn("merged_", merged), docs.columns, text=whole)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ledgerlane.llm.common import connected_components, materialize
+from ledgerlane.llm.common import aside, back, connected_components, materialize
 
 WORDS, SEED, MAX_BITS, SEGMENTS = 3, 42, 2, 16
 _CHUNK = 1 << 16
@@ -123,7 +123,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         .distinct()
     )
     # Distinct texts under one null id keep their own hash, so the pair tells rows apart.
-    rows = docs.withColumn("row_hash_", F.xxhash64("text"))
-    kept = rows.join(winners, (rows["row_hash_"] == winners["hash_"]) & rows["doc_id"].eqNullSafe(winners["id_"]))
+    rows = aside(docs, "doc_id", F.xxhash64("text").alias("row_hash_"))
+    kept = rows.join(winners, (F.col("row_hash_") == F.col("hash_")) & F.col("doc_id").eqNullSafe(F.col("id_")))
     one = Window.partitionBy("row_hash_", "doc_id").orderBy("row_hash_")
-    return kept.withColumn("nth_", F.row_number().over(one)).filter("nth_ = 1").select(*docs.columns)
+    return back(kept.withColumn("nth_", F.row_number().over(one)).filter("nth_ = 1"), docs.columns)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import WORD, grouped_rank, materialize, salts_for
+from ledgerlane.llm.common import WORD, aside, back, grouped_rank, materialize, salts_for
 
 WEIGHTS, MOST, SEED, OFFERS = (5, 2, 1), 3, 42, 32
 
@@ -102,9 +102,7 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixture: docs, same columns, each row as often as it is taken."""
-    rows = sized(docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns], "doc_id", "source", "text")).drop("text")
+    rows = sized(aside(docs, "doc_id", "source", "text")).drop("text")
     plan = planned(rows, _narrow(docs))
-    return plan.filter("copies > 0").select(
-        *[F.col(f"in_{c}").alias(c) for c in docs.columns],
-        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("nth_"),
-    ).drop("nth_")
+    often = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return back(plan.filter("copies > 0").withColumn("nth_", often), docs.columns)

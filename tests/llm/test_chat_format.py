@@ -3,7 +3,7 @@ import random
 import brute
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.chat_format import END, START, digest, escape, format_conversations, loss_spans, parse, unescape
+from ledgerlane.llm.chat_format import END, START, digest, escape, format_conversations, parse, unescape, with_loss_spans
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted string"
 BITS = ["<", "|", "\\", "im_start", "im_end", ">", "<|", "|>", START, END, "<\\|", "<\\\\|", "\n", "é😀", " ", "$1"]
@@ -37,7 +37,7 @@ def test_escape_is_reversible_and_hides_marks(spark):
 
 def test_plain_texts_are_not_escaped_and_loss_spans_fit(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a < b", ""), (1, 1, "assistant", "né 😀", ""), (1, 2, "assistant", "", "")], SCHEMA)
-    r = format_conversations(turns).select("formatted", loss_spans(F.col("formatted")).alias("spans"), parse(F.col("formatted")).alias("turns")).first()
+    r = with_loss_spans(format_conversations(turns)).select("formatted", F.col("loss_spans").alias("spans"), parse(F.col("formatted")).alias("turns")).first()
     assert r["formatted"] == "<|im_start|>user\na < b<|im_end|>\n<|im_start|>assistant\nné 😀<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [r["formatted"][s["start"] : s["end"]] for s in r["spans"]] == ["né 😀", ""]
     assert [t["text"] for t in r["turns"]] == ["a < b", "né 😀", ""]
