@@ -61,7 +61,7 @@ def test_vector_operators_on_empty_tables(spark):
 def test_search_recall_and_order(spark):
     data = rows(1500, seed=4)
     got = {}
-    for r in search(spark, spark.createDataFrame([*data, *ODD], SCHEMA), F.col("vec_id") % 15 == 0, k=10, enough=700).collect():
+    for r in search(spark, spark.createDataFrame([*data, *ODD], SCHEMA), F.col("vec_id") % 15 == 0, k=10).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     m = np.array([r[1] for r in data], dtype=np.float64)
     ids = np.array([r[0] for r in data])
