@@ -48,8 +48,9 @@ def _filled(letters: str, numbers: str, space: str) -> str:
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LOW_CLASSES = (r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0")
 _HIGH = re.compile(r"[^\x00-\xff]")
-#: Words kept by a worker, characters of text whose new words are learned together, words abreast.
-_CACHE, _TOGETHER, _ABREAST = 1 << 19, 4 << 20, 1 << 14
+#: Words kept by a worker, characters of text whose new words are learned together, words abreast,
+#: tokens sent back together.
+_CACHE, _TOGETHER, _ABREAST, _SENT = 1 << 18, 2 << 20, 1 << 14, 1 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -275,12 +276,16 @@ def encoded(docs: DataFrame, vocabulary: str, spark: SparkSession, with_ids: boo
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = shared.value
         for batch in texts:
-            rows = []
+            rows, tokens = [], 0
             for parts in automaton.parts(list(batch)):
                 ids = ",".join([p[1] for p in parts])
                 emitted = b"".join([p[2] for p in parts])
                 row = (sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(emitted).hexdigest())
-                rows.append((*row, np.array(ids.split(","), dtype=np.int32) if ids else np.zeros(0, np.int32)) if with_ids else row)
+                rows.append((*row, np.fromstring(ids, dtype=np.int32, sep=",")) if with_ids else row)
+                tokens += row[0]
+                if tokens >= _SENT:  # in parts, so that few ids are held at a time
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, tokens = [], 0
             yield pd.DataFrame(rows, columns=names)
 
     keep = [c for c in docs.columns if c not in (*names, "bpe_")]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 BUCKET_BITS, SMOOTHING, SWITCH, SCRIPT_SHARE = 15, 0.5, 8.0, 0.01
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE, _TOGETHER = 1 << 19, 16 << 20
+_CACHE, _TOGETHER = 1 << 18, 16 << 20
 
 #: First code points of ranges, and the script of each (0: letters of no listed script).
 SCRIPT_RANGES = (
@@ -107,6 +107,10 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}, "scores": []}
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.scores.clear()
+
     def _score(self, words: list[str]) -> np.ndarray:
         letters = [_letters(w) for w in words]
         out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
@@ -126,8 +130,7 @@ class Model:
         """The numbers of each text's words in the table of word scores."""
         known = self.known
         if len(known) > _CACHE:
-            known.clear()
-            self.scores.clear()
+            self.forget()
         out, fresh = [], []
         for text in texts:
             words = words_of(text)
@@ -241,6 +244,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame(list(shared.value.predict(list(batch))), columns=["lang_pred", "score", "n_spans"])
+        shared.value.forget()  # a worker lives on after its task
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "n_spans", "lid_")]
     return docs.select(*keep, run(docs["text"]).alias("lid_")).select(*keep, "lid_.*")
