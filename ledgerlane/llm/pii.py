@@ -6,6 +6,8 @@ sum runs in blocks, so that a text with very many matches costs little more than
 
 Kinds: email; ip (parts at most 255); card (14 to 19 digits, Luhn); phone (10 to 15 digits after a
 plus); and, beyond these four, iban (country, check digits, 11 to 30 further characters, mod 97 = 1).
+What follows an account number may look like more of it, so of the prefixes that end at a word's end
+the one of its country's length is taken, else the longest that passes; the search goes on after it.
 Offsets are code points, end exclusive. A span's score is its kind's base score, plus 0.1 when one of
 the kind's words stands in the 40 characters before it, less 0.1 when a word of another use does.
 
@@ -29,7 +31,20 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# Only the first four characters are consumed; the group is the longest candidate from there.
+_IBAN = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}"
+_IBAN_HEAD = 4
+
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 "
+        "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+        "LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 "
+        "SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 
 
 @dataclass(frozen=True)
@@ -80,6 +95,17 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), step) == 1
 
 
+def _account(s: Column) -> Column:
+    """The confirmed prefix of a candidate, or null."""
+    words = F.split(s, " ")
+    prefixes = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+    bare = lambda p: F.length(F.replace(p, F.lit(" "), F.lit("")))
+    good = F.filter(prefixes, lambda p: F.when(bare(p).between(15, 34), _mod97(p)).otherwise(False))
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    fits = F.filter(good, lambda p: F.coalesce(bare(p) == F.try_element_at(lengths, F.substring(p, 1, 2)), F.lit(False)))
+    return F.get(F.concat(fits, good), 0)
+
+
 def _confirmed(kind: Kind, s: Column) -> Column:
     n = F.length(_digits(s))
     if kind.name == "ip":
@@ -90,34 +116,51 @@ def _confirmed(kind: Kind, s: Column) -> Column:
     if kind.name == "phone":
         return n.between(10, 15)
     if kind.name == "iban":
-        bare = F.length(F.replace(s, F.lit(" "), F.lit("")))
-        return F.when(bare.between(15, 34), _mod97(s)).otherwise(False)
+        return s.isNotNull()  # detect() has replaced candidates by what is confirmed of them
     return F.lit(True)
 
 
+def _consumed(kind: Kind, match: Column) -> Column:
+    """How many characters of the text the pattern takes for a match."""
+    return F.lit(_IBAN_HEAD) if kind.name == "iban" else F.length(match)
+
+
+def _apart(spans: Column) -> Column:
+    """Spans in order, without those that begin before the end of one that is kept."""
+    none = F.slice(spans, 1, 0)
+    last = lambda a: F.try_element_at(a, F.lit(-1))["end"]
+    kept = F.aggregate(spans, none, lambda a, x: F.when(x["start"] < last(a), a).otherwise(F.array_append(a, x)))
+    met = F.exists(F.zip_with(spans, F.slice(spans, 2, F.size(spans)), lambda x, y: x["end"] > y["start"]), lambda x: F.coalesce(x, F.lit(False)))
+    return F.when(met, kept).otherwise(spans)
+
+
 def _test(kind: Kind) -> Callable[[Column], Column]:
     return lambda match: _confirmed(kind, match)
 
 
+def _step(kind: Kind) -> Callable[[Column, Column], Column]:
+    return lambda gap, match: F.length(gap) + _consumed(kind, match)
+
+
 def _of_rank(rank: int) -> Callable[[Column], Column]:
     return lambda span: span["rank"] == rank
 
 
 def _spans_of(kind: Kind, text: Column, found: Column, steps: Column) -> Column:
-    """array<struct<start, end, kind, rank, score>> of one kind, in order, from its matches and the
-    length of each with the gap before it."""
+    """array<struct<start, end, kind, rank, score>> of one kind, in order, from its matches and what
+    each consumes of the text with the gap before it."""
     ends = F.slice(running_sums(steps), 2, F.size(found))
     good = F.filter(
         F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), e.alias("e"))), lambda x: _confirmed(kind, x["m"])
     )
 
     def scored(x: Column) -> Column:
-        start = x["e"] - F.length(x["m"])
+        start = x["e"] - _consumed(kind, x["m"])
         before = F.lower(F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40))))
         near = F.when(F.rlike(before, F.lit(rf"\b(?:{kind.near})")), 0.1).otherwise(0.0)
         far = F.when(F.rlike(before, F.lit(rf"\b(?:{kind.far})")), 0.1).otherwise(0.0)
         return F.struct(
-            start.alias("start"), x["e"].alias("end"), F.lit(kind.name).alias("kind"),
+            start.alias("start"), (start + F.length(x["m"])).alias("end"), F.lit(kind.name).alias("kind"),
             F.lit(KINDS.index(kind)).alias("rank"), F.round(F.lit(kind.score) + near - far, 2).alias("score"),
         )
 
@@ -131,21 +174,22 @@ def detect(docs: DataFrame) -> DataFrame:
     # Each step is a projection of its own, so that matches are searched for once and lambdas read
     # columns instead of evaluating expressions again and again.
     matches = docs.withColumns({
-        f"pii_{k.name}_": F.when(F.rlike(text, F.lit(k.hint)), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)))
+        f"pii_{k.name}_": F.when(F.rlike(text, F.lit(k.hint)), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(int(k.name == "iban"))))
         for k in KINDS
     })
+    matches = matches.withColumn("pii_iban_", F.transform("pii_iban_", _account))
     steps = {}
     for k in KINDS:
         found = F.col(f"pii_{k.name}_")
         gaps = F.slice(F.split(text, k.pattern, -1), 1, F.size(found))
-        lengths = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m))
+        lengths = F.zip_with(gaps, found, _step(k))
         steps[f"pii_{k.name}_steps_"] = F.when(F.exists(found, _test(k)), lengths)
     stepped = matches.withColumns(steps)
     parts = [
         F.when(F.col(f"pii_{k.name}_steps_").isNotNull(), _spans_of(k, text, F.col(f"pii_{k.name}_"), F.col(f"pii_{k.name}_steps_"))).otherwise(none)
         for k in KINDS
     ]
-    listed = stepped.withColumn("pii_all_", F.concat(*parts))
+    listed = stepped.withColumn("pii_iban_", parts.pop()).withColumn("pii_all_", F.concat(*parts, _apart(F.col("pii_iban_"))))
     in_order = F.array_sort(F.transform("pii_all_", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x.alias("s"))))
     return listed.withColumn("pii", F.transform(in_order, lambda x: x["s"])).drop(
         "pii_all_", *[f"pii_{k.name}_{x}" for k in KINDS for x in ("", "steps_")]

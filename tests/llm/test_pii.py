@@ -1,4 +1,5 @@
 import random
+import re
 
 import brute
 
@@ -40,6 +41,30 @@ def test_iban_is_added_and_context_moves_the_score(make_docs, by_id):
     assert [k.name for k in KINDS][:4] == ["email", "ip", "card", "phone"]
 
 
+def test_ibans_before_capitals_digits_and_other_ibans(make_docs, by_id):
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    rest = ["", " Please confirm", " BIC: COBADEFFXXX", " 2024-01-01", " I paid", f" {de} X", f" {gb} 7", f" {no} {no} A", " AB12 CD", "."]
+    texts = [f"to {x}{r}" for x in (de, gb, no) for r in rest] + [f"{de}{de}", f"{de}x", f"x{de}", "DE88370400440532013000 Please"]
+    got = by_id(detect(make_docs(list(enumerate(texts)))))
+    for i, t in enumerate(texts[:-4]):
+        want = sorted((m.start(), m.end()) for x in (de, gb, no) for m in re.finditer(x, t))
+        assert [(s["start"], s["end"]) for s in got[i]["pii"] if s["kind"] == "iban"] == want, t
+    assert all(s["kind"] != "iban" for i in range(len(texts) - 4, len(texts)) for s in got[i]["pii"])
+    redacted = by_id(redact(make_docs([(1, f"{de} Please, {gb} I paid, {de} {gb} {no} 12")])))[1]["text"]
+    assert redacted == "[IBAN] Please, [IBAN] I paid, [IBAN] [IBAN] [IBAN] 12"
+
+
+def test_iban_of_no_known_country_and_many_ibans(make_docs, by_id):
+    """Without a length of its country the longest prefix that passes is taken."""
+    bare = "ZZ00" + "1" * 16
+    digits = int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4]))
+    zz = f"ZZ{98 - digits % 97:02d}" + bare[4:]
+    got = by_id(digest(make_docs([(1, f"{zz} Or"), (2, "DE89370400440532013000 " * 5000)])))
+    assert got[1]["spans"].split(",")[-1] == "iban:0:20"
+    ibans = [x for x in got[2]["spans"].split(",") if x.startswith("iban")]
+    assert ibans == [f"iban:{23 * i}:{23 * i + 22}" for i in range(5000)]
+
+
 def test_redact_replaces_the_union_of_spans(make_docs, by_id):
     docs = make_docs([(1, "mail a@b.co, ip 10.0.0.1!"), (2, None), (3, ""), (4, "clean text 12"), (5, "+1 415 555 01.2.3.4x"), (6, "é😀 a@b.co")])
     out = redact(docs)
