@@ -4,13 +4,18 @@ Training counts hashed character trigrams of words (with their borders) per lang
 rows, and the scripts that each language is written in. To label a text, every word's script narrows
 the languages to those that use it, its trigrams give a log-likelihood per language, and Viterbi with
 a penalty for switching finds the most likely language of each word; runs of one language are spans.
-The text's language is the one with most letters; its score is the share of letters that got it.
+The text's language is the one with most letters; its score is the share of letters that got it. Its
+fit tells whether the text looks like that language at all: how far the mean log-likelihood of its
+words' trigrams lies above the middle between that of all labelled rows of the language and that of
+the nearest other one (or of random trigrams), in standard errors; far below 0 is no known language.
+No word counts for less than WORST standard deviations a letter, so that a key or an address in a
+short text doesn't outweigh its words.
 
 The model is a table of languages x 2^15 counts, so what comes to the driver and goes to the workers
 is bounded by the number of languages. Viterbi advances many texts together, position by position.
 
-Edge cases: a null text or one without letters is `und` with score 0; words of a script that no
-language uses count for none; without any training row every text is `und`; ties go to the first
+Edge cases: a null text or one without letters is `und` with score and fit 0; words of a script that
+no language uses count for none, so a text of such words alone has score 0 and no span; without any training row every text is `und`; ties go to the first
 language by code; null labels are not learned from; repeated rows count as often as they occur; very
 long texts are read whole; input columns stay, but one with the name of an output is replaced.
 """
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 BUCKET_BITS, SMOOTHING, SWITCH, SCRIPT_SHARE = 15, 0.5, 8.0, 0.01
+WORST = 1.5
 _WORDS = re.compile(r"[^\W\d_]+")
 _CACHE, _TOGETHER = 1 << 18, 16 << 20
 
@@ -101,6 +107,8 @@ class Model:
     langs: list[str]
     weights: np.ndarray  # float32 (2^15, languages): log-probabilities
     uses: np.ndarray  # bool (scripts, languages)
+    middle: np.ndarray  # mean log-likelihood between own and other text, by language
+    spread: np.ndarray  # standard deviation of a trigram's log-likelihood in own text, by language
     known: dict = field(default_factory=dict)
     scores: list = field(default_factory=list)
 
@@ -126,6 +134,10 @@ class Model:
         out[full] = np.where(can.any(axis=1, keepdims=True), sums, 0)
         return out
 
+    def _written(self, words: list[str]) -> np.ndarray:
+        """Whether any language uses a word's script."""
+        return self.uses.any(axis=1)[scripts([_letters(w) or w for w in words])]
+
     def _numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's words in the table of word scores."""
         known = self.known
@@ -147,24 +159,30 @@ class Model:
             out.append(np.array(numbers, dtype=np.int32))
         if fresh:
             letters = np.array([sum(map(str.isalpha, w)) for w in fresh], dtype=np.float32)
-            self.scores.append((self._score(fresh), letters))
+            self.scores.append((self._score(fresh), letters, letters * self._written(fresh)))
             if len(self.scores) > 1:
                 self.scores[:] = [tuple(np.concatenate(x) for x in zip(*self.scores, strict=True))]
         return out
 
-    def label(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each text the language number of each word, and each word's letters."""
+    def label(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """For each text the language number of each word, each word's letters, and these again, but 0
+        for words that no language can write."""
+        return self._labelled(texts)[1:]
+
+    def _labelled(self, texts: list[str | None]) -> tuple[list[np.ndarray], ...]:
+        """What label() gives, after the numbers of the words."""
         numbers = self._numbers(texts)
         if not self.scores:
-            return [np.zeros(0, np.int32) for _ in texts], [np.zeros(0, np.float32) for _ in texts]
-        scores, letters = self.scores[0]
+            none = [np.zeros(0, np.float32) for _ in texts]
+            return numbers, [np.zeros(0, np.int32) for _ in texts], none, none
+        scores, letters, own = self.scores[0]
         paths = viterbi(numbers, scores, SWITCH)
-        return paths, [letters[n] for n in numbers]
+        return numbers, paths, [letters[n] for n in numbers], [own[n] for n in numbers]
 
-    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, int]]:
-        """Language, score and number of spans of each text."""
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, int, float]]:
+        """Language, score, number of spans and fit of each text."""
         if not self.langs:
-            yield from [(UNKNOWN, 0.0, 0)] * len(texts)
+            yield from [(UNKNOWN, 0.0, 0, 0.0)] * len(texts)
             return
         start = 0
         while start < len(texts):
@@ -172,17 +190,24 @@ class Model:
             while end < len(texts) and (end == start or chars < _TOGETHER):
                 chars += len(texts[end] or "")
                 end += 1
-            for path, weight in zip(*self.label(texts[start:end]), strict=True):
-                yield self._verdict(path, weight)
+            for n, path, letters, own in zip(*self._labelled(texts[start:end]), strict=True):
+                yield self._verdict(n, path, letters, own)
             start = end
 
-    def _verdict(self, path: np.ndarray, weight: np.ndarray) -> tuple[str, float, int]:
-        all_ = float(weight.sum())
+    def _verdict(self, numbers: np.ndarray, path: np.ndarray, letters: np.ndarray, own: np.ndarray) -> tuple[str, float, int, float]:
+        all_ = float(letters.sum())
         if not all_:
-            return UNKNOWN, 0.0, 0
-        got = np.bincount(path, weight, len(self.langs))
+            return UNKNOWN, 0.0, 0, 0.0
+        got = np.bincount(path, own, len(self.langs))
         best = int(got.argmax())
-        return self.langs[best], float(got[best]) / all_, 1 + int(np.count_nonzero(np.diff(path[weight > 0])))
+        n = float(got[best])  # a word has as many trigrams as letters
+        if not n:
+            return self.langs[best], 0.0, 0, 0.0
+        mine = numbers[(path == best) & (own > 0)]
+        scores, letters, _ = self.scores[0]
+        above = (scores[mine, best] - letters[mine] * self.middle[best]) / self.spread[best]
+        fit = float(np.maximum(above, -WORST * letters[mine]).sum(dtype=np.float64)) / n**0.5
+        return self.langs[best], n / all_, 1 + int(np.count_nonzero(np.diff(path[own > 0]))), fit
 
 
 def viterbi(numbers: list[np.ndarray], scores: np.ndarray, switch: float) -> list[np.ndarray]:
@@ -233,20 +258,27 @@ def train(labelled: DataFrame) -> Model:
     tri, script = n[: 1 << BUCKET_BITS], n[1 << BUCKET_BITS :]
     weights = np.log((tri + SMOOTHING) / (tri.sum(axis=0) + SMOOTHING * len(tri)))
     uses = script >= SCRIPT_SHARE * script.sum(axis=0)
-    return Model(langs, weights.astype(np.float32), uses & (script > 0))
+    # What the counts tell of the log-likelihood of each language's rows (across) under each (down).
+    share = tri / np.maximum(tri.sum(axis=0), 1)
+    under = weights.T @ share
+    own = np.diag(under)
+    other = np.where(np.eye(len(langs), dtype=bool), -np.inf, under).max(axis=1, initial=-np.inf)
+    middle = (own + np.maximum(other, weights.mean(axis=0))) / 2
+    spread = np.sqrt(np.maximum((share * (weights - own) ** 2).sum(axis=0), 1e-6))
+    return Model(langs, weights.astype(np.float32), uses & (script > 0), middle, spread)
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and n_spans."""
+    """docs with lang_pred, score, n_spans and fit."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, n_spans int")
+    @F.pandas_udf("lang_pred string, score double, n_spans int, fit double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame(list(shared.value.predict(list(batch))), columns=["lang_pred", "score", "n_spans"])
+            yield pd.DataFrame(list(shared.value.predict(list(batch))), columns=["lang_pred", "score", "n_spans", "fit"])
         shared.value.forget()  # a worker lives on after its task
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "n_spans", "lid_")]
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "n_spans", "fit", "lid_")]
     return docs.select(*keep, run(docs["text"]).alias("lid_")).select(*keep, "lid_.*")
 
 
@@ -267,7 +299,7 @@ def spans_of(model: Model, text: str | None) -> list[dict]:
     out: list[dict] = []
     if not model.langs:
         return out
-    paths, weights = model.label([text])
+    paths, _, weights = model.label([text])
     # Lower-casing can lengthen a text, so offsets are taken where it doesn't.
     low = (text or "").lower()
     source = low if len(low) == len(text or "") else "".join(c if len(c.lower()) > 1 else c.lower() for c in text or "")

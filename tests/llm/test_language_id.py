@@ -67,3 +67,19 @@ def test_trigrams_belong_to_their_words():
     buckets, of = trigrams(["ab", "c"])
     assert of.tolist() == [0, 0, 1] and len(buckets) == 3
     assert words_of("It's ÄÖ 12x") == ["it", "s", "äö", "x"]
+
+
+def test_words_that_no_language_can_write_count_for_none(spark, make_docs, model, by_id):
+    foreign = "中文字 ภาษาไทย "
+    got = by_id(identify(spark, make_docs([(1, foreign * 20), (2, foreign + "the house and this thing"), (3, "the house and this thing")]), model))
+    assert (got[1]["score"], got[1]["n_spans"], got[1]["fit"]) == (0, 0, 0)
+    assert got[2]["lang_pred"] == "en" and 0.5 < got[2]["score"] < 0.9 and got[2]["n_spans"] == 1
+    assert got[2]["fit"] == pytest.approx(got[3]["fit"]) and got[3]["score"] == 1
+    spans = label_spans(spark, make_docs([(1, foreign)]), model).first()["lang_spans"]
+    assert spans == []
+
+
+def test_fit_tells_unknown_languages_apart(spark, make_docs, model, by_id):
+    unknown = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan"
+    got = by_id(identify(spark, make_docs([(1, unknown), (2, " ".join(EN)), (3, " ".join(DE)), (4, " ".join(RU)), (5, "the house QXZKWJVVXQQZKJ and this thing")]), model))
+    assert got[1]["fit"] < -5 and all(got[i]["fit"] > 0 for i in (2, 3, 4)) and got[5]["fit"] > -5

@@ -29,6 +29,18 @@ def test_stages_and_run(spark, make_docs, tmp_path):
     assert {r["doc_id"] for r in out} == set(kept[3]) and all(len(r["token_ids"]) == r["n_tokens"] > 0 for r in out)
 
 
+def test_language_stage_rejects_foreign_scripts_and_unknown_languages(spark, make_docs, tmp_path):
+    words = {"en": "the house and this thing with other words that are seen".split(), "de": "das haus und schön nicht größe diese andere wörter sind".split()}
+    rows = [(1000 * k + i, " ".join(w[i % 7 :] + w[: i % 5]), lang) for k, (lang, w) in enumerate(words.items()) for i in range(40)]
+    unlabelled = [
+        (9000, "中文字 这是 " * 20, None), (9001, "ภาษาไทย " * 20, None), (9002, "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan", None),
+        (9003, "this thing and the house", None), (9004, "diese wörter sind nicht das haus", None),
+    ]
+    out = corpus_pipeline.identify_language(spark, make_docs([*rows, *unlabelled], clash=False), str(tmp_path))
+    got = {r["doc_id"]: r["lang"] for r in out.collect()}
+    assert got == {i: lang for i, _, lang in rows} | {9003: "en", 9004: "de"}
+
+
 def test_entry_lists_all_numbered_queries():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
