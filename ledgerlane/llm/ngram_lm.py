@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays,
+"""Interpolated modified Kneser-Ney model of order 2 or 3: counted in Spark, stored as sorted hash arrays,
 memory-mapped by the workers that score.
 
 Words are 64-bit hashes. Counting deals out sorted arrays rather than rows: each task sorts and counts
@@ -13,6 +13,10 @@ P(w|v) = (c(v,w) - D_c) / c(v) + (D1 n1(v) + D2 n2(v) + D3 n3(v)) / c(v) * P(w),
 the number of distinct contexts of w in the same way and gives the rest to V + 1 words evenly. A
 document is its words after a start mark, and one end token.
 
+With order 3, P(w|u,v) is interpolated in the same way with P(w|v), whose c(v,w) is then the number
+of distinct u before it; a document has two start marks. Trigrams are counted in buckets by (u,v),
+which send every bigram's bucket how many u it has there; the rest is as for order 2.
+
 Edge cases: a null, empty or blank text is the end token alone; without training rows every text has
 probability 1 per token under the model and the base score is 0; repeated rows count as often as they
 occur; texts are read whole; a null doc_id is hashed as empty text; other columns are not looked at.
@@ -122,6 +126,7 @@ class Model:
     high: list[float]
     low: list[float]
     low_rest: float  # what the lower discounts take in all
+    top: list[float] | None = None  # the trigrams' discounts, with order 3
     files: dict = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -135,7 +140,7 @@ class Model:
 
     def look_up(self, kind: str, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
         """The stored value of each key, or zeros, from the bucket's sorted array."""
-        width = {"pair": 1, "raw": 1, "low": 1, "context": 4, "spread": 4}[kind]
+        width = {"pair": 1, "raw": 1, "low": 1, "triple": 1, "context": 4, "spread": 4, "two": 4}[kind]
         out = np.zeros((len(key), width), dtype=np.int64)
         if not len(key):
             return out
@@ -175,6 +180,15 @@ class Model:
         gap = np.take([0.0, *self.high], np.minimum(c, 3))
         rest = stats[:, 1:] @ np.array(self.high)
         p[seen] = (c - gap)[seen] / total[seen] + rest[seen] / total[seen] * p[seen]
+        if self.top:
+            two = _contexts(context, first)
+            bucket = (two % np.uint64(self.buckets)).astype(np.int64)
+            stats = self.look_up("two", bucket, two)
+            c = self.look_up("triple", bucket, mixed(two, word))[:, 0]
+            seen = stats[:, 0] > 0
+            gap = np.take([0.0, *self.top], np.minimum(c, 3))
+            rest = stats[:, 1:] @ np.array(self.top)
+            p[seen] = ((c - gap)[seen] + rest[seen] * p[seen]) / stats[seen, 0]
         return pd.DataFrame({
             "n_tokens": n, "n_known": np.add.reduceat((raw > 0).astype(np.int64), first),
             "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(np.log10(p), first),
@@ -202,6 +216,13 @@ class Model:
             yield pd.concat(out) if out else pd.DataFrame(columns=["n_tokens", "n_known", "base_score", "score"])
 
 
+def _contexts(context: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The hash of the two words before each word, from the one before and where documents begin."""
+    earlier = np.empty_like(context)
+    earlier[1:], earlier[first] = context[:-1], START
+    return mixed(earlier, context)
+
+
 def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     if not len(sorted_):
         return np.zeros(len(x), dtype=bool)
@@ -220,8 +241,10 @@ def mapped_folder(spark: SparkSession) -> str:
     return f"{at.path}/ledgerlane/lm-{uuid.uuid4().hex}"
 
 
-def train(spark: SparkSession, docs: DataFrame) -> Model:
-    """The model of docs(text)."""
+def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
+    """The model of docs(text), of order 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: only 2 and 3 are built")
     docs = docs.select("text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder, buckets = mapped_folder(spark), 1 + size // BUCKET_BYTES
@@ -255,6 +278,35 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
             (bucket, context, word), n = summed([bucket, context, word], np.ones(len(word), dtype=np.int64))
             yield _blobs(bucket, context, word, n.astype("<u4"))
 
+    def triples(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in _gathered(texts):
+            first = np.concatenate([[0], np.cumsum([len(x) for x in held])[:-1]]).astype(np.int64)
+            word = np.concatenate(held)
+            context = np.empty_like(word)
+            context[1:], context[first] = word[:-1], START
+            two = _contexts(context, first)
+            bucket = (two % np.uint64(buckets)).astype(np.int32)
+            (bucket, two, context, word), n = summed([bucket, two, context, word], np.ones(len(word), dtype=np.int64))
+            out = _blobs(bucket, two, context, n.astype("<u4"))
+            yield out.assign(c=_blobs(bucket, word, word[:0], n)["a"])
+
+    def store_triples(key: tuple, table: pa.Table) -> pa.Table:
+        """Writes a bucket's trigrams and their contexts; tells each bigram's bucket how many words
+        stand before it here."""
+        b = key[0].as_py()
+        (two, context, word), n = summed([_column(table, x, "<u8") for x in "abc"], _column(table, "n", "<u4").astype(np.int64))
+        hashed = mixed(two, word)
+        order_ = np.argsort(hashed)
+        _save(folder, f"triple-key-{b}", hashed[order_])
+        _save(folder, f"triple-n-{b}", n[order_])
+        (owner,), stats = summed([two], np.stack([n, n == 1, n == 2, n >= 3], axis=1).astype(np.int64))
+        _save(folder, f"two-key-{b}", owner)
+        _save(folder, f"two-n-{b}", stats)
+        _save(folder, f"counts-n-{b}", np.array(_counts_of_counts(n), dtype=np.int64))
+        bucket = _bucket_of(context, word, spread, buckets).astype(np.int32)
+        (bucket, context, word), times = summed([bucket, context, word], np.ones(len(word), dtype=np.int64))
+        return pa.Table.from_pandas(_blobs(bucket, context, word, times.astype("<u4")), schema=pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())]), preserve_index=False)
+
     def store_pairs(key: tuple, table: pa.Table) -> pa.Table:
         """Writes a bucket's bigrams and contexts; tells each word's home bucket how many contexts it
         has here, and a spread context's home bucket its statistics."""
@@ -291,7 +343,11 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
         low = [*_counts_of_counts(times), int((times >= 3).sum()), int(times.sum())]
         return pa.table({"b": [b], "high": [high.tolist()], "low": [low]})
 
-    dealt = docs.mapInPandas(pairs, _BLOBS).groupBy("bucket").applyInArrow(store_pairs, f"{_BLOBS}, kind string")
+    if order == 3:
+        sent = docs.mapInPandas(triples, f"{_BLOBS}, c binary").groupBy("bucket").applyInArrow(store_triples, _BLOBS)
+    else:
+        sent = docs.mapInPandas(pairs, _BLOBS)
+    dealt = sent.groupBy("bucket").applyInArrow(store_pairs, f"{_BLOBS}, kind string")
     told_low = dealt.groupBy("bucket").applyInArrow(store_low, "b long, high array<long>, low array<long>").toArrow().to_pylist()
     have = {x["b"] for x in told_low}
     _fill(folder, ["low"], buckets, have, 1)
@@ -299,11 +355,15 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     _fill_missing(folder, buckets)
     high = [sum(x["high"][k] for x in told_low) for k in range(4)]
     low = [sum(x["low"][k] for x in told_low) for k in range(6)]
+    top = None
+    if order == 3:
+        told_top = [np.load(f"{folder}/counts-n-{b}.npy") for b in range(buckets) if os.path.exists(f"{folder}/counts-n-{b}.npy")]
+        top = _discounts([sum(int(x[k]) for x in told_top) for k in range(4)])
     d_low = _discounts(low[:4])
     rest = d_low[0] * low[0] + d_low[1] * low[1] + d_low[2] * low[4]
     return Model(
         folder, buckets, spread, sum(x["tokens"] for x in told), sum(x["words"] for x in told), max(low[5], 1),
-        _discounts(high), d_low, rest,
+        _discounts(high), d_low, rest, top,
     )
 
 
@@ -331,7 +391,7 @@ def _fill(folder: str, kinds: list[str], buckets: int, have: set[int], width: in
 
 def _fill_missing(folder: str, buckets: int) -> None:
     for b in range(buckets):
-        for kind, width in (("pair", 1), ("context", 4)):
+        for kind, width in (("pair", 1), ("context", 4), ("triple", 1), ("two", 4)):
             if not os.path.exists(f"{folder}/{kind}-key-{b}.npy"):
                 _fill(folder, [kind], b + 1, set(range(b)), width)
 

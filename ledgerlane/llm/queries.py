@@ -68,7 +68,7 @@ def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlane.llm.ngram_lm import scored, train
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_of_id() % 5 == 1).alias("held_out"))
-    return scored(spark, docs, train(spark, docs.filter("not held_out"))).drop("text")
+    return scored(spark, docs, train(spark, docs.filter("not held_out"), order=3)).drop("text")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

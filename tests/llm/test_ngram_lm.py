@@ -60,3 +60,40 @@ def test_no_training_rows_and_empty_table(spark, make_docs):
 def test_summed():
     keys, n = summed([np.array([2, 1, 2]), np.array([5, 5, 5])], np.array([1, 2, 3]))
     assert [k.tolist() for k in keys] == [[1, 2], [5, 5]] and n.tolist() == [2, 4]
+
+
+def trigram_scores(train_texts, texts):
+    """Plain Python: each order discounts by its own counts and hands the rest to the one below."""
+    tokens = lambda t: ["<s>", "<s>", *(t or "").lower().split(), "</s>"]
+    grams = lambda t: zip(tokens(t), tokens(t)[1:], tokens(t)[2:], strict=False)
+    three = Counter(g for t in train_texts for g in grams(t))
+    two = Counter(g[1:] for g in three)
+    one = Counter(g[1:] for g in two)
+
+    def discount(counts):
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        d = ngram_lm._discounts(n)
+        return lambda c: d[min(c, 3) - 1] if c else 0.0
+
+    levels = [(x, discount(x)) for x in (one, two, three)]
+
+    def p(gram):
+        counts, d = levels[len(gram) - 1]
+        own = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
+        below = p(gram[1:]) if len(gram) > 1 else 1 / (len(one) + 1)
+        if not own:
+            return below
+        c = counts[gram]
+        return (c - d(c) + sum(map(d, own)) * below) / sum(own)
+
+    return [sum(math.log10(p(g)) for g in grams(t)) for t in texts]
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 23, 500])
+def test_trigram_scores_match_brute_force(spark, make_docs, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(ngram_lm, "BUCKET_BYTES", bucket_bytes)
+    learn = [*rows(), (900, None), (901, ""), (902, "w1 W1"), (902, "w1 W1")]
+    score = [*learn, (903, "never seen words"), (904, "w1 w2 " * 50)]
+    got = scored(spark, make_docs(score), train(spark, make_docs(learn), order=3)).orderBy("doc_id", "text").collect()
+    score = sorted(score, key=lambda r: (r[0], r[1] or ""))
+    assert [r["score"] for r in got] == pytest.approx(trigram_scores([t for _, t in learn], [t for _, t in score]))
