@@ -83,3 +83,10 @@ def dollars(c: Column) -> Column:
 
 def header_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"\s+", "_")
+
+
+def once(value: Column) -> Column:
+    """value as a column of its own that is computed once a row. The optimizer copies plain
+    expressions into every filter and projection that reads them; it copies none through explode().
+    One of these may stand in a projection."""
+    return F.explode(F.array(value))
