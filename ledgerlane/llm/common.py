@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +59,28 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lots(texts: list[str | None], most: int) -> list[list[int]]:
+    """The numbers of the texts, shorter ones first, in lots of about `most` characters (or one text),
+    so that what is held at a time is bounded and texts of one lot are about as long."""
+    out, chars = [[]], 0
+    for k in sorted(range(len(texts)), key=lambda k: len(texts[k] or "")):
+        if chars >= most:
+            out.append([])
+            chars = 0
+        out[-1].append(k)
+        chars += len(texts[k] or "")
+    return out
+
+
+def release_memory() -> None:
+    """Hands freed memory back to the system. A Python worker outlives its task, and what its
+    allocators keep would stand beside the next stage's own needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def aside(df: DataFrame, *needed: str) -> DataFrame:
     """df with every column renamed in_<name>, and the needed ones again under their own names, so that
     working columns cannot clash with what the input brings along."""
@@ -110,20 +135,26 @@ def grouped_rank(
     )
 
 
-def running_sums(lengths: Column) -> Column:
-    """For n lengths, the n + 1 sums of the first 0, 1, ... of them, in blocks of _BLOCK, so that
-    appending stays cheap. lengths must be a column, not an expression: a lambda reads it."""
+def running(values: Column, step: Callable[[Column, Column], Column], start: Column) -> Column:
+    """For n values, the n + 1 results of start and the first 0, 1, ... of them under an associative
+    step, in blocks of _BLOCK, so that appending stays cheap. values must be a column, not an
+    expression: a lambda reads it."""
 
-    def sums(xs: Column, start: Column) -> Column:
-        return F.aggregate(xs, F.array(start), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    def over(xs: Column, first: Column) -> Column:
+        return F.aggregate(xs, F.array(first), lambda a, x: F.array_append(a, step(F.element_at(a, -1), x)))
 
-    count = F.ceil(F.size(lengths) / _BLOCK).cast("int")
-    blocks = F.when(F.size(lengths) == 0, F.array().cast("array<array<int>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK))
+    count = F.ceil(F.size(values) / _BLOCK).cast("int")
+    blocks = F.when(F.size(values) == 0, F.array().cast("array<array<int>>")).otherwise(
+        F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
     )
-    starts = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
-    inner = F.zip_with(blocks, F.slice(starts, 1, F.greatest(count, F.lit(0))), lambda b, s: F.slice(sums(b, s), 2, _BLOCK))
-    return F.concat(F.array(F.lit(0)), F.flatten(inner))
+    starts = over(F.transform(blocks, lambda b: F.aggregate(b, start, step)), start)
+    inner = F.zip_with(blocks, F.slice(starts, 1, F.greatest(count, F.lit(0))), lambda b, s: F.slice(over(b, s), 2, _BLOCK))
+    return F.concat(F.array(start), F.flatten(inner))
+
+
+def running_sums(lengths: Column) -> Column:
+    """For n lengths, the n + 1 sums of the first 0, 1, ... of them."""
+    return running(lengths, lambda a, x: a + x, F.lit(0))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -1,15 +1,17 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context adjusts a score.
 
 DataFrame functions only. For each kind, split() gives the gaps between the matches and
-regexp_extract_all() the matches themselves, so a running sum of their lengths gives the offsets; the
-sum runs in blocks, so that a text with very many matches costs little more than its length.
+regexp_extract_all() the matches themselves, so a running sum of their lengths gives the offsets.
+Sums, maxima and choices run in blocks, context is read from the gaps, and redaction cuts the text by
+bytes, so that the cost of a text is in proportion to its length, however many matches it has.
 
 Kinds: email; ip (parts at most 255); card (14 to 19 digits, Luhn); phone (10 to 15 digits after a
 plus); and, beyond these four, iban (country, check digits, 11 to 30 further characters, mod 97 = 1).
 What follows an account number may look like more of it, so of the prefixes that end at a word's end
 the one of its country's length is taken, else the longest that passes; the search goes on after it.
 Offsets are code points, end exclusive. A span's score is its kind's base score, plus 0.1 when one of
-the kind's words stands in the 40 characters before it, less 0.1 when a word of another use does.
+the kind's words stands in the 40 characters before it, less 0.1 when a word of another use does; what
+stands before the last match of the kind's pattern belongs to that match and isn't read.
 
 Edge cases: a null or empty text has no spans (redact() leaves it as it is); repeated rows are
 handled one by one; other columns stay; a column with the name of an output is replaced.
@@ -23,7 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import aside, back, running_sums
+from ledgerlane.functions.scalar import once
+from ledgerlane.llm.common import aside, back, running, running_sums
 
 # Possessive quantifiers and the lookbehinds keep scanning linear; they match what the plain forms
 # match. An e-mail may start inside a run of its characters only where the last match ended (\G).
@@ -34,6 +37,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Only the first four characters are consumed; the group is the longest candidate from there.
 _IBAN = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}"
 _IBAN_HEAD = 4
+_CONTEXT, _BLOCK = 40, 256
 
 #: Characters of an account number by country.
 IBAN_LENGTHS = {
@@ -120,16 +124,27 @@ def _confirmed(kind: Kind, s: Column) -> Column:
     return F.lit(True)
 
 
-def _consumed(kind: Kind, match: Column) -> Column:
-    """How many characters of the text the pattern takes for a match."""
-    return F.lit(_IBAN_HEAD) if kind.name == "iban" else F.length(match)
+def _consumed(kind: Kind, match: Column, length: Callable[[Column], Column]) -> Column:
+    """How much of the text the pattern takes for a match."""
+    return F.lit(_IBAN_HEAD) if kind.name == "iban" else length(match)
 
 
 def _apart(spans: Column) -> Column:
-    """Spans in order, without those that begin before the end of one that is kept."""
+    """Spans in order, without those that begin before the end of one that is kept. They are chosen
+    in blocks, each of which hands the last end on."""
     none = F.slice(spans, 1, 0)
-    last = lambda a: F.try_element_at(a, F.lit(-1))["end"]
-    kept = F.aggregate(spans, none, lambda a, x: F.when(x["start"] < last(a), a).otherwise(F.array_append(a, x)))
+
+    def choose(state: Column, x: Column) -> Column:
+        taken = F.struct(F.array_append(state["kept"], x).alias("kept"), x["end"].alias("last"))
+        return F.when(x["start"] < state["last"], state).otherwise(taken)
+
+    def block(state: Column, b: Column) -> Column:
+        own = F.aggregate(F.slice(spans, b * _BLOCK + 1, _BLOCK), F.struct(none.alias("kept"), state["last"].alias("last")), choose)
+        added = lambda o: F.struct(F.array_append(state["kept"], o["kept"]).alias("kept"), o["last"].alias("last"))
+        return F.get(F.transform(F.array(own), added), 0)
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _BLOCK).cast("int"))
+    kept = F.flatten(F.aggregate(blocks, F.struct(F.slice(F.array(none), 1, 0).alias("kept"), F.lit(-1).alias("last")), block)["kept"])
     met = F.exists(F.zip_with(spans, F.slice(spans, 2, F.size(spans)), lambda x, y: x["end"] > y["start"]), lambda x: F.coalesce(x, F.lit(False)))
     return F.when(met, kept).otherwise(spans)
 
@@ -138,61 +153,64 @@ def _test(kind: Kind) -> Callable[[Column], Column]:
     return lambda match: _confirmed(kind, match)
 
 
-def _step(kind: Kind) -> Callable[[Column, Column], Column]:
-    return lambda gap, match: F.length(gap) + _consumed(kind, match)
+def _step(kind: Kind, length: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda gap, match: length(gap) + _consumed(kind, match, length)
 
 
 def _of_rank(rank: int) -> Callable[[Column], Column]:
     return lambda span: span["rank"] == rank
 
 
-def _spans_of(kind: Kind, text: Column, found: Column, steps: Column) -> Column:
-    """array<struct<start, end, kind, rank, score>> of one kind, in order, from its matches and what
-    each consumes of the text with the gap before it."""
+def _spans_of(kind: Kind, found: Column, gaps: Column, steps: Column, length: Callable[[Column], Column]) -> Column:
+    """array<struct<start, end, kind, rank, score>> of one kind, in order, from its matches, the gaps
+    before them, and what each consumes of the text with its gap."""
     ends = F.slice(running_sums(steps), 2, F.size(found))
+    matched = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.substring(g, -_CONTEXT, _CONTEXT).alias("before")))
     good = F.filter(
-        F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), e.alias("e"))), lambda x: _confirmed(kind, x["m"])
+        F.zip_with(matched, ends, lambda x, e: F.struct(x["m"].alias("m"), x["before"].alias("before"), e.alias("e"))),
+        lambda x: _confirmed(kind, x["m"]),
     )
 
     def scored(x: Column) -> Column:
-        start = x["e"] - _consumed(kind, x["m"])
-        before = F.lower(F.substring(text, F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40))))
+        start = x["e"] - _consumed(kind, x["m"], length)
+        before = F.lower(x["before"])
         near = F.when(F.rlike(before, F.lit(rf"\b(?:{kind.near})")), 0.1).otherwise(0.0)
         far = F.when(F.rlike(before, F.lit(rf"\b(?:{kind.far})")), 0.1).otherwise(0.0)
         return F.struct(
-            start.alias("start"), (start + F.length(x["m"])).alias("end"), F.lit(kind.name).alias("kind"),
+            start.alias("start"), (start + length(x["m"])).alias("end"), F.lit(kind.name).alias("kind"),
             F.lit(KINDS.index(kind)).alias("rank"), F.round(F.lit(kind.score) + near - far, 2).alias("score"),
         )
 
     return F.transform(good, scored)
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """docs with pii: array<struct<start, end, kind, rank, score>>, by start, then kind as listed."""
+def detect(docs: DataFrame, length: Callable[[Column], Column] = F.length) -> DataFrame:
+    """docs with pii: array<struct<start, end, kind, rank, score>>, by start, then kind as listed.
+    length says what offsets count: code points, or bytes with F.octet_length."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,kind:string,rank:int,score:double>>")
     # Each step is a projection of its own, so that matches are searched for once and lambdas read
     # columns instead of evaluating expressions again and again.
-    matches = docs.withColumns({
+    out = docs.withColumns({
         f"pii_{k.name}_": F.when(F.rlike(text, F.lit(k.hint)), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(int(k.name == "iban"))))
         for k in KINDS
     })
-    matches = matches.withColumn("pii_iban_", F.transform("pii_iban_", _account))
-    steps = {}
-    for k in KINDS:
-        found = F.col(f"pii_{k.name}_")
-        gaps = F.slice(F.split(text, k.pattern, -1), 1, F.size(found))
-        lengths = F.zip_with(gaps, found, _step(k))
-        steps[f"pii_{k.name}_steps_"] = F.when(F.exists(found, _test(k)), lengths)
-    stepped = matches.withColumns(steps)
+    out = out.withColumn("pii_iban_", F.transform("pii_iban_", _account))
+    found, gaps, steps = ({k: F.col(f"pii_{k.name}_{x}") for k in KINDS} for x in ("", "gaps_", "steps_"))
+    out = out.withColumns({
+        f"pii_{k.name}_gaps_": F.when(F.exists(found[k], _test(k)), F.slice(F.split(text, k.pattern, -1), 1, F.size(found[k])))
+        for k in KINDS
+    })
+    out = out.withColumns({f"pii_{k.name}_steps_": F.zip_with(gaps[k], found[k], _step(k, length)) for k in KINDS})
     parts = [
-        F.when(F.col(f"pii_{k.name}_steps_").isNotNull(), _spans_of(k, text, F.col(f"pii_{k.name}_"), F.col(f"pii_{k.name}_steps_"))).otherwise(none)
+        F.when(steps[k].isNotNull(), _spans_of(k, found[k], gaps[k], steps[k], length)).otherwise(none)
         for k in KINDS
     ]
-    listed = stepped.withColumn("pii_iban_", parts.pop()).withColumn("pii_all_", F.concat(*parts, _apart(F.col("pii_iban_"))))
-    in_order = F.array_sort(F.transform("pii_all_", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x.alias("s"))))
-    return listed.withColumn("pii", F.transform(in_order, lambda x: x["s"])).drop(
-        "pii_all_", *[f"pii_{k.name}_{x}" for k in KINDS for x in ("", "steps_")]
+    out = out.withColumn("pii_iban_", parts.pop()).withColumn("pii_all_", F.concat(*parts, _apart(F.col("pii_iban_"))))
+    in_order = F.sort_array(F.transform("pii_all_", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x.alias("s"))))
+    # A filter on what is found must not repeat the search in its condition: hence once().
+    return out.withColumn("pii", once(F.transform(in_order, lambda x: x["s"]))).drop(
+        "pii_all_", *[f"pii_{k.name}_{x}" for k in KINDS for x in ("", "gaps_", "steps_")]
     )
 
 
@@ -203,37 +221,23 @@ def _listed(found: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs, same columns, with the union of all spans of each text replaced by [KIND]; overlapping
     spans become one, named for the first."""
-    found = detect(aside(docs, "text"))
-    merged = F.aggregate(
-        F.col("pii"),
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda a, x: F.when(
-            (F.size(a) > 0) & (x["start"] < F.try_element_at(a, F.lit(-1))["end"]),
-            F.array_append(
-                F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))),
-                F.struct(
-                    F.try_element_at(a, F.lit(-1))["start"].alias("start"),
-                    F.greatest(F.try_element_at(a, F.lit(-1))["end"], x["end"]).alias("end"),
-                    F.try_element_at(a, F.lit(-1))["kind"].alias("kind"),
-                ),
-            ),
-        ).otherwise(F.array_append(a, F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))),
-    )
-    pieces = F.transform(
-        F.col("merged_"),
-        lambda x, i: F.concat(
-            F.substring(
-                F.col("text"),
-                F.when(i > 0, F.get(F.col("merged_"), i - 1)["end"]).otherwise(0) + 1,
-                x["start"] - F.when(i > 0, F.get(F.col("merged_"), i - 1)["end"]).otherwise(0),
-            ),
-            F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")),
-        ),
-    )
-    tail = F.substr(F.col("text"), F.element_at("merged_", -1)["end"] + 1)
-    cleaned = F.concat(F.array_join(pieces, ""), tail)
-    whole = F.when(F.size("merged_") > 0, cleaned).otherwise(F.col("text"))
-    return back(found.withColumn("merged_", merged), docs.columns, text=whole)
+    found = detect(aside(docs, "text"), F.octet_length)
+    found = found.withColumn("ends_", F.transform("pii", lambda x: x["end"])).withColumn("bytes_", F.col("text").cast("binary"))
+    found = found.withColumn("done_", running(F.col("ends_"), lambda a, x: F.greatest(a, x), F.lit(0)))  # where the spans before each end
+
+    def pieces(text: Column) -> Column:
+        def piece(x: Column, done: Column) -> Column:
+            between = F.substring(text, done + 1, x["start"] - done).cast("string")
+            return F.when(x["start"] >= done, F.concat(between, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+
+        return F.array_join(F.zip_with(F.col("pii"), F.slice("done_", 1, F.size("pii")), piece), "")
+
+    # A binary column is copied whenever it is read from a row, a lambda's variable isn't.
+    cleaned = F.get(F.transform(F.array("bytes_"), pieces), 0)
+    last = F.element_at("done_", -1)
+    tail = F.substring(F.col("bytes_"), last + 1, F.octet_length("bytes_") - last).cast("string")
+    whole = F.when(F.size("pii") > 0, F.concat(cleaned, tail)).otherwise(F.col("text"))
+    return back(found.withColumn("whole_", once(whole)), docs.columns, text=F.col("whole_"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import brute
 
@@ -73,3 +74,20 @@ def test_redact_replaces_the_union_of_spans(make_docs, by_id):
     assert got == [(1, "mail [EMAIL], ip [IP]!"), (3, ""), (4, "clean text 12"), (5, "[PHONE]x"), (6, "é😀 [EMAIL]")]
     assert out.filter("text is null").count() == 1
     assert digest(docs.limit(0)).count() == 0
+
+
+def test_cost_follows_the_length(make_docs, by_id):
+    """100,000 matches in one text, in seconds."""
+    n = 100_000
+    mails, ibans = "a.é@b.co c@d.ef " * n, "DE89370400440532013000 " * (n // 5)
+    began = time.monotonic()
+    got = by_id(digest(make_docs([(1, mails), (2, ibans)])))
+    assert got[1]["n_email"] == n and got[2]["spans"].count("iban") == n // 5
+    clean = by_id(redact(make_docs([(1, mails), (2, ibans)])))
+    assert clean[1]["text"] == "a.é@b.co [EMAIL] " * n and clean[2]["text"] == "[IBAN] " * (n // 5)
+    assert time.monotonic() - began < 60
+
+
+def test_redaction_of_many_overlapping_spans(make_docs, by_id):
+    text = "é+1 415 555 01.2.3.4x 4111 1111 1111 1111@b.co " * 700
+    assert by_id(redact(make_docs([(1, text)])))[1]["text"] == "é[PHONE]x [CARD] " * 700
