@@ -14,7 +14,9 @@ decode() emits the arc labels' bytes.
 
 Edge cases: a null text counts as empty; special tokens' strings in a text become their ids, leftmost
 and longest first, as the vocabulary file's library does by default; ids decode to the same text;
-repeated and very long words are fine (time is linear in the word, times the longest token).
+repeated and very long words are fine (time is linear in the word, times the longest token). A
+vocabulary file that asks for what isn't built (a normalizer, a prefix space, trimmed special tokens,
+byte fallback, another model or splitter) is refused with an error.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlane.llm.common import release_memory
 
 
 def _filled(letters: str, numbers: str, space: str) -> str:
@@ -50,7 +53,7 @@ _LOW_CLASSES = (r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\
 _HIGH = re.compile(r"[^\x00-\xff]")
 #: Words kept by a worker, characters of text whose new words are learned together, words abreast,
 #: tokens sent back together.
-_CACHE, _TOGETHER, _ABREAST, _SENT = 1 << 18, 2 << 20, 1 << 14, 1 << 20
+_CACHE, _TOGETHER, _ABREAST, _SENT = 1 << 16, 1 << 20, 1 << 14, 1 << 19
 
 
 def _byte_letters() -> dict[str, int]:
@@ -133,19 +136,18 @@ class Automaton:
                 out[order[row]].append(x)
         return [x[::-1] for x in out]
 
-    def _learn(self, words: list[str]) -> list[tuple[int, str, bytes]]:
-        """For each word: its number of tokens, their ids in decimal joined by commas, and the bytes
-        that its arcs' labels emit. Words of one call are padded to the longest: pass like lengths."""
+    def _learn(self, words: list[str]) -> list[str]:
+        """Each word's token ids in decimal, joined by commas. Words of one call are padded to the
+        longest: pass like lengths."""
         names = self.names
         if not names:
-            names += [(str(i), t) for i, t in zip(self.ids.tolist(), self.tokens, strict=True)]
-        out = []
-        for labels in self.labels([w.encode() for w in words]):
-            arcs = [names[x] for x in labels]
-            out.append((len(arcs), ",".join([a for a, _ in arcs]), b"".join([t for _, t in arcs])))
-        return out
-
-    def parts(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, bytes]]]:
+            names += map(str, self.ids.tolist())
+        return [",".join([names[x] for x in labels]) for labels in self.labels([w.encode() for w in words])]
+
+    def forget(self) -> None:
+        self.cache.clear()
+
+    def parts(self, texts: list[str | None]) -> Iterator[list[str]]:
         """For each text, what _learn() gives for its words, in order. Words are kept in a bounded
         cache; new ones are learned together for texts of _TOGETHER characters in all."""
         start = 0
@@ -157,7 +159,7 @@ class Automaton:
             yield from self._parts(texts[start:end])
             start = end
 
-    def _parts(self, texts: list[str | None]) -> list[list[tuple[int, str, bytes]]]:
+    def _parts(self, texts: list[str | None]) -> list[list[str]]:
         cache = self.cache
         words = [
             [w for part in self._split(t or "") for w in ([part] if part in self.special else splitter(part).findall(part))]
@@ -168,7 +170,7 @@ class Automaton:
             cache.clear()
             fresh = {w for ws in words for w in ws}
         for s in fresh & self.special.keys():
-            cache[s] = (1, str(self.special[s]), s.encode())
+            cache[s] = str(self.special[s])
         fresh -= self.special.keys()
         # Longer words in smaller lots, since a lot is padded to its longest word.
         for least, most, lot in ((0, 16, _ABREAST), (16, 256, 256), (256, sys.maxsize, 1)):
@@ -182,14 +184,18 @@ class Automaton:
         return got
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in next(self.parts([text])) for i in ids.split(",")]
+        return [int(i) for ids in next(self.parts([text])) for i in ids.split(",")]
 
-    def decode(self, ids: list[int]) -> str:
+    def bytes_of(self, ids: list[str]) -> bytes:
+        """The bytes that the arcs of token ids (in decimal) emit."""
         by_id = self.by_id
         if not by_id:
-            by_id |= dict(zip(self.ids.tolist(), self.tokens, strict=True))
-            by_id |= {i: s.encode() for s, i in self.special.items()}
-        return b"".join(map(by_id.__getitem__, ids)).decode("utf-8", "replace")
+            by_id |= {str(i): t for i, t in zip(self.ids.tolist(), self.tokens, strict=True)}
+            by_id |= {str(i): s.encode() for s, i in self.special.items()}
+        return b"".join(map(by_id.__getitem__, ids))
+
+    def decode(self, ids: list[int]) -> str:
+        return self.bytes_of(list(map(str, ids))).decode("utf-8", "replace")
 
     def _split(self, text: str) -> list[str]:
         if not any(s in text for s in self.special):
@@ -253,11 +259,26 @@ def compile_merges(merges: list[tuple[bytes, bytes]], ids: dict[bytes, int], spe
     )
 
 
+def _refuse_unbuilt(spec: dict) -> None:
+    """Raises an error where a vocabulary file asks for what the automaton doesn't do."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [
+        ("normalizer", spec.get("normalizer")),
+        ("model", model.get("type", "BPE") != "BPE"),
+        ("pre_tokenizer", split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True)),
+        *[(k, model.get(k)) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")],
+        *[("added token " + t["content"], t.get(k)) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")],
+    ]
+    if found := [name for name, asked in odd if asked]:
+        raise ValueError(f"not built for this vocabulary file: {', '.join(found)}")
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Automaton:
     """The automaton of a byte-level BPE vocabulary file (JSON with vocab, merges, added tokens)."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    _refuse_unbuilt(spec)
     letters = _byte_letters()
     raw = lambda s: bytes(letters[ch] for ch in s)
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -278,15 +299,21 @@ def encoded(docs: DataFrame, vocabulary: str, spark: SparkSession, with_ids: boo
         for batch in texts:
             rows, tokens = [], 0
             for parts in automaton.parts(list(batch)):
-                ids = ",".join([p[1] for p in parts])
-                emitted = b"".join([p[2] for p in parts])
-                row = (sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(emitted).hexdigest())
-                rows.append((*row, np.fromstring(ids, dtype=np.int32, sep=",")) if with_ids else row)
+                joined = ",".join(parts)
+                ids = joined.split(",") if joined else []
+                # Decoding starts from the ids alone and replaces what isn't UTF-8, as decode() does.
+                text = automaton.bytes_of(ids).decode("utf-8", "replace").encode()
+                row = (len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text).hexdigest())
+                rows.append((*row, np.array(ids, dtype=np.int32)) if with_ids else row)
                 tokens += row[0]
                 if tokens >= _SENT:  # in parts, so that few ids are held at a time
                     yield pd.DataFrame(rows, columns=names)
                     rows, tokens = [], 0
             yield pd.DataFrame(rows, columns=names)
+            del rows, batch
+            release_memory()
+        automaton.forget()
+        release_memory()
 
     keep = [c for c in docs.columns if c not in (*names, "bpe_")]
     return docs.select(*keep, run(docs["text"]).alias("bpe_")).select(*keep, "bpe_.*")

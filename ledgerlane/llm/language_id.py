@@ -23,7 +23,7 @@ long texts are read whole; input columns stay, but one with the name of an outpu
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,11 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlane.llm.common import lots, release_memory
+
 UNKNOWN = "und"
 BUCKET_BITS, SMOOTHING, SWITCH, SCRIPT_SHARE = 15, 0.5, 8.0, 0.01
 WORST = 1.5
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE, _TOGETHER = 1 << 18, 16 << 20
+#: Words that a worker remembers or counts before it adds them up; characters labelled together.
+_CACHE, _TOGETHER = 1 << 16, 4 << 20
 
 #: First code points of ranges, and the script of each (0: letters of no listed script).
 SCRIPT_RANGES = (
@@ -80,20 +83,26 @@ def count_trigrams(labelled: DataFrame) -> DataFrame:
     size = (1 << BUCKET_BITS) + N_SCRIPTS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables: dict[str, np.ndarray] = {}
+        tables: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size))
+
+        def add(lang: str, seen: Counter[str]) -> None:
+            pairs = [(w, n) for x, n in seen.items() if (w := _letters(x))]
+            seen.clear()
+            if pairs:
+                words, n = [w for w, _ in pairs], np.array([n for _, n in pairs], dtype=np.float64)
+                buckets, of = trigrams(words)
+                tables[lang] += np.bincount(buckets, n[of], size)
+                tables[lang] += np.bincount(scripts(words) + (1 << BUCKET_BITS), n, size)
+
         for batch in batches:
             for lang, texts in batch.groupby("lang", sort=False)["text"]:
                 seen: Counter[str] = Counter()
                 for text in texts:
                     seen.update(words_of(text))
-                seen = Counter({w: n for x, n in seen.items() if (w := _letters(x))})
-                if not seen:
-                    continue
-                words, n = list(seen), np.array(list(seen.values()), dtype=np.float64)
-                buckets, of = trigrams(words)
-                t = tables.setdefault(lang, np.zeros(size))
-                t += np.bincount(buckets, n[of], size)
-                t += np.bincount(scripts(words) + (1 << BUCKET_BITS), n, size)
+                    if len(seen) > _CACHE:
+                        add(lang, seen)
+                add(lang, seen)
+            release_memory()
         for lang, t in tables.items():
             used = np.flatnonzero(t)
             yield pd.DataFrame({"lang": lang, "bucket": used.astype(np.int32), "n": t[used].astype(np.int64)})
@@ -179,20 +188,14 @@ class Model:
         paths = viterbi(numbers, scores, SWITCH)
         return numbers, paths, [letters[n] for n in numbers], [own[n] for n in numbers]
 
-    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, int, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, int, float]]:
         """Language, score, number of spans and fit of each text."""
-        if not self.langs:
-            yield from [(UNKNOWN, 0.0, 0, 0.0)] * len(texts)
-            return
-        start = 0
-        while start < len(texts):
-            end, chars = start, 0
-            while end < len(texts) and (end == start or chars < _TOGETHER):
-                chars += len(texts[end] or "")
-                end += 1
-            for n, path, letters, own in zip(*self._labelled(texts[start:end]), strict=True):
-                yield self._verdict(n, path, letters, own)
-            start = end
+        out = [(UNKNOWN, 0.0, 0, 0.0)] * len(texts)
+        for lot in lots(texts, _TOGETHER) if self.langs else []:
+            labelled = self._labelled([texts[k] for k in lot])
+            for k, n, path, letters, own in zip(lot, *labelled, strict=True):
+                out[k] = self._verdict(n, path, letters, own)
+        return out
 
     def _verdict(self, numbers: np.ndarray, path: np.ndarray, letters: np.ndarray, own: np.ndarray) -> tuple[str, float, int, float]:
         all_ = float(letters.sum())
@@ -275,8 +278,9 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double, n_spans int, fit double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame(list(shared.value.predict(list(batch))), columns=["lang_pred", "score", "n_spans", "fit"])
-        shared.value.forget()  # a worker lives on after its task
+            yield pd.DataFrame(shared.value.predict(list(batch)), columns=["lang_pred", "score", "n_spans", "fit"])
+            shared.value.forget()
+            release_memory()
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "n_spans", "fit", "lid_")]
     return docs.select(*keep, run(docs["text"]).alias("lid_")).select(*keep, "lid_.*")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ledgerlane.llm.common import aside, back, connected_components, materialize
+from ledgerlane.llm.common import aside, back, connected_components, materialize, release_memory
 
 WORDS, SEED, MAX_BITS, SEGMENTS = 3, 42, 2, 16
 _CHUNK = 1 << 16
@@ -53,6 +53,7 @@ def fingerprint_of(text: str | None) -> int:
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series(np.array([fingerprint_of(x) for x in batch], dtype=np.uint64).view(np.int64))
+        release_memory()
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> Column:
