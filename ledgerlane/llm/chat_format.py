@@ -16,6 +16,8 @@ repeated rows are kept; an empty table gives no conversations; other columns are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,15 +102,15 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return chunks.groupBy("conv_id").agg(joined("chunk", "written").alias("formatted"))
 
 
-def with_loss_spans(formatted: DataFrame, role: str = "assistant") -> DataFrame:
-    """formatted(formatted, ...) with loss_spans: array<struct<start, end>>, the code points of a
-    conversation that training counts."""
+def with_loss_spans(formatted: DataFrame, role: str = "assistant", length: Callable[[Column], Column] = F.length) -> DataFrame:
+    """formatted(formatted, ...) with loss_spans: array<struct<start, end>>, the mask of what training
+    counts in a conversation. length says what they count: code points, or bytes with F.octet_length."""
     pieced = formatted.withColumn("pieces_", _pieces(F.col("formatted")))
-    stepped = pieced.withColumn("steps_", F.transform("pieces_", lambda p: F.length(p) + len(START)))
+    stepped = pieced.withColumn("steps_", F.transform("pieces_", lambda p: length(p) + len(START)))
     marked = F.zip_with(
         F.col("pieces_"), F.slice(running_sums(F.col("steps_")), 1, F.size("pieces_")),
         lambda p, at: F.struct(
-            (at + len(START) + F.instr(p, "\n")).alias("start"), (at + len(START) + F.instr(p, END) - 1).alias("end"),
+            (at + len(START) + length(F.substring_index(p, "\n", 1)) + 1).alias("start"), (at + len(START) + length(F.substring_index(p, END, 1))).alias("end"),
             _turn(p)["role"].alias("role"),
         ),
     )
@@ -116,12 +118,23 @@ def with_loss_spans(formatted: DataFrame, role: str = "assistant") -> DataFrame:
     return stepped.withColumn("loss_spans", own).drop("pieces_", "steps_")
 
 
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """What the mask's spans (in bytes) cut out of a formatted conversation, unescaped, in order."""
+
+    def cut(written: Column) -> Column:
+        piece = lambda x: unescape(F.substring(written, x["start"] + 1, x["end"] - x["start"]).cast("string"))
+        return F.array_join(F.transform(spans, piece), "")
+
+    # A lambda's variable is read without copying, so that cutting takes time by the pieces' length.
+    return F.get(F.transform(F.array(formatted.cast("binary")), cut), 0)
+
+
 def digest(turns: DataFrame) -> DataFrame:
-    """Per conversation, read back from what was written: counts and hashes."""
-    read = format_conversations(turns).select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
+    """Per conversation, read back from what was written: the turns by the parser, the loss by the mask."""
+    written = with_loss_spans(format_conversations(turns), length=F.octet_length)
+    read = written.select("conv_id", "formatted", "loss_spans", parse(F.col("formatted")).alias("turns"))
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    counted = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
-    loss = read.withColumn("said", F.array_join(said, "")).withColumn("loss", F.array_join(counted, ""))
+    loss = read.withColumn("said", F.array_join(said, "")).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     return loss.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"),
