@@ -98,8 +98,8 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
 
 
 def salts_for(rows: int) -> int:
-    """Into how many parts grouped_rank() should split a bucket: one per 20,000 rows, 1,024 at most."""
-    return min(1024, 1 + rows // 20_000)
+    """Into how many parts grouped_rank() should split a bucket: one per 4,000 rows, 2^16 at most."""
+    return min(1 << 16, 1 + rows // 4_000)
 
 
 def grouped_rank(

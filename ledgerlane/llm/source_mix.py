@@ -3,10 +3,10 @@
 Size is a text's number of words. Targets share the corpus's size by the sources' weights, are capped
 at 3 times a source's own size, and the excess goes to the others by weight (water-filling, in closed
 form over a window of the sources). Within a source every document expects target / size copies;
-documents stand in order of size, the expected copies are prefix-summed, one random offset is added,
-and a document is emitted once for each integer that its stretch crosses. Since like sizes stand
-together, the words taken follow the target closely; of 32 random offsets the one that comes nearest
-is used, which matters for sources of few documents.
+documents stand in order of size, the expected copies are prefix-summed, one random offset a source
+is added, and a document is emitted once for each integer that its stretch crosses. Every document is
+thus taken target / size times on average over the seeds. Since like sizes stand together, the words
+taken of a source stay within about its longest document of the target.
 
 The prefix sum needs a document's rank in its source. It is found from counts per size class and
 ranks within salted parts of a class, so a source that holds most rows is spread over many tasks.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import WORD, aside, back, grouped_rank, materialize, salts_for
 
-WEIGHTS, MOST, SEED, OFFERS = (5, 2, 1), 3, 42, 32
+WEIGHTS, MOST, SEED = (5, 2, 1), 3, 42
 
 
 def _key() -> Column:
@@ -65,22 +65,16 @@ def _ranked(rows: DataFrame, known: DataFrame, n: int) -> DataFrame:
     return grouped_rank(keyed, ["source_key_"], ["class_"], ["doc_id", "size"], salts_for(n), known)
 
 
-def starts(narrow: DataFrame) -> tuple[DataFrame, int]:
-    """targets() with the offset start_ of each source, and the number of rows."""
-    known, n = targets(narrow), narrow.count()
-    offers = [F.pmod(F.xxhash64(F.lit(SEED + k), "source_key_"), F.lit(1 << 40)) / float(1 << 40) for k in range(OFFERS)]
-    ranked = _ranked(narrow, known, n).groupBy("source_key_").agg(
-        F.first("target").alias("target"), *[F.sum(_crossed(u) * F.col("size")).alias(f"t{k}") for k, u in enumerate(offers)]
-    )
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), offers[k].alias("u")) for k in range(OFFERS)]))
-    return known.join(ranked.select("source_key_", best["u"].alias("start_")), "source_key_"), n
+def offset(seed: int) -> Column:
+    """The random start of a source, from 0 to below 1."""
+    return F.pmod(F.xxhash64(F.lit(seed), "source_key_"), F.lit(1 << 40)) / float(1 << 40)
 
 
-def planned(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+def planned(rows: DataFrame, narrow: DataFrame, seed: int = SEED) -> DataFrame:
     """rows(doc_id, source, size, ...) with source_size, target and copies; narrow holds the same
     rows with these three columns only, materialized."""
-    known, n = starts(narrow)
-    ranked = _ranked(rows, materialize(known), n)
+    known = materialize(targets(narrow).withColumn("start_", offset(seed)))
+    ranked = _ranked(rows, known, narrow.count())
     return ranked.withColumn("copies", _crossed(F.col("start_"))).drop("source_key_", "class_", "start_", "rank_")
 
 
@@ -92,17 +86,17 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return materialize(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"))
 
 
-def mix_plan(docs: DataFrame) -> DataFrame:
+def mix_plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     narrow = _narrow(docs)
-    return planned(narrow, narrow).select(
+    return planned(narrow, narrow, seed).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mixture: docs, same columns, each row as often as it is taken."""
     rows = sized(aside(docs, "doc_id", "source", "text")).drop("text")
-    plan = planned(rows, _narrow(docs))
+    plan = planned(rows, _narrow(docs), seed)
     often = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
     return back(plan.filter("copies > 0").withColumn("nth_", often), docs.columns)

@@ -5,7 +5,9 @@ from collections import Counter
 import brute
 import pytest
 
-from ledgerlane.llm.source_mix import mix, mix_plan
+from pyspark.sql import functions as F
+
+from ledgerlane.llm.source_mix import _crossed, mix, mix_plan, offset
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -54,3 +56,25 @@ def test_mix_emits_what_the_plan_takes(make_docs):
 def test_empty_table(make_docs):
     docs = make_docs(rows()).limit(0)
     assert mix_plan(docs).count() == 0 and mix(docs).count() == 0
+
+
+@pytest.mark.parametrize("target", [37, 100, 291])
+def test_expected_copies_over_all_offsets(spark, target):
+    """Whatever its rank, a document of a source of 100 words is taken target / 100 times on average."""
+    n = 1000
+    rows = spark.range(12).withColumnRenamed("id", "rank_").withColumns({"source_size": F.lit(100), "target": F.lit(float(target))})
+    copies = rows.crossJoin(spark.range(n)).withColumn("copies", _crossed((F.col("id") + 0.5) / n))
+    for r in copies.groupBy("rank_").agg(F.avg("copies").alias("mean"), F.min("copies").alias("least"), F.max("copies").alias("most")).collect():
+        assert abs(r["mean"] - target / 100) <= 2 / n and target // 100 <= r["least"] <= r["most"] <= -(-target // 100)
+
+
+def test_offsets_are_spread_over_seeds(spark):
+    seeds = spark.range(1).select(F.lit("=a").alias("source_key_")).select(*[offset(k).alias(f"o{k}") for k in range(400)]).first()
+    assert 0 <= min(seeds) and max(seeds) < 1
+    assert all(20 <= sum(k <= 10 * u < k + 1 for u in seeds) <= 60 for k in range(10))
+
+
+def test_seeds_take_different_documents(make_docs):
+    docs = make_docs(rows(), clash=False)
+    taken = [{(r["doc_id"], r["taken"]) for r in mix_plan(docs, seed).collect()} for seed in (1, 2)]
+    assert taken[0] != taken[1]
