@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -64,6 +64,37 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Trie:
+    """All tokens by their bytes. Nodes are numbered level by level, so that a node's children stand
+    together: the first child's number, and a bit for each byte that leads on, say where an arc goes."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        names = sorted({t[:n] for t in tokens for n in range(1, len(t) + 1)}, key=lambda t: (len(t), t))
+        number = {t: k for k, t in enumerate(names)}
+        #: The label that ends at a node, or -1; the nodes of single bytes.
+        self.ends = np.full(len(names) + 1, -1, dtype=np.int32)
+        for label, t in enumerate(tokens):
+            if t:
+                self.ends[number[t]] = label
+        self.roots = np.array([number.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
+        parent = np.array([number[t[:-1]] for t in names if len(t) > 1], dtype=np.int64)
+        byte = np.array([t[-1] for t in names if len(t) > 1], dtype=np.int64)
+        self.bits = np.zeros((len(names), 4), dtype=np.uint64)
+        np.bitwise_or.at(self.bits, (parent, byte >> 6), np.uint64(1) << (byte & 63).astype(np.uint64))
+        counts = np.bitwise_count(self.bits).astype(np.int32)
+        #: The number of the first child behind each of a node's four words of bits.
+        single = sum(len(t) == 1 for t in names)
+        first = single + np.cumsum(counts.sum(axis=1)) - counts.sum(axis=1)
+        self.first = (first[:, None] + np.cumsum(counts, axis=1) - counts).astype(np.int32)
+
+    def below(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes that bytes lead to, or -1."""
+        part, bit = byte >> 6, (byte & 63).astype(np.uint64)
+        word = self.bits[node, part]
+        rank = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+        return np.where((word >> bit) & np.uint64(1), self.first[node, part] + rank, -1).astype(np.int32)
+
+
 @dataclass
 class Automaton:
     tokens: list[bytes]  # by label
@@ -74,78 +105,82 @@ class Automaton:
     special: dict[str, int]
     dead: frozenset[int]  # labels without arcs
     cache: dict = field(default_factory=dict)
+    older: dict = field(default_factory=dict)
     by_id: dict = field(default_factory=dict)
     names: list = field(default_factory=list)
-    table: tuple = ()
+    table: Trie | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "by_id": {}, "names": [], "table": ()}
-
-    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The trie of all tokens: sorted keys (node * 256 + byte), the nodes they lead to, and the
-        label that ends at a node or -1. Node 0 is the root."""
-        if not self.table:
-            nodes: dict[int, int] = {}
-            ends = [-1]
-            for label, token in enumerate(self.tokens):
-                node = 0
-                for b in token:
-                    node = nodes.setdefault(node * 256 + b, len(ends))
-                    if node == len(ends):
-                        ends.append(-1)
-                ends[node] = -1 if label in self.dead else label
-            keys = np.array(sorted(nodes), dtype=np.int64)
-            self.table = (keys, np.array([nodes[k] for k in keys.tolist()], dtype=np.int64), np.array(ends, dtype=np.int64))
+        return self.__dict__ | {"cache": {}, "older": {}, "by_id": {}, "names": [], "table": None}
+
+    def _table(self) -> Trie:
+        if self.table is None:
+            self.table = Trie([b"" if label in self.dead else t for label, t in enumerate(self.tokens)])
         return self.table
 
     def labels(self, words: list[bytes]) -> list[list[int]]:
-        """The labels of pre-split words, all words advancing together position by position."""
-        keys, leads, ends = self._table()
-        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
-        size = np.array([len(words[k]) for k in order])
-        longest = int(size[0]) if len(size) else 0
-        text = np.zeros((len(words), longest + 1), dtype=np.int64)
-        for row, k in enumerate(order):
-            text[row, : size[row]] = np.frombuffer(words[k], dtype=np.uint8)
-        last = np.zeros((len(words), longest + 1), dtype=np.int64)
+        """The labels of pre-split words."""
+        flat, starts = self._flat_labels(words)
+        return [x.tolist() for x in np.split(flat, starts[1:])] if words else []
+
+    def _flat_labels(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The labels of pre-split words, one word after the other, and where each word's begin. All
+        words advance together, position by position. Words are padded to the longest."""
+        trie = self._table()
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        order = np.argsort(-size, kind="stable")  # the longest first
+        longest = int(size.max(initial=0))
+        text = np.zeros((len(words), longest + 1), dtype=np.uint8)
+        text[np.arange(longest + 1) < size[:, None]] = np.frombuffer(b"".join(words), dtype=np.uint8)
+        text, falling = np.ascontiguousarray(text[order].T), size[order]
+        last = np.zeros((longest + 1, len(words)), dtype=np.int32)
         for i in range(longest):
-            rows = np.arange(np.searchsorted(-size, -i))  # words longer than i
-            state = self.state[last[rows, i]] if i else None
-            node = np.zeros(len(rows), dtype=np.int64)
+            rows = np.arange(np.searchsorted(-falling, -i))  # words longer than i
+            state = self.state[last[i, rows]] if i else None
+            node = trie.roots[text[i, rows]]
             for j in range(i, longest):
-                key = node * 256 + text[rows, j]
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                on = (keys[at] == key) & (j < size[rows])
-                rows, node = rows[on], leads[at[on]]
-                state = state[on] if i else None
+                if j > i:
+                    on = falling[rows] > j
+                    if not on.all():
+                        rows, node, state = rows[on], node[on], state[on] if i else None
+                    node = trie.below(node, text[j, rows])
+                    on = node >= 0
+                    rows, node, state = rows[on], node[on], state[on] if i else None
                 if not len(rows):
                     break
-                label = ends[node]
+                label = trie.ends[node]
                 good = label >= 0
                 if i:
                     bits = self.barred[self.group[label], state >> 3]
                     good &= (bits & (128 >> (state & 7))) == 0
-                last[rows[good], j + 1] = label[good]
+                last[j + 1, rows[good]] = label[good]
+        # Back from each word's end: at every step the label that ends there.
         lengths = np.array([len(t) for t in self.tokens])
-        out: list[list[int]] = [[] for _ in words]
-        at, rows = size.copy(), np.arange(len(words))
+        at, rows, found = falling.copy(), np.arange(len(words)), []
         while len(rows := rows[at[rows] > 0]):
-            label = last[rows, at[rows]]
+            label = last[at[rows], rows]
             at[rows] -= lengths[label]
-            for row, x in zip(rows.tolist(), label.tolist(), strict=True):
-                out[order[row]].append(x)
-        return [x[::-1] for x in out]
+            found.append((order[rows], at[rows], label))
+        if not found:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(words), dtype=np.int64)
+        word, begin, label = (np.concatenate(x) for x in zip(*found, strict=True))
+        sequence = np.argsort(word * (longest + 1) + begin)
+        counts = np.bincount(word, minlength=len(words))
+        return label[sequence], np.cumsum(counts) - counts
 
     def _learn(self, words: list[str]) -> list[str]:
         """Each word's token ids in decimal, joined by commas. Words of one call are padded to the
         longest: pass like lengths."""
-        names = self.names
-        if not names:
-            names += map(str, self.ids.tolist())
-        return [",".join([names[x] for x in labels]) for labels in self.labels([w.encode() for w in words])]
+        if not self.names:
+            self.names += map(str, self.ids.tolist())
+        labels, starts = self._flat_labels([w.encode() for w in words])
+        ids = list(map(self.names.__getitem__, labels.tolist()))
+        starts = starts.tolist()
+        return [",".join(ids[s:e]) for s, e in zip(starts, [*starts[1:], len(ids)], strict=True)]
 
     def forget(self) -> None:
         self.cache.clear()
+        self.older.clear()
 
     def parts(self, texts: list[str | None]) -> Iterator[list[str]]:
         """For each text, what _learn() gives for its words, in order. Words are kept in a bounded
@@ -160,27 +195,32 @@ class Automaton:
             start = end
 
     def _parts(self, texts: list[str | None]) -> list[list[str]]:
-        cache = self.cache
+        # Two generations: words in use move on to the younger one, so that common words stay known.
+        cache, older = self.cache, self.older
+        if len(cache) > _CACHE:
+            older.clear()
+            self.cache, self.older = cache, older = older, cache
         words = [
             [w for part in self._split(t or "") for w in ([part] if part in self.special else splitter(part).findall(part))]
             for t in texts
         ]
-        fresh = {w for ws in words for w in ws if w not in cache}
-        if len(cache) + len(fresh) > _CACHE:
-            cache.clear()
-            fresh = {w for ws in words for w in ws}
+        unseen = set().union(*words).difference(cache)
+        cache.update((w, older[w]) for w in unseen.intersection(older))
+        fresh = unseen.difference(older)
         for s in fresh & self.special.keys():
             cache[s] = str(self.special[s])
         fresh -= self.special.keys()
         # Longer words in smaller lots, since a lot is padded to its longest word.
-        for least, most, lot in ((0, 16, _ABREAST), (16, 256, 256), (256, sys.maxsize, 1)):
-            some = [w for w in fresh if least < len(w) <= most]
-            for k in range(0, len(some), lot):
-                cache.update(zip(some[k : k + lot], self._learn(some[k : k + lot]), strict=True))
-        got = [[cache[w] for w in ws] for ws in words]
-        for w in fresh:
-            if len(w) > 256:
-                del cache[w]
+        by_size = sorted(fresh, key=len)
+        sizes = [len(w) for w in by_size]
+        cuts = [0, *(bisect_right(sizes, n) for n in (4, 8, 16, 256)), len(by_size)]
+        for s, e, lot in zip(cuts[:-1], cuts[1:], (_ABREAST, _ABREAST, _ABREAST, 256, 1), strict=True):
+            for k in range(s, e, lot):
+                some = by_size[k : min(k + lot, e)]
+                cache.update(zip(some, self._learn(some), strict=True))
+        got = [list(map(cache.__getitem__, ws)) for ws in words]
+        for w in by_size[cuts[-2] :]:
+            del cache[w]
         return got
 
     def encode(self, text: str | None) -> list[int]:
@@ -304,7 +344,7 @@ def encoded(docs: DataFrame, vocabulary: str, spark: SparkSession, with_ids: boo
                 # Decoding starts from the ids alone and replaces what isn't UTF-8, as decode() does.
                 text = automaton.bytes_of(ids).decode("utf-8", "replace").encode()
                 row = (len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text).hexdigest())
-                rows.append((*row, np.array(ids, dtype=np.int32)) if with_ids else row)
+                rows.append((*row, np.fromstring(joined, dtype=np.int32, sep=",")) if with_ids else row)
                 tokens += row[0]
                 if tokens >= _SENT:  # in parts, so that few ids are held at a time
                     yield pd.DataFrame(rows, columns=names)

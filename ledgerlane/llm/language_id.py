@@ -22,10 +22,10 @@ long texts are read whole; input columns stay, but one with the name of an outpu
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,9 +37,8 @@ from ledgerlane.llm.common import lots, release_memory
 UNKNOWN = "und"
 BUCKET_BITS, SMOOTHING, SWITCH, SCRIPT_SHARE = 15, 0.5, 8.0, 0.01
 WORST = 1.5
-_WORDS = re.compile(r"[^\W\d_]+")
-#: Words that a worker remembers or counts before it adds them up; characters labelled together.
-_CACHE, _TOGETHER = 1 << 16, 4 << 20
+#: Characters of text labelled together, and characters whose trigrams are looked up together.
+_TOGETHER, _ABREAST = 4 << 20, 1 << 19
 
 #: First code points of ranges, and the script of each (0: letters of no listed script).
 SCRIPT_RANGES = (
@@ -53,29 +52,63 @@ _SCRIPTS = np.array([s for _, s in SCRIPT_RANGES])
 N_SCRIPTS = 16
 
 
-def words_of(text: str | None) -> list[str]:
-    """The lower-cased runs of letters of a text."""
-    return _WORDS.findall((text or "").lower())
+@lru_cache(maxsize=1)
+def _alphabet() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=bool, count=0x110000)
 
 
-def _letters(word: str) -> str:
-    return word if word.isalpha() else "".join(filter(str.isalpha, word))
-
-
-def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all trigrams of the words, borders included, and the word that each belongs to."""
-    points = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    border = points == 32
-    inside = np.flatnonzero(~border)
-    mixed = points[inside - 1] * np.uint64(0x9E3779B97F4A7C15) ^ points[inside] * np.uint64(0xC2B2AE3D27D4EB4F) ^ points[inside + 1] * np.uint64(0x165667B19E3779F9)
+@dataclass
+class Words:
+    """The words (runs of letters) of some lower-cased texts."""
+
+    points: np.ndarray  # all code points, each text followed by a line feed; 32 where no letter is
+    starts: np.ndarray
+    ends: np.ndarray
+    firsts: np.ndarray  # the first word of each text, and the number of words
+
+    @property
+    def letters(self) -> np.ndarray:
+        return self.ends - self.starts
+
+    def of(self, text: int) -> slice:
+        return slice(int(self.firsts[text]), int(self.firsts[text + 1]))
+
+    def lots(self) -> Iterator[slice]:
+        """Runs of words of bounded length in all (or one word)."""
+        marks = self.starts // _ABREAST
+        cuts = np.flatnonzero(np.diff(marks, prepend=-1))
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(marks)], strict=False):  # without words: none
+            yield slice(s, e)
+
+
+def words_of(texts: list[str | None]) -> Words:
+    low = [(t or "").lower() for t in texts]
+    points = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letter = _alphabet()[points]
+    step = np.diff(letter.view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in low])])
+    return Words(np.where(letter, points, np.uint32(32)), starts, ends, np.searchsorted(starts, at))
+
+
+def trigrams(words: Words, some: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all trigrams of some words, borders included, and where each word's begin."""
+    starts, ends = words.starts[some], words.ends[some]
+    n = ends - starts
+    first = np.concatenate([[0], np.cumsum(n)])
+    low = int(starts[0])
+    points = np.concatenate([[32], words.points[low : int(ends[-1]) + 1]]) if low == 0 else words.points[low - 1 : int(ends[-1]) + 1]
+    inside = np.flatnonzero(points[1:-1] != 32) + 1
+    mixed = points.astype(np.uint64)
+    mixed = mixed[inside - 1] * np.uint64(0x9E3779B97F4A7C15) ^ mixed[inside] * np.uint64(0xC2B2AE3D27D4EB4F) ^ mixed[inside + 1] * np.uint64(0x165667B19E3779F9)
     mixed ^= mixed >> np.uint64(29)
     buckets = (mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BUCKET_BITS)
-    return buckets.astype(np.int64), np.cumsum(border)[inside] - 1
+    return buckets.astype(np.int32), first[:-1]
 
 
-def scripts(words: list[str]) -> np.ndarray:
-    first = np.array([ord(w[0]) for w in words], dtype=np.int64)
-    return _SCRIPTS[np.searchsorted(_STARTS, first, side="right") - 1]
+def scripts(words: Words) -> np.ndarray:
+    return _SCRIPTS[np.searchsorted(_STARTS, words.points[words.starts], side="right") - 1]
 
 
 def count_trigrams(labelled: DataFrame) -> DataFrame:
@@ -83,25 +116,15 @@ def count_trigrams(labelled: DataFrame) -> DataFrame:
     size = (1 << BUCKET_BITS) + N_SCRIPTS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size))
-
-        def add(lang: str, seen: Counter[str]) -> None:
-            pairs = [(w, n) for x, n in seen.items() if (w := _letters(x))]
-            seen.clear()
-            if pairs:
-                words, n = [w for w, _ in pairs], np.array([n for _, n in pairs], dtype=np.float64)
-                buckets, of = trigrams(words)
-                tables[lang] += np.bincount(buckets, n[of], size)
-                tables[lang] += np.bincount(scripts(words) + (1 << BUCKET_BITS), n, size)
-
+        tables: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size, dtype=np.int64))
         for batch in batches:
-            for lang, texts in batch.groupby("lang", sort=False)["text"]:
-                seen: Counter[str] = Counter()
-                for text in texts:
-                    seen.update(words_of(text))
-                    if len(seen) > _CACHE:
-                        add(lang, seen)
-                add(lang, seen)
+            for lang, column in batch.groupby("lang", sort=False)["text"]:
+                texts = column.to_list()
+                for lot in lots(texts, _TOGETHER):
+                    words = words_of([texts[k] for k in lot])
+                    for some in words.lots():
+                        tables[lang] += np.bincount(trigrams(words, some)[0], minlength=size)
+                    tables[lang] += np.bincount(scripts(words) + (1 << BUCKET_BITS), minlength=size)
             release_memory()
         for lang, t in tables.items():
             used = np.flatnonzero(t)
@@ -118,99 +141,50 @@ class Model:
     uses: np.ndarray  # bool (scripts, languages)
     middle: np.ndarray  # mean log-likelihood between own and other text, by language
     spread: np.ndarray  # standard deviation of a trigram's log-likelihood in own text, by language
-    known: dict = field(default_factory=dict)
-    scores: list = field(default_factory=list)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "scores": []}
-
-    def forget(self) -> None:
-        self.known.clear()
-        self.scores.clear()
-
-    def _score(self, words: list[str]) -> np.ndarray:
-        letters = [_letters(w) for w in words]
-        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
-        full = [k for k, w in enumerate(letters) if w]
-        if not full:
-            return out
-        some = [letters[k] for k in full]
-        buckets, of = trigrams(some)
-        starts = np.flatnonzero(np.diff(of, prepend=-1))
-        sums = np.add.reduceat(self.weights[buckets], starts, axis=0)
-        can = self.uses[scripts(some)]
-        sums = np.where(can, sums, sums.min(axis=1, keepdims=True) - 1000)
-        out[full] = np.where(can.any(axis=1, keepdims=True), sums, 0)
-        return out
-
-    def _written(self, words: list[str]) -> np.ndarray:
-        """Whether any language uses a word's script."""
-        return self.uses.any(axis=1)[scripts([_letters(w) or w for w in words])]
-
-    def _numbers(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The numbers of each text's words in the table of word scores."""
-        known = self.known
-        if len(known) > _CACHE:
-            self.forget()
-        out, fresh = [], []
-        for text in texts:
-            words = words_of(text)
-            numbers = list(map(known.get, words))
-            if None in numbers:
-                for k, number in enumerate(numbers):
-                    if number is None:
-                        w = words[k]
-                        number = known.get(w)
-                        if number is None:
-                            number = known[w] = len(known)
-                            fresh.append(w)
-                        numbers[k] = number
-            out.append(np.array(numbers, dtype=np.int32))
-        if fresh:
-            letters = np.array([sum(map(str.isalpha, w)) for w in fresh], dtype=np.float32)
-            self.scores.append((self._score(fresh), letters, letters * self._written(fresh)))
-            if len(self.scores) > 1:
-                self.scores[:] = [tuple(np.concatenate(x) for x in zip(*self.scores, strict=True))]
-        return out
 
-    def label(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """For each text the language number of each word, each word's letters, and these again, but 0
-        for words that no language can write."""
-        return self._labelled(texts)[1:]
-
-    def _labelled(self, texts: list[str | None]) -> tuple[list[np.ndarray], ...]:
-        """What label() gives, after the numbers of the words."""
-        numbers = self._numbers(texts)
-        if not self.scores:
-            none = [np.zeros(0, np.float32) for _ in texts]
-            return numbers, [np.zeros(0, np.int32) for _ in texts], none, none
-        scores, letters, own = self.scores[0]
-        paths = viterbi(numbers, scores, SWITCH)
-        return numbers, paths, [letters[n] for n in numbers], [own[n] for n in numbers]
+    def _scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's log-likelihood under each language, and whether any language uses its script."""
+        out = np.zeros((len(words.starts), len(self.langs)), dtype=np.float32)
+        for some in words.lots():
+            buckets, first = trigrams(words, some)
+            out[some] = np.add.reduceat(self.weights[buckets], first, axis=0)
+        can = self.uses[scripts(words)]
+        written = can.any(axis=1)
+        narrowed = np.where(can, out, out.min(axis=1, keepdims=True) - 1000) if len(out) else out
+        return np.where(written[:, None], narrowed, 0), written
+
+    def label(self, texts: list[str | None]) -> tuple[Words, np.ndarray, list[np.ndarray], np.ndarray]:
+        """The words of the texts, their scores, the language number of each text's words, and whether
+        any language can write a word."""
+        words = words_of(texts)
+        scores, written = self._scores(words)
+        numbers = [np.arange(words.firsts[k], words.firsts[k + 1]) for k in range(len(texts))]
+        return words, scores, viterbi(numbers, scores, SWITCH), written
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, int, float]]:
         """Language, score, number of spans and fit of each text."""
         out = [(UNKNOWN, 0.0, 0, 0.0)] * len(texts)
         for lot in lots(texts, _TOGETHER) if self.langs else []:
-            labelled = self._labelled([texts[k] for k in lot])
-            for k, n, path, letters, own in zip(lot, *labelled, strict=True):
-                out[k] = self._verdict(n, path, letters, own)
+            words, scores, paths, written = self.label([texts[k] for k in lot])
+            letters = words.letters.astype(np.float32)
+            for k, (at, path) in enumerate(zip(lot, paths, strict=True)):
+                own = words.of(k)
+                out[at] = self._verdict(path, scores[own], letters[own], written[own])
         return out
 
-    def _verdict(self, numbers: np.ndarray, path: np.ndarray, letters: np.ndarray, own: np.ndarray) -> tuple[str, float, int, float]:
-        all_ = float(letters.sum())
-        if not all_:
+    def _verdict(self, path: np.ndarray, scores: np.ndarray, letters: np.ndarray, written: np.ndarray) -> tuple[str, float, int, float]:
+        if not len(path):
             return UNKNOWN, 0.0, 0, 0.0
-        got = np.bincount(path, own, len(self.langs))
+        got = np.bincount(path, letters * written, len(self.langs))
         best = int(got.argmax())
         n = float(got[best])  # a word has as many trigrams as letters
         if not n:
             return self.langs[best], 0.0, 0, 0.0
-        mine = numbers[(path == best) & (own > 0)]
-        scores, letters, _ = self.scores[0]
+        mine = (path == best) & written
         above = (scores[mine, best] - letters[mine] * self.middle[best]) / self.spread[best]
         fit = float(np.maximum(above, -WORST * letters[mine]).sum(dtype=np.float64)) / n**0.5
-        return self.langs[best], n / all_, 1 + int(np.count_nonzero(np.diff(path[own > 0]))), fit
+        spans = 1 + int(np.count_nonzero(np.diff(path[written])))
+        return self.langs[best], n / float(letters.sum(dtype=np.float64)), spans, fit
 
 
 def viterbi(numbers: list[np.ndarray], scores: np.ndarray, switch: float) -> list[np.ndarray]:
@@ -279,7 +253,6 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame(shared.value.predict(list(batch)), columns=["lang_pred", "score", "n_spans", "fit"])
-            shared.value.forget()
             release_memory()
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "n_spans", "fit", "lid_")]
@@ -303,15 +276,16 @@ def spans_of(model: Model, text: str | None) -> list[dict]:
     out: list[dict] = []
     if not model.langs:
         return out
-    paths, _, weights = model.label([text])
-    # Lower-casing can lengthen a text, so offsets are taken where it doesn't.
+    # Lower-casing can lengthen a text; where it does, such letters stay, so that offsets hold.
     low = (text or "").lower()
-    source = low if len(low) == len(text or "") else "".join(c if len(c.lower()) > 1 else c.lower() for c in text or "")
-    for m, label, weight in zip(_WORDS.finditer(source), paths[0].tolist(), weights[0].tolist(), strict=False):
-        if not weight:
+    if len(low) != len(text or ""):
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text or "")
+    words, _, paths, written = model.label([low])
+    for start, end, label, known in zip(words.starts.tolist(), words.ends.tolist(), paths[0].tolist(), written.tolist(), strict=True):
+        if not known:
             continue
         if out and out[-1]["lang"] == model.langs[label]:
-            out[-1]["end"] = m.end()
+            out[-1]["end"] = end
         else:
-            out.append({"start": m.start(), "end": m.end(), "lang": model.langs[label]})
+            out.append({"start": start, "end": end, "lang": model.langs[label]})
     return out

@@ -1,9 +1,14 @@
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from ledgerlane.llm.language_id import UNKNOWN, identify, label_spans, train, trigrams, viterbi, words_of
+from ledgerlane.llm.language_id import BUCKET_BITS, SMOOTHING, SWITCH, UNKNOWN, identify, label_spans, train, trigrams, viterbi, words_of
+from ledgerlane.llm.queries import op2_language_id
 
 EN, DE = "the house and this thing with".split(), "das haus und schön nicht größe".split()
 RU = "дом и это слово когда".split()
@@ -64,9 +69,63 @@ def test_spans_of_mixed_text(spark, make_docs, model):
 
 
 def test_trigrams_belong_to_their_words():
-    buckets, of = trigrams(["ab", "c"])
-    assert of.tolist() == [0, 0, 1] and len(buckets) == 3
-    assert words_of("It's ÄÖ 12x") == ["it", "s", "äö", "x"]
+    words = words_of(["ab c", None, "It's ÄÖ 12x"])
+    text = "ab c\n\nit's äö 12x\n"
+    assert [text[i:j] for i, j in zip(words.starts, words.ends, strict=True)] == ["ab", "c", "it", "s", "äö", "x"]
+    assert words.firsts.tolist() == [0, 2, 2, 6] and words.letters.tolist() == [2, 1, 2, 1, 2, 1]
+    buckets, first = trigrams(words, slice(0, 6))
+    assert first.tolist() == [0, 2, 3, 5, 6, 8] and len(buckets) == 9
+    assert trigrams(words, slice(2, 5))[0].tolist() == buckets[3:8].tolist()
+
+
+def plain_prediction(train_rows, texts):
+    """lang and score by counters and a dynamic programme over words, one text at a time."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    tri = lambda w: [f" {w} "[i : i + 3] for i in range(len(w))]
+    counts = {}
+    for _, t, lang in train_rows:
+        if lang is not None:
+            counts.setdefault(lang, Counter()).update(x for w in words(t) for x in tri(w))
+    langs = sorted(x for x in counts if counts[x])
+    total = {x: sum(counts[x].values()) + SMOOTHING * 2**BUCKET_BITS for x in langs}
+    score = lambda w, x: sum(math.log((counts[x][g] + SMOOTHING) / total[x]) for g in tri(w))
+    for t in texts:
+        ws = words(t)
+        if not ws:
+            yield UNKNOWN, 0.0
+            continue
+        best, back = {x: score(ws[0], x) for x in langs}, []
+        for w in ws[1:]:
+            step = {x: max(langs, key=lambda y: best[y] - SWITCH * (y != x)) for x in langs}
+            best = {x: best[y] - SWITCH * (y != x) + score(w, x) for x, y in step.items()}
+            back.append(step)
+        path = [max(langs, key=best.__getitem__)]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        letters = Counter()
+        for w, x in zip(ws, reversed(path), strict=True):
+            letters[x] += len(w)
+        lang = max(langs, key=lambda x: letters[x])
+        yield lang, letters[lang] / sum(letters.values())
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    """The registered query over a small table of mixed texts, nulls and repeated rows."""
+    rng = random.Random(12)
+    lists = {"en": EN, "de": DE, "fr": "une maison et cette chose avec des mots".split()}
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(lists))
+        other = rng.choice(list(lists))
+        text = " ".join(rng.choices(lists[lang], k=rng.randint(1, 9)) + rng.choices(lists[other], k=rng.randint(0, 9))) + rng.choice([".", " 12!", ""])
+        rows.append((i, rng.choice([text, text.upper()]), rng.choice([lang, None])))
+    rows += [(200, None, "en"), (201, "", None), (202, "12 ?", "de"), (203, rows[3][1], "en"), (203, rows[3][1], "en"), (None, "the house", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+    got = sorted(((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 5)) for r in op2_language_id(spark, str(tmp_path)).collect()), key=repr)
+    plain = plain_prediction([r for r in rows if not held(r[0])], [t for _, t, _ in rows])
+    want = sorted(((i, held(i), lang, round(score, 5)) for (i, _, _), (lang, score) in zip(rows, plain, strict=True)), key=repr)
+    assert got == want
 
 
 def test_words_that_no_language_can_write_count_for_none(spark, make_docs, model, by_id):
