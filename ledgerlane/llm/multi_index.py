@@ -8,13 +8,17 @@ enough is measured: 200 sampled rows are compared with all rows, and the number
 have found 97 % of their neighbours.
 
 Every row is indexed. Cells are dealt to shards, large cells over several; a query goes to the
-shards that hold its cells and brings back its best few from each. Of equal vectors only the
-smallest ids can be among the nearest, so k + 1 of them are kept (a limit that loses no result),
-and equal queries are searched once. Cell sizes (K x K numbers, bounded) are known to all workers.
+shards that hold its cells and brings back its best few from each. A task reads a shard's entries,
+whose number is bounded, and then lets the shard's queries stream past them, so that it never holds
+more than a batch of these. Of equal vectors only the smallest ids can be among the nearest, so k + 1
+of them are kept (a limit that loses no result), and equal queries are searched once. Cell sizes
+(K x K numbers, bounded) are known to all workers. Vectors keep the input's element type throughout.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and rows without a
-vec_id, take no part; with k other rows or fewer all are returned; ties go to the smaller vec_id;
-shorter vectors are padded with zeros; an empty table gives an empty result.
+vec_id, take no part; repeated rows count once; of rows that share a vec_id but not the vector the
+smallest vector stands for the id; with k other ids or fewer all are returned; ties go to the smaller
+vec_id; shorter vectors are padded with zeros; an empty table gives an empty result; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from ledgerlane.llm.vectors import matrix, sample, usable
 
 #: Entries a cell and a shard should have; centroids a half; rounds of k-means; entries of a cell that
 #: stay together; queries scored together; queries of the calibration.
-A_CELL, A_SHARD, MOST_CENTROIDS, ROUNDS, A_PART, TOGETHER, CALIBRATING = 50, 16_384, 1024, 10, 8_192, 256, 200
+A_CELL, A_SHARD, MOST_CENTROIDS, ROUNDS, A_PART, TOGETHER, CALIBRATING = 50, 4_096, 1024, 10, 2_048, 256, 200
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -94,31 +98,42 @@ class Index:
         return (cell * 2_654_435_761 + part * 40_503) % self.shards
 
 
-def _searched(queries: pd.DataFrame, entries: pd.DataFrame, width: int, k: int) -> pd.DataFrame:
-    """The k best entries of one shard for each of its queries, ties to the smaller id."""
-    out = [pd.DataFrame({"qid": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
-    entries = entries.sort_values(["cell", "vec_id"])
-    x, ids, cells = matrix(entries["embedding"], width), entries["vec_id"].to_numpy(), entries["cell"].to_numpy()
-    for start in range(0, len(queries) if len(x) else 0, TOGETHER):
-        some = queries.iloc[start : start + TOGETHER]
-        q, wanted = matrix(some["embedding"], width), some["cells"].to_list()
-        asked, owner = np.concatenate(wanted), np.repeat(np.arange(len(some)), [len(w) for w in wanted])
-        order = np.argsort(asked, kind="stable")
-        asked, owner = asked[order], owner[order]
-        scores = np.full((len(some), len(x)), -np.inf)
-        for cell in np.unique(asked).tolist():
-            s, e = np.searchsorted(cells, [cell, cell + 1])
-            who = owner[slice(*np.searchsorted(asked, [cell, cell + 1]))]
-            scores[who, s:e] = q[who] @ x[s:e].T
-        least = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(some), -np.inf)
-        row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-        best = np.lexsort((ids[col], -scores[row, col], row))
-        row, col = row[best], col[best]
-        first = np.searchsorted(row, row)
-        top = np.arange(len(row)) - first < k
-        row, col = row[top], col[top]
-        out.append(pd.DataFrame({"qid": some["qid"].to_numpy()[row], "vec_id": ids[col], "score": scores[row, col]}))
-    return pd.concat(out)
+class _Shard:
+    """The entries of a shard, by cell."""
+
+    def __init__(self, parts: list[pd.DataFrame], width: int) -> None:
+        entries = pd.concat(parts).sort_values(["cell", "id"])
+        self.x, self.ids, self.cells = matrix(entries["embedding"], width), entries["id"].to_numpy(), entries["cell"].to_numpy()
+
+    def best(self, queries: pd.DataFrame, width: int, k: int) -> Iterator[pd.DataFrame]:
+        """The k best entries for each query, ties to the smaller id."""
+        x, ids, cells = self.x, self.ids, self.cells
+        for start in range(0, len(queries), TOGETHER):
+            some = queries.iloc[start : start + TOGETHER]
+            q, wanted = matrix(some["embedding"], width), some["cells"].to_list()
+            asked, owner = np.concatenate(wanted), np.repeat(np.arange(len(some)), [len(w) for w in wanted])
+            order = np.argsort(asked, kind="stable")
+            asked, owner = asked[order], owner[order]
+            scores = np.full((len(some), len(x)), -np.inf)
+            for cell in np.unique(asked).tolist():
+                s, e = np.searchsorted(cells, [cell, cell + 1])
+                who = owner[slice(*np.searchsorted(asked, [cell, cell + 1]))]
+                scores[who, s:e] = q[who] @ x[s:e].T
+            least = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(some), -np.inf)
+            row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            best = np.lexsort((ids[col], -scores[row, col], row))
+            row, col = row[best], col[best]
+            top = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[top], col[top]
+            yield pd.DataFrame({"qid": some["id"].to_numpy()[row], "vec_id": ids[col], "score": scores[row, col]})
+
+
+def _runs(batch: pd.DataFrame) -> Iterator[tuple[int, bool, pd.DataFrame]]:
+    """Runs of rows of one shard and kind (entries, then queries)."""
+    shard, asks = batch["shard"].to_numpy(), batch["asks"].to_numpy()
+    cuts = np.flatnonzero(np.diff(shard * 2 + asks, prepend=-1)).tolist()
+    for s, e in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+        yield int(shard[s]), bool(asks[s]), batch.iloc[s:e]
 
 
 def enough_for(index: Index, celled: DataFrame, k: int, recall: float) -> int:
@@ -156,7 +171,8 @@ def enough_for(index: Index, celled: DataFrame, k: int, recall: float) -> int:
 def search(spark: SparkSession, rows: DataFrame, queries: Column, k: int = 20, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest other rows of each row of rows(vec_id,
     embedding) for which the condition `queries` holds; recall is what the calibration aims at."""
-    good = rows.select("vec_id", "embedding").filter(usable() & F.col("vec_id").isNotNull())
+    usable_rows = rows.select("vec_id", "embedding").filter(usable() & F.col("vec_id").isNotNull())
+    good = materialize(usable_rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     kept = materialize(good.withColumn("nth", F.row_number().over(copies)).filter(F.col("nth") <= k + 1).drop("nth"))
     n, width = kept.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
@@ -197,14 +213,29 @@ def search(spark: SparkSession, rows: DataFrame, queries: Column, k: int = 20, r
             yield pd.DataFrame(out, columns=["shard", "qid", "embedding", "cells"])
 
     asked = good.filter(queries)
-    distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("qid"))
-    entries = celled.withColumn("shard", shard_of("cell", "vec_id"))
-    wanted = distinct.mapInPandas(walk, "shard int, qid long, embedding array<float>, cells array<int>")
-
-    def find(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        return _searched(q, e, width, k + 1)
+    distinct = materialize(asked.groupBy("embedding").agg(F.min("vec_id").alias("qid")))
+    kind = kept.schema["embedding"].dataType.simpleString()
+    dealt = distinct.repartition(1 + distinct.count() // TOGETHER, "qid")
+    wanted = dealt.mapInPandas(walk, f"shard int, qid long, embedding {kind}, cells array<int>")
+    entries = celled.select(
+        shard_of("cell", "vec_id").alias("shard"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "embedding", "cell", F.lit(None).cast("array<int>").alias("cells")
+    )
+    questions = wanted.select("shard", F.lit(1).alias("asks"), F.col("qid").alias("id"), "embedding", F.lit(0).alias("cell"), "cells")
 
-    found = wanted.groupBy("shard").cogroup(entries.groupBy("shard")).applyInPandas(find, "qid long, vec_id long, score double")
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, at, shard = [], None, None
+        for batch in batches:
+            for number, asks, some in _runs(batch):
+                if number != at:
+                    parts, at, shard = [], number, None
+                if not asks:
+                    parts.append(some)
+                elif parts:
+                    shard = shard or _Shard(parts, width)
+                    yield from shard.best(some, width, k + 1)
+
+    streamed = entries.union(questions).repartition(index.shards, "shard").sortWithinPartitions("shard", "asks")
+    found = streamed.mapInPandas(find, "qid long, vec_id long, score double")
     ranked = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= k + 1).drop("nth")
     of = asked.select(F.col("vec_id").alias("query_id"), "embedding").join(distinct, "embedding").select("query_id", "qid")

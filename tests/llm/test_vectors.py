@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import grid_order_join
+from ledgerlane.llm import grid_order_join, multi_index
 from ledgerlane.llm.grid_order_join import join_intervals, near_duplicates
 from ledgerlane.llm.multi_index import Index, search
 
@@ -92,3 +92,34 @@ def test_walk_visits_cells_by_falling_sum():
     index = Index(np.zeros((6, 1)), np.zeros((6, 1)), 2, np.ones(36, dtype=int))
     sums = [a[c // 6] + b[c % 6] for c in index.visit(a, b, 36)]
     assert len(sums) == 36 and sums == sorted(sums, reverse=True)
+
+
+def test_search_keeps_doubles_and_counts_repeated_rows_and_ids_once(spark, monkeypatch):
+    """Against brute force on the original doubles, over several shards; an id with two vectors stands
+    for the smaller one."""
+    monkeypatch.setattr(multi_index, "A_SHARD", 64)
+    monkeypatch.setattr(multi_index, "TOGETHER", 7)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(300, 9)) + 1e-9 * rng.normal(size=(300, 9))
+    m[200:] = m[:100] * (1 + 1e-12)  # near ties that single precision cannot tell
+    data = [(i, m[i].tolist()) for i in range(300)]
+    data += data[:40] + [(20, [9.0] * 9), (20, data[20][1])]
+    vectors = {}
+    for i, v in data:
+        vectors[i] = min(vectors.get(i, v), v)
+    got = {}
+    for r in search(spark, spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20, recall=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ids = np.array(sorted(vectors))
+    all_ = np.array([vectors[i] for i in ids.tolist()])
+    hits = 0
+    assert sorted(got) == list(range(0, 300, 20))
+    for q, rows_ in got.items():
+        s = all_ @ np.array(vectors[q])
+        s[ids == q] = -np.inf
+        mine = sorted(rows_)
+        assert [r for r, *_ in mine] == list(range(1, 21)) and len({v for _, v, _ in mine}) == 20
+        assert [x for *_, x in mine] == pytest.approx([s[v] for _, v, _ in mine], rel=1e-13)
+        assert [v for _, v, _ in mine] == [v for _, v, _ in sorted(mine, key=lambda r: (-r[2], r[1]))]
+        hits += len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & {v for _, v, _ in mine})
+    assert hits >= 0.97 * 20 * len(got)
