@@ -10,6 +10,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlane.sources.scratch import materialize
+
 LEAVES_A_GROUP = 1024
 
 
@@ -22,12 +24,14 @@ def row_hashes(rows: DataFrame) -> DataFrame:
 
 def indexed(rows: DataFrame, *order: str) -> DataFrame:
     """rows with index_ from 0 in the given order (which must be total), without sorting in one task:
-    a range partitioning, ranks within partitions, and offsets from the partitions' counts."""
-    parted = rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()).persist()
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    a range partitioning, ranks within partitions, and offsets from the partitions' counts. The
+    partitioned rows are written before they are numbered: if an executor is lost, another sample for
+    the ranges would cut them elsewhere."""
+    parted = materialize(rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = parted.groupBy("part_").agg(F.count(F.lit(1)).alias("n_")).withColumn("offset_", F.coalesce(F.sum("n_").over(before), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
-    return parted.withColumn("rank_", rank).join(F.broadcast(offsets), "part_").withColumn(
+    return parted.withColumn("rank_", rank).join(offsets, "part_").withColumn(
         "index_", (F.col("rank_") + F.col("offset_")).cast("long")
     ).drop("part_", "rank_", "offset_", "n_")
 

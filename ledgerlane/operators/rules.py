@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.functions.fixed import CATCHUP_DEMO_REASON, FIXES, LIMITS
-from ledgerlane.functions.scalar import age_on, age_rounded, first_of_month, ratio, years_after
+from ledgerlane.functions.scalar import age_on, age_rounded, first_of_month, once, ratio, years_after
 from ledgerlane.operators.issues import with_metadata
 
 HCE_ROTH, MISCODED = "HCE catch-up not coded as Roth", "Potential catch-up coded in base deferral source"
@@ -28,7 +28,7 @@ def secure20(rows: DataFrame) -> DataFrame:
     kind = F.when(
         F.col("is_hce") & (F.col("age") >= 50) & (F.col("catchup_pretax") > 0) & (F.col("catchup_roth") == 0), HCE_ROTH
     ).when((F.col("age") >= 50) & (F.col("catchup_amount") == 0), MISCODED)
-    found = rows.withColumn("violation_type", kind).filter("violation_type is not null").select(
+    found = rows.withColumn("violation_type", once(kind)).filter("violation_type is not null").select(
         "employee_id", "age", "is_hce", F.col("pretax").alias("deferral_pretax"), F.col("roth").alias("deferral_roth"), "catchup_amount",
         "violation_type", _fix(F.col("violation_type")).alias("recommended_fix"),
     )
@@ -96,10 +96,10 @@ def eligibility_dates(census: DataFrame, contributions: DataFrame) -> DataFrame:
 
 def eligibility_drift(dates: DataFrame, rule: EligibilityRule, grace_days: int = 30) -> DataFrame:
     """Participants without contributions, or whose first came more than grace_days after eligibility."""
-    rows = dates.withColumn("computed_eligibility_date", rule.date())
+    rows = dates.withColumn("computed_eligibility_date", once(rule.date()))
     first, due = F.col("first_deferral_date"), F.col("computed_eligibility_date")
     issue = F.when(due.isNull(), None).when(first.isNull(), NO_START).when(first > F.date_add(due, grace_days), LATE_START)
-    found = rows.withColumn("issue_type", issue).filter("issue_type is not null").select(
+    found = rows.withColumn("issue_type", once(issue)).filter("issue_type is not null").select(
         "employee_id", "hire_date", "dob", age_rounded(F.col("dob"), due).alias("age_at_eligibility"), "computed_eligibility_date",
         "first_deferral_date", F.datediff(first, due).alias("drift_days"), "issue_type", _fix(F.col("issue_type")).alias("recommended_fix"),
     )
@@ -148,18 +148,20 @@ class MatchRule:
 
 
 def match_check(rows: DataFrame, rule: MatchRule = MatchRule()) -> DataFrame:
-    """Employer match against compensation x min(deferral share, cap) x rate, in doubles."""
-    comp, match = F.col("compensation").cast("double"), F.col("er_match").cast("double")
-    share = F.col("deferral").cast("double") / comp
-    rows = rows.filter("compensation > 0").withColumn("deferral_pct", share).withColumn(
-        "expected_match", comp * F.least(F.col("deferral_pct"), F.lit(rule.cap)) * rule.rate
-    )
-    gap = match - F.col("expected_match")
-    within = (F.abs(gap) <= rule.tolerance) & (F.abs(ratio(gap, F.col("expected_match"))) <= rule.tolerance_pct)
+    """Employer match against compensation x min(deferral share, cap) x rate, in doubles. Amounts are
+    converted once and rows classified once, whatever reads the result."""
+    amounts = F.struct(*[F.col(c).cast("double").alias(k) for c, k in (("compensation", "comp"), ("deferral", "paid"), ("er_match", "match"))])
+    rows = rows.filter("compensation > 0").select("employee_id", "pay_date", once(amounts).alias("a"))
+    share = F.col("a.paid") / F.col("a.comp")
+    rows = rows.withColumns({"share": share, "expected": F.col("a.comp") * F.least(share, F.lit(rule.cap)) * rule.rate})
+    gap = F.col("a.match") - F.col("expected")
+    within = (F.abs(gap) <= rule.tolerance) & (F.abs(ratio(gap, F.col("expected"))) <= rule.tolerance_pct)
     kind = F.when(~within & (gap < 0), "Under-match").when(~within & (gap > 0), "Over-match")
-    found = rows.withColumn("issue_type", kind).filter("issue_type is not null").select(
-        "employee_id", "pay_date", comp.alias("eligible_comp"), F.col("deferral").cast("double").alias("ee_deferral_amount"), "deferral_pct",
-        match.alias("er_match_amount"), "expected_match", gap.alias("variance"), ratio(gap, F.col("expected_match")).alias("variance_pct"), "issue_type",
+    told = F.struct("share", "expected", gap.alias("gap"), ratio(gap, F.col("expected")).alias("ratio"), kind.alias("kind"))
+    found = rows.select("employee_id", "pay_date", "a", once(told).alias("m")).filter("m.kind is not null").select(
+        "employee_id", "pay_date", F.col("a.comp").alias("eligible_comp"), F.col("a.paid").alias("ee_deferral_amount"), F.col("m.share").alias("deferral_pct"),
+        F.col("a.match").alias("er_match_amount"), F.col("m.expected").alias("expected_match"), F.col("m.gap").alias("variance"),
+        F.col("m.ratio").alias("variance_pct"), F.col("m.kind").alias("issue_type"),
     )
     return with_metadata(found)
 

@@ -108,11 +108,13 @@ class Engine:
                 raise RuntimeError("; ".join(report.errors))
         run_id = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_") + uuid.uuid4().hex[:8]
         p, r, vendors = self.canonical(payroll, rk)
-        p, r = p.persist(), r.persist()
+        held = [p.persist(), r.persist()]
         try:
             result = Result(run_id, {})
             result.tables = self.tables(p, r, result.warnings)
             t = result.tables
+            # The rules are evaluated once for their own tables, the union, its counts and the score.
+            held += [rows.persist() for name, rows in t.items() if name.endswith("_issues")]
             one = lambda df: df.first().asDict()
             result.summary = {"run_id": run_id, "plan_name": self.config.plan_name, "payroll_vendor": vendors["payroll"], "rk_vendor": vendors["rk"]}
             result.summary |= one(metrics.run_totals(t["joined"])) | one(metrics.mismatch_counts(t["joined"], self.config.late_business_days))
@@ -124,8 +126,8 @@ class Engine:
                 self._write(result, output)
             return result
         finally:
-            p.unpersist()
-            r.unpersist()
+            for rows in held:
+                rows.unpersist()
 
     def _write(self, result: Result, output: str) -> None:
         os.makedirs(output, exist_ok=True)

@@ -173,3 +173,10 @@ def test_streamed_timing(spark, tmp_path):
     out.writeStream.format("memory").queryName("timed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     got = {(r["employee_id"], r["days_to_deposit"], r["is_late"], r["missing_deposit"]) for r in spark.table("timed").filter("employee_id <> '9'").collect()}
     assert got == {("1", 3, False, False), ("1", 17, True, False), ("2", None, False, True)}
+
+
+def test_match_plan_reads_each_column_a_few_times(spark):
+    """The amounts are not spelt out again in every filter and lookup that reads the classification."""
+    rows = spark.range(3).selectExpr("cast(id as string) as employee_id", "current_date() as pay_date", "cast(id + rand() as decimal(18,2)) as compensation", "cast(id as decimal(18,2)) as deferral", "cast(id as decimal(18,2)) as er_match")
+    plan = rules.match_check(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rand(") == 1 and len(plan) < 20_000
