@@ -2,63 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlane.sources.scratch import clear_scratch, materialize, scratch  # noqa: F401
+
 #: An ASCII word: what lies between spaces and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _BLOCK = 256
 
-_local_scratch: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only a local session that sets none gets a temporary folder of its own; on a cluster an unset
-    folder is an error, since a machine's own folder would not be seen by the others.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    if not _local_scratch:
-        folder = tempfile.mkdtemp(prefix="ledgerlane-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _local_scratch.append(f"file://{folder}")
-    return _local_scratch[0]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back: lineage ends here, and a
-    lost executor loses nothing that was written."""
-    path = f"{scratch(df.sparkSession)}/ledgerlane/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes the shared folder's tables and models of all programs that use it; results that are read
-    from them must have been saved before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/ledgerlane")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def lots(texts: list[str | None], most: int) -> list[list[int]]:
     """The numbers of the texts, shorter ones first, in lots of about `most` characters (or one text),
     so that what is held at a time is bounded and texts of one lot are about as long."""
