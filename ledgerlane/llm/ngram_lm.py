@@ -1,21 +1,24 @@
 """Interpolated modified Kneser-Ney model of order 2 or 3: counted in Spark, stored as sorted hash arrays,
 memory-mapped by the workers that score.
 
-Words are 64-bit hashes. Counting deals out sorted arrays rather than rows: each task sorts and counts
-what it has read, and sends every bucket one array. Buckets follow the context, so a bucket has all of
-a context's continuations and its statistics; contexts with a large share of the corpus are spread
-over all buckets by continuation and their statistics are summed in a second step, which also counts
-each word's distinct contexts. Every bucket is written as sorted NumPy arrays to the shared folder
-(a path that machines mount, since they are memory-mapped) under a temporary name and then renamed, so
-repeated tasks leave one copy. Only a few numbers per bucket, the counts of counts, come to the driver.
+Words are 64-bit hashes. A task numbers the words of some million tokens, counts their distinct n-grams,
+and deals them to buckets by the middle word: a blob per bucket, of the hashes of its words once and
+the n-grams as numbers of these, in byte planes that compress well. So a bucket holds all of a word's
+trigrams, and with them how often each bigram continues, what follows each pair of words, and what
+follows the word. Words with a large share of the corpus (and the start mark) are spread over all
+buckets by the word that follows; what they have in each is added up in a second step, which also
+counts each word's distinct contexts. A bucket is one file of sorted arrays in the shared folder (a
+path that machines mount, since files are memory-mapped), written under a temporary name and renamed,
+so repeated tasks leave one copy. Keys are the 48 leading bits of a hash: of the at most few million
+n-grams of a bucket one that doesn't occur is mistaken for one that does once in 10^8 times. A worker
+keeps a bounded number of maps open. Only sums come to the driver, and the hashes of the spread words.
 
 P(w|v) = (c(v,w) - D_c) / c(v) + (D1 n1(v) + D2 n2(v) + D3 n3(v)) / c(v) * P(w), where P(w) discounts
 the number of distinct contexts of w in the same way and gives the rest to V + 1 words evenly. A
 document is its words after a start mark, and one end token.
 
 With order 3, P(w|u,v) is interpolated in the same way with P(w|v), whose c(v,w) is then the number
-of distinct u before it; a document has two start marks. Trigrams are counted in buckets by (u,v),
-which send every bigram's bucket how many u it has there; the rest is as for order 2.
+of distinct u before it; a document has two start marks.
 
 Edge cases: a null, empty or blank text is the end token alone; without training rows every text has
 probability 1 per token under the model and the base score is 0; repeated rows count as often as they
@@ -24,10 +27,14 @@ occur; texts are read whole; a null doc_id is hashed as empty text; other column
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
 import uuid
-from collections.abc import Iterator
+from collections import OrderedDict, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import count
 from urllib.parse import urlparse
 
 import numpy as np
@@ -38,24 +45,58 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import scratch
+from ledgerlane.llm.common import release_memory, scratch
 
-#: Bytes of text a bucket stands for; entries a task gathers before it sorts and sends them; bytes of
-#: text scored together; a context is spread if it has more than this share of its bucket's tokens.
-BUCKET_BYTES, HELD, TOGETHER, SPREAD = 8 << 20, 1 << 20, 4 << 20, 0.05
+#: Bytes of text a bucket stands for; tokens a task gathers before it counts and sends them; bytes of
+#: text scored together; a word is spread if it has more than this share of its bucket's tokens; maps
+#: that a worker keeps open.
+BUCKET_BYTES, HELD, TOGETHER, SPREAD, OPEN = 16 << 20, 2 << 20, 4 << 20, 0.05, 64
 END, START = (xxhash.xxh64_intdigest(b, 0) for b in (b"", b" "))
-_BLOBS = "bucket int, a binary, b binary, n binary"
+_DEALT = "bucket int, n int, words binary, grams binary"
+_SUMS = "bucket int, kind string, n int, key binary, value binary"
 
 
-def hashes_of(text: str | None) -> np.ndarray:
-    """The hashes of a text's tokens, the end token included."""
-    words = (text or "").encode().lower().split()
-    out = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    return np.append(out, np.uint64(END))
+class Coder:
+    """Numbers words in the order in which they are first seen; 0 is the start mark."""
+
+    def __init__(self) -> None:
+        self.code: dict[bytes, int] = defaultdict(count().__next__)
+        self.code[b" "]
+
+    def codes(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode().lower().split()
+        words.append(b"")
+        return np.fromiter(map(self.code.__getitem__, words), dtype=np.int32, count=len(words))
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, self.code), dtype=np.uint64, count=len(self.code))
+
+
+def coded(texts: Iterable[str | None], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of words, all tokens as numbers of these, and the lengths of the texts; for runs of texts
+    of about `most` tokens."""
+    coder, held, size = Coder(), [], 0
+    for text in texts:
+        held.append(coder.codes(text))
+        size += len(held[-1])
+        if size >= most:
+            yield coder.hashes(), np.concatenate(held), np.array([len(x) for x in held])
+            coder, held, size = Coder(), [], 0
+            release_memory()
+    if held:
+        yield coder.hashes(), np.concatenate(held), np.array([len(x) for x in held])
+
+
+def before(token: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The token before each one; the start mark at the beginning of a text."""
+    out = np.empty_like(token)
+    out[1:] = token[:-1]
+    out[np.cumsum(lengths) - lengths] = 0
+    return out
 
 
 def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The hash of a bigram."""
+    """The hash of a context and a word."""
     x = context * np.uint64(0x9E3779B97F4A7C15) + word
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
@@ -67,9 +108,8 @@ def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.
     where it is two-dimensional)."""
     if not len(n):
         return keys, n
-    order = np.lexsort(keys[::-1])
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
     keys, n = [k[order] for k in keys], n[order]
-    del order
     new = np.zeros(len(n), dtype=bool)
     new[0] = True
     for k in keys:
@@ -78,33 +118,132 @@ def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.
     return [k[starts] for k in keys], np.add.reduceat(n, starts, axis=0)
 
 
-def _blobs(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    """A row for each bucket that occurs (bucket must be in order)."""
-    cuts = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else np.zeros(0, int)
-    starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]
-    rows = [(int(bucket[s]), a[s:e].tobytes(), b[s:e].tobytes(), n[s:e].tobytes()) for s, e in zip(starts, ends, strict=True) if e > s]
-    return pd.DataFrame(rows, columns=["bucket", "a", "b", "n"])
-
-
-def _column(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    parts = [np.frombuffer(x, dtype=kind) for x in table[name].to_pylist()]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
-
-
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Writes an array under its name, whole or not at all; counts in the fewest bytes that hold them."""
-    os.makedirs(folder, exist_ok=True)
-    if array.dtype != np.uint64 and array.size:
-        array = array.astype(np.min_scalar_type(array.max()))
-    own = f"{folder}/.{name}-{uuid.uuid4().hex}.npy"
-    np.save(own, array)
-    os.replace(own, f"{folder}/{name}.npy")
+def grouped(keys: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """As summed(), for columns of small numbers, which are sorted as one where they fit in 63 bits;
+    without n, rows are counted."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(bits) > 63:
+        return summed(keys, np.ones(len(keys[0]), dtype=np.int64) if n is None else n)
+    one = np.zeros(len(keys[0]), dtype=np.uint64)
+    for k, b in zip(keys, bits, strict=True):
+        one = (one << np.uint64(b)) | k.astype(np.uint64)
+    if n is None:
+        one.sort()
+    else:
+        order = np.argsort(one)
+        one, n = one[order], n[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(len(one), 1), dtype=bool), one[1:] != one[:-1]]))
+    n = np.diff(np.append(starts, len(one))) if n is None else np.add.reduceat(n, starts, axis=0) if len(n) else n
+    one, out = one[starts], []
+    for b in reversed(bits):
+        out.append((one & np.uint64((1 << b) - 1)).astype(np.int32))
+        one = one >> np.uint64(b)
+    return out[::-1], n
+
+
+def squeezed(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers, byte plane by byte plane, compressed."""
+    return pa.compress(b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, n: int, kind: str, width: int) -> np.ndarray:
+    """The columns again, as the rows of an array."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size, n).transpose(0, 2, 1)).view(kind)[:, :, 0]
+
+
+def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal numbers."""
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    for s, e in zip(starts, [*starts[1:], len(bucket)], strict=False):
+        yield int(bucket[s]), slice(s, e)
+
+
+def _rows(value: np.ndarray) -> np.ndarray:
+    return value if value.ndim == 2 else value[:, None]
+
+
+def sums_for(kind: str, bucket: np.ndarray, key: np.ndarray, value: np.ndarray) -> list[tuple]:
+    """Rows (bucket, kind, n, key, value) of what is to be added up in each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, key, value = bucket[order], key[order], _rows(value)[order].astype(np.int64)
+    return [(b, kind, s.stop - s.start, key[s].tobytes(), squeezed(list(np.ascontiguousarray(value[s].T)))) for b, s in _cuts(bucket)]
+
+
+def _added(table: pa.Table, kind: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and sums of one kind of rows of sums_for()."""
+    own = table.filter(pc.equal(table["kind"], kind))
+    parts = [(np.frombuffer(k, "<u8"), unsqueezed(v, n, "<i8", width).T) for n, k, v in zip(*(own[c].to_pylist() for c in ("n", "key", "value")), strict=True)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros((0, width), np.int64)
+    (key,), value = summed([np.concatenate([k for k, _ in parts])], np.concatenate([v for _, v in parts]))
+    return key, value
+
+
+def keyed(name: str, key: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted keys and, for each, the number of its value in a table of distinct values."""
+    order = np.argsort(key)
+    key, value = key[order], _rows(value)[order]
+    tag = value[:, 0].astype(np.uint64)
+    for k in range(1, value.shape[1]):
+        tag = mixed(tag, value[:, k].astype(np.uint64))
+    _, first, code = np.unique(tag, return_index=True, return_inverse=True)
+    return {
+        f"{name}-high": (key >> np.uint64(32)).astype(np.uint32), f"{name}-low": ((key >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16),
+        f"{name}-code": code.astype(np.min_scalar_type(max(len(first) - 1, 0))), f"{name}-table": value[first].astype(np.int64),
+    }
+
+
+def _path(folder: str, kind: str, bucket: int) -> str:
+    return f"{folder}/{kind}-{bucket // 1000}/{bucket}"
+
+
+def save(folder: str, kind: str, bucket: int, arrays: dict[str, np.ndarray]) -> None:
+    """Writes a bucket's arrays in one file, whole or not at all: a line that says where each lies, then
+    the arrays, aligned."""
+    path = _path(folder, kind, bucket)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    told, at = {}, 0
+    for name, a in arrays.items():
+        told[name] = (a.dtype.str, a.shape, at)
+        at += -(-a.nbytes // 64) * 64
+    line = json.dumps(told).encode()
+    line += b" " * (-(len(line) + 1) % 64) + b"\n"
+    own = f"{path}.{uuid.uuid4().hex}"
+    with open(own, "wb") as f:
+        f.write(line)
+        for a in arrays.values():
+            f.write(a.tobytes())
+            f.write(bytes(-a.nbytes % 64))
+    os.replace(own, path)
+
+
+def mapped(folder: str, kind: str, bucket: int) -> dict[str, np.ndarray]:
+    """A bucket's arrays, memory-mapped; none if it got nothing."""
+    try:
+        with open(_path(folder, kind, bucket), "rb") as f:
+            line = f.readline()
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    except FileNotFoundError:
+        return {}
+    out = {}
+    for name, (dtype, shape, at) in json.loads(line).items():
+        out[name] = np.frombuffer(data, dtype=dtype, count=int(np.prod(shape)), offset=len(line) + at).reshape(shape)
+    return out
 
 
 def _counts_of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
+def _stats(n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Total and numbers of ones, twos and more, of each run of n."""
+    if not len(starts):
+        return np.zeros((0, 4), dtype=np.int64)
+    return np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in (n, n == 1, n == 2, n >= 3)], axis=1)
+
+
 def _discounts(n: list[int]) -> list[float]:
     """D1, D2, D3+ from the numbers of entries that occur once to four times; where these are too few
     to tell, the usual 0.5, 1, 1.5."""
@@ -119,7 +258,7 @@ def _discounts(n: list[int]) -> list[float]:
 class Model:
     folder: str
     buckets: int
-    spread: np.ndarray  # contexts dealt out by continuation, in order
+    spread: np.ndarray  # words dealt out by what follows them, in order
     tokens: int
     vocabulary: int
     pairs: int
@@ -127,111 +266,94 @@ class Model:
     low: list[float]
     low_rest: float  # what the lower discounts take in all
     top: list[float] | None = None  # the trigrams' discounts, with order 3
-    files: dict = field(default_factory=dict)
+    files: OrderedDict = field(default_factory=OrderedDict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"files": {}}
+        return self.__dict__ | {"files": OrderedDict()}
 
-    def _file(self, name: str) -> np.ndarray:
-        got = self.files.get(name)
+    def _file(self, kind: str, bucket: int) -> dict[str, np.ndarray]:
+        got = self.files.pop((kind, bucket), None)
         if got is None:
-            got = self.files[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
+            got = mapped(self.folder, kind, bucket)
+            while len(self.files) >= OPEN:
+                self.files.popitem(last=False)
+        self.files[kind, bucket] = got
         return got
 
-    def look_up(self, kind: str, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The stored value of each key, or zeros, from the bucket's sorted array."""
-        width = {"pair": 1, "raw": 1, "low": 1, "triple": 1, "context": 4, "spread": 4, "two": 4}[kind]
+    def look_up(self, kind: str, name: str, width: int, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The stored value of each key, or zeros, from its bucket's sorted arrays."""
         out = np.zeros((len(key), width), dtype=np.int64)
-        if not len(key):
-            return out
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-            at = order[s:e]
-            b = int(bucket[at[0]])
-            stored = self._file(f"{kind}-key-{b}")
-            if len(stored):
-                place = np.minimum(np.searchsorted(stored, key[at]), len(stored) - 1)
-                hit = stored[place] == key[at]
-                out[at[hit]] = self._file(f"{kind}-n-{b}")[place[hit]].reshape(-1, width)
+        order = np.argsort(key)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        for b, cut in _cuts(bucket[order]):
+            stored, at = self._file(kind, b), order[cut]
+            high, low = stored.get(f"{name}-high"), stored.get(f"{name}-low")
+            if high is None or not len(high):
+                continue
+            want_high, want_low = (key[at] >> np.uint64(32)).astype(np.uint32), ((key[at] >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)
+            place = np.minimum(np.searchsorted(high, want_high), len(high) - 1)
+            while True:  # few keys share their leading 32 bits
+                on = (high[place] == want_high) & (low[place] < want_low) & (place + 1 < len(high))
+                if not on.any():
+                    break
+                place[on] += 1
+            hit = (high[place] == want_high) & (low[place] == want_low)
+            out[at[hit]] = stored[f"{name}-table"][stored[f"{name}-code"][place[hit]]]
         return out
 
-    def score(self, texts: list[str | None]) -> pd.DataFrame:
-        """n_tokens, n_known, base_score and score of each text, for texts of bounded total length."""
-        lists = [hashes_of(t) for t in texts]
-        n = np.array([len(x) for x in lists])
-        word = np.concatenate(lists)
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        context = np.empty_like(word)
-        context[1:], context[first] = word[:-1], START
-        if not self.tokens:
-            zero = np.zeros(len(n))
-            return pd.DataFrame({"n_tokens": n, "n_known": zero.astype(np.int64), "base_score": zero, "score": zero})
-        home = (word % np.uint64(self.buckets)).astype(np.int64)
-        raw = self.look_up("raw", home, word)[:, 0]
-        base = np.log10((raw + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
-        contexts = self.look_up("low", home, word)[:, 0]
-        gap = [0.0, *self.low]
-        p = (contexts - np.take(gap, np.minimum(contexts, 3))) / self.pairs + self.low_rest / self.pairs / (self.vocabulary + 1)
-        bucket, stats = self._context(context, word)
-        c = self.look_up("pair", bucket, mixed(context, word))[:, 0]
-        total = stats[:, 0]
-        seen = total > 0
-        gap = np.take([0.0, *self.high], np.minimum(c, 3))
-        rest = stats[:, 1:] @ np.array(self.high)
-        p[seen] = (c - gap)[seen] / total[seen] + rest[seen] / total[seen] * p[seen]
+    def probabilities(self, hashes: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's probability under the model, and its count in the training texts."""
+        home = (hashes % np.uint64(self.buckets)).astype(np.int64)
+        raw = self.look_up("raw", "raw", 1, home, hashes)[:, 0]
+        contexts = self.look_up("home", "low", 1, home, hashes)[:, 0]
+        wide = _wide(hashes, self.spread)
+        own = np.where(wide[:, None], self.look_up("home", "spread", 4, home, hashes), self.look_up("gram", "context", 4, home, hashes))
+        gap = np.take([0.0, *self.low], np.minimum(contexts, 3))
+        lowest = (contexts - gap) / self.pairs + self.low_rest / self.pairs / (self.vocabulary + 1)
+        p, context = lowest[word], before(word, lengths)
+        pair = mixed(hashes[context], hashes[word])
+        bucket = np.where(wide[context], (pair % np.uint64(self.buckets)).astype(np.int64), home[context])
+        p = _interpolated(p, self.look_up("gram", "pair", 1, bucket, pair)[:, 0], own[context], self.high)
         if self.top:
-            two = _contexts(context, first)
-            bucket = (two % np.uint64(self.buckets)).astype(np.int64)
-            stats = self.look_up("two", bucket, two)
-            c = self.look_up("triple", bucket, mixed(two, word))[:, 0]
-            seen = stats[:, 0] > 0
-            gap = np.take([0.0, *self.top], np.minimum(c, 3))
-            rest = stats[:, 1:] @ np.array(self.top)
-            p[seen] = ((c - gap)[seen] + rest[seen] * p[seen]) / stats[seen, 0]
-        return pd.DataFrame({
-            "n_tokens": n, "n_known": np.add.reduceat((raw > 0).astype(np.int64), first),
-            "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(np.log10(p), first),
-        })
-
-    def _context(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bucket of each bigram, and its context's total and numbers of continuations."""
-        bucket = _bucket_of(context, word, self.spread, self.buckets)
-        wide = _among(context, self.spread)
-        stats = np.zeros((len(word), 4), dtype=np.int64)
-        stats[~wide] = self.look_up("context", bucket[~wide], context[~wide])
-        stats[wide] = self.look_up("spread", (context[wide] % np.uint64(self.buckets)).astype(np.int64), context[wide])
-        return bucket, stats
-
-    def scores(self, texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            texts_, out, start = list(batch), [], 0
-            while start < len(texts_):
-                end, size = start, 0
-                while end < len(texts_) and (end == start or size < TOGETHER):
-                    size += len(texts_[end] or "")
-                    end += 1
-                out.append(self.score(texts_[start:end]))
-                start = end
-            yield pd.concat(out) if out else pd.DataFrame(columns=["n_tokens", "n_known", "base_score", "score"])
-
+            two = mixed(hashes[before(context, lengths)], hashes[context])
+            triple = self.look_up("gram", "triple", 1, bucket, mixed(two, hashes[word]))[:, 0]
+            stats, far = np.zeros((len(word), 4), dtype=np.int64), wide[context]
+            stats[~far] = self.look_up("gram", "two", 4, home[context[~far]], two[~far])
+            stats[far] = self.look_up("home", "two", 4, (two[far] % np.uint64(self.buckets)).astype(np.int64), two[far])
+            p = _interpolated(p, triple, stats, self.top)
+        return p, raw[word]
 
-def _contexts(context: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The hash of the two words before each word, from the one before and where documents begin."""
-    earlier = np.empty_like(context)
-    earlier[1:], earlier[first] = context[:-1], START
-    return mixed(earlier, context)
-
-
-def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(x), dtype=bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
-
-
-def _bucket_of(context: np.ndarray, word: np.ndarray, spread: np.ndarray, buckets: int) -> np.ndarray:
-    by = np.where(_among(context, spread), mixed(context, word), context)
-    return (by % np.uint64(buckets)).astype(np.int64)
+    def score(self, texts: list[str | None]) -> pd.DataFrame:
+        """n_tokens, n_known, base_score and score of each text."""
+        out = [pd.DataFrame({"n_tokens": np.zeros(0, np.int64), "n_known": np.zeros(0, np.int64), "base_score": np.zeros(0), "score": np.zeros(0)})]
+        for hashes, word, lengths in coded(texts, TOGETHER // 8):
+            first = np.cumsum(lengths) - lengths
+            if not self.tokens:
+                zero = np.zeros(len(lengths))
+                out.append(pd.DataFrame({"n_tokens": lengths, "n_known": zero.astype(np.int64), "base_score": zero, "score": zero}))
+                continue
+            p, raw = self.probabilities(hashes, word, lengths)
+            base = np.log10((raw + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
+            out.append(pd.DataFrame({
+                "n_tokens": lengths, "n_known": np.add.reduceat((raw > 0).astype(np.int64), first),
+                "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(np.log10(p), first),
+            }))
+        return pd.concat(out, ignore_index=True)
+
+
+def _interpolated(p: np.ndarray, n: np.ndarray, stats: np.ndarray, discounts: list[float]) -> np.ndarray:
+    """p of the lower order, raised to the next where the context was seen."""
+    total = np.maximum(stats[:, 0], 1)
+    raised = (n - np.take([0.0, *discounts], np.minimum(n, 3)) + stats[:, 1:] @ np.array(discounts) * p) / total
+    return np.where(stats[:, 0] > 0, raised, p)
+
+
+def _wide(hashes: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Whether words are spread over the buckets."""
+    out = hashes == np.uint64(START)
+    if len(spread):
+        out |= spread[np.minimum(np.searchsorted(spread, hashes), len(spread) - 1)] == hashes
+    return out
 
 
 def mapped_folder(spark: SparkSession) -> str:
@@ -241,6 +363,11 @@ def mapped_folder(spark: SparkSession) -> str:
     return f"{at.path}/ledgerlane/lm-{uuid.uuid4().hex}"
 
 
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[str | None]:
+    for batch in batches:
+        yield from batch["text"]
+
+
 def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
     """The model of docs(text), of order 2 or 3."""
     if order not in (2, 3):
@@ -249,160 +376,121 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder, buckets = mapped_folder(spark), 1 + size // BUCKET_BYTES
     often = SPREAD * BUCKET_BYTES
+    by = np.uint64(buckets)
+    columns = [x.split()[0] for x in _SUMS.split(", ")]
 
-    def words(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held in _gathered(texts):
-            word = np.concatenate(held)
-            home = (word % np.uint64(buckets)).astype(np.int32)
-            (home, word), n = summed([home, word], np.ones(len(word), dtype=np.int64))
-            yield _blobs(home, word, np.zeros(0, np.uint64), n.astype("<u4"))
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for hashes, word, _ in coded(_texts(batches), HELD):
+            n = np.bincount(word, minlength=len(hashes))
+            seen = n > 0
+            home = (hashes[seen] % by).astype(np.int64)
+            yield pd.DataFrame(sums_for("raw", home, hashes[seen], n[seen]), columns=columns)
 
     def store_words(key: tuple, table: pa.Table) -> pa.Table:
-        b = key[0].as_py()
-        (word,), n = summed([_column(table, "a", "<u8")], _column(table, "n", "<u4").astype(np.int64))
-        _save(folder, f"raw-key-{b}", word)
-        _save(folder, f"raw-n-{b}", n)
-        return pa.table({"b": [b], "tokens": [int(n.sum())], "words": [len(n)], "often": [word[n > often].tobytes()]})
-
-    told = docs.mapInPandas(words, _BLOBS).groupBy("bucket").applyInArrow(store_words, "b long, tokens long, words long, often binary").toArrow().to_pylist()
-    spread = np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x["often"], "<u8") for x in told]]))
-    _fill(folder, ["raw"], buckets, {x["b"] for x in told}, 1)
-
-    def pairs(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held in _gathered(texts):
-            n = np.array([len(x) for x in held])
-            word = np.concatenate(held)
-            context = np.empty_like(word)
-            context[1:], context[np.concatenate([[0], np.cumsum(n)[:-1]])] = word[:-1], START
-            bucket = _bucket_of(context, word, spread, buckets).astype(np.int32)
-            (bucket, context, word), n = summed([bucket, context, word], np.ones(len(word), dtype=np.int64))
-            yield _blobs(bucket, context, word, n.astype("<u4"))
-
-    def triples(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held in _gathered(texts):
-            first = np.concatenate([[0], np.cumsum([len(x) for x in held])[:-1]]).astype(np.int64)
-            word = np.concatenate(held)
-            context = np.empty_like(word)
-            context[1:], context[first] = word[:-1], START
-            two = _contexts(context, first)
-            bucket = (two % np.uint64(buckets)).astype(np.int32)
-            (bucket, two, context, word), n = summed([bucket, two, context, word], np.ones(len(word), dtype=np.int64))
-            out = _blobs(bucket, two, context, n.astype("<u4"))
-            yield out.assign(c=_blobs(bucket, word, word[:0], n)["a"])
-
-    def store_triples(key: tuple, table: pa.Table) -> pa.Table:
-        """Writes a bucket's trigrams and their contexts; tells each bigram's bucket how many words
-        stand before it here."""
-        b = key[0].as_py()
-        (two, context, word), n = summed([_column(table, x, "<u8") for x in "abc"], _column(table, "n", "<u4").astype(np.int64))
-        hashed = mixed(two, word)
-        order_ = np.argsort(hashed)
-        _save(folder, f"triple-key-{b}", hashed[order_])
-        _save(folder, f"triple-n-{b}", n[order_])
-        (owner,), stats = summed([two], np.stack([n, n == 1, n == 2, n >= 3], axis=1).astype(np.int64))
-        _save(folder, f"two-key-{b}", owner)
-        _save(folder, f"two-n-{b}", stats)
-        _save(folder, f"counts-n-{b}", np.array(_counts_of_counts(n), dtype=np.int64))
-        bucket = _bucket_of(context, word, spread, buckets).astype(np.int32)
-        (bucket, context, word), times = summed([bucket, context, word], np.ones(len(word), dtype=np.int64))
-        return pa.Table.from_pandas(_blobs(bucket, context, word, times.astype("<u4")), schema=pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())]), preserve_index=False)
-
-    def store_pairs(key: tuple, table: pa.Table) -> pa.Table:
-        """Writes a bucket's bigrams and contexts; tells each word's home bucket how many contexts it
-        has here, and a spread context's home bucket its statistics."""
-        b = key[0].as_py()
-        (context, word), n = summed([_column(table, "a", "<u8"), _column(table, "b", "<u8")], _column(table, "n", "<u4").astype(np.int64))
-        hashed = mixed(context, word)
-        order = np.argsort(hashed)
-        _save(folder, f"pair-key-{b}", hashed[order])
-        _save(folder, f"pair-n-{b}", n[order])
-        (owner,), stats = summed([context], np.stack([n, n == 1, n == 2, n >= 3], axis=1).astype(np.int64))
-        wide = _among(owner, spread)
-        _save(folder, f"context-key-{b}", owner[~wide])
-        _save(folder, f"context-n-{b}", stats[~wide])
-        home = (word % np.uint64(buckets)).astype(np.int32)
-        (home, word), times = summed([home, word], np.ones(len(word), dtype=np.int64))
-        parts = [_blobs(home, word, np.zeros(0, np.uint64), times.astype("<u4")).assign(kind="low")]
-        at = (owner[wide] % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(at, kind="stable")
-        parts.append(_blobs(at[order], owner[wide][order], np.zeros(0, np.uint64), stats[wide][order]).assign(kind="spread"))
-        counts = np.array(_counts_of_counts(n), dtype=np.int64)
-        parts.append(pd.DataFrame([(b, b"", b"", counts.tobytes(), "counts")], columns=["bucket", "a", "b", "n", "kind"]))
-        return pa.Table.from_pandas(pd.concat(parts), schema=pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary()), ("kind", pa.string())]), preserve_index=False)
-
-    def store_low(key: tuple, table: pa.Table) -> pa.Table:
-        b = key[0].as_py()
-        of = lambda kind: table.filter(pc.equal(table["kind"], kind))
-        (word,), times = summed([_column(of("low"), "a", "<u8")], _column(of("low"), "n", "<u4").astype(np.int64))
-        _save(folder, f"low-key-{b}", word)
-        _save(folder, f"low-n-{b}", times)
-        (owner,), stats = summed([_column(of("spread"), "a", "<u8")], _column(of("spread"), "n", "<i8").reshape(-1, 4))
-        _save(folder, f"spread-key-{b}", owner)
-        _save(folder, f"spread-n-{b}", stats)
-        high = _column(of("counts"), "n", "<i8").reshape(-1, 4).sum(axis=0)
+        word, n = _added(table, "raw", 1)
+        save(folder, "raw", key[0].as_py(), keyed("raw", word, n))
+        return pa.table({"tokens": [int(n.sum())], "words": [len(n)], "often": [word[n[:, 0] > often].view(np.int64).tolist()]}, schema=pa.schema([("tokens", pa.int64()), ("words", pa.int64()), ("often", pa.list_(pa.int64()))]))
+
+    counted = docs.mapInPandas(words, _SUMS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(store_words, "tokens long, words long, often array<long>")
+    told = counted.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"), F.flatten(F.collect_list("often")).alias("often")).first()
+    spread = np.sort(np.array(told["often"], dtype=np.int64).view(np.uint64))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for hashes, word, lengths in coded(_texts(batches), HELD):
+            context = before(word, lengths)
+            earlier = before(context, lengths) if order == 3 else np.zeros_like(word)
+            (v, w, u), n = grouped([context, word, earlier])
+            wide = _wide(hashes, spread)[v]
+            bucket = (hashes[v] % by).astype(np.int64)
+            bucket[wide] = (mixed(hashes[v[wide]], hashes[w[wide]]) % by).astype(np.int64)
+            at = np.argsort(bucket, kind="stable")
+            v, w, u, n, bucket = v[at], w[at], u[at], n[at], bucket[at]
+            out = []
+            for b, s in _cuts(bucket):
+                used, own = np.unique(np.concatenate([v[s], w[s], u[s]]), return_inverse=True)
+                own = own.reshape(3, -1).astype(np.uint32)
+                own[0] = np.diff(own[0], prepend=np.uint32(0))
+                out.append((b, s.stop - s.start, hashes[used].tobytes(), squeezed([*own, n[s].astype(np.uint32)])))
+            yield pd.DataFrame(out, columns=["bucket", "n", "words", "grams"])
+
+    def store_grams(key: tuple, table: pa.Table) -> pa.Table:
+        """Writes a bucket's n-grams and contexts; tells each word's home how many contexts it has here,
+        and what spread words have."""
+        at, lists, parts = 0, [], []
+        for n, words_, grams in zip(*(table[c].to_pylist() for c in ("n", "words", "grams")), strict=True):
+            own = unsqueezed(grams, n, "<u4", 4).astype(np.int64)
+            own[0] = np.cumsum(own[0].astype(np.uint32), dtype=np.uint32)
+            own[:3] += at
+            lists.append(np.frombuffer(words_, "<u8"))
+            parts.append(own)
+            at += len(lists[-1])
+        hashes, number = np.unique(np.concatenate(lists), return_inverse=True)
+        v, w, u, n = np.concatenate(parts, axis=1)
+        del parts, lists
+        (v, w, u), n = grouped([number[v], number[w], number[u]], n)
+        wide, arrays, out = _wide(hashes, spread), {}, []
+        pairs = np.flatnonzero((np.diff(v, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
+        if order == 3:
+            arrays |= keyed("triple", mixed(mixed(hashes[u], hashes[v]), hashes[w]), n)
+            out.append((0, "top", 1, b"", squeezed([np.array([x]) for x in _counts_of_counts(n)])))
+            order_ = np.lexsort((u, v))
+            cv, cu, cn = v[order_], u[order_], n[order_]
+            starts = np.flatnonzero((np.diff(cv, prepend=-1) != 0) | (np.diff(cu, prepend=-1) != 0))
+            two, stats, far = mixed(hashes[cu[starts]], hashes[cv[starts]]), _stats(cn, starts), wide[cv[starts]]
+            arrays |= keyed("two", two[~far], stats[~far])
+            out += sums_for("two", (two[far] % by).astype(np.int64), two[far], stats[far])
+            del cv, cu, cn, order_, two, stats
+            n = np.diff(np.append(pairs, len(v)))
+        v, w = v[pairs], w[pairs]
+        arrays |= keyed("pair", mixed(hashes[v], hashes[w]), n)
+        starts = np.flatnonzero(np.diff(v, prepend=-1))
+        owner, stats, far = hashes[v[starts]], _stats(n, starts), wide[v[starts]]
+        arrays |= keyed("context", owner[~far], stats[~far])
+        save(folder, "gram", key[0].as_py(), arrays)
+        out += sums_for("spread", (owner[far] % by).astype(np.int64), owner[far], stats[far])
+        times = np.bincount(w, minlength=len(hashes))
+        seen = times > 0
+        out += sums_for("low", (hashes[seen] % by).astype(np.int64), hashes[seen], times[seen])
+        out.append((0, "high", 1, b"", squeezed([np.array([x]) for x in _counts_of_counts(n)])))
+        release_memory()
+        return pa.Table.from_pandas(
+            pd.DataFrame(out, columns=columns).astype({"bucket": "int32", "n": "int32"}), preserve_index=False,
+            schema=pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("n", pa.int32()), ("key", pa.binary()), ("value", pa.binary())]),
+        )
+
+    def store_home(key: tuple, table: pa.Table) -> pa.Table:
+        (word, times), (owner, stats), (two, two_stats) = (_added(table, k, n) for k, n in (("low", 1), ("spread", 4), ("two", 4)))
+        save(folder, "home", key[0].as_py(), keyed("low", word, times) | keyed("spread", owner, stats) | keyed("two", two, two_stats))
+        told = {k: [unsqueezed(x, 1, "<i8", 4)[:, 0] for x in table.filter(pc.equal(table["kind"], k))["value"].to_pylist()] for k in ("high", "top")}
+        times = times[:, 0]
         low = [*_counts_of_counts(times), int((times >= 3).sum()), int(times.sum())]
-        return pa.table({"b": [b], "high": [high.tolist()], "low": [low]})
-
-    if order == 3:
-        sent = docs.mapInPandas(triples, f"{_BLOBS}, c binary").groupBy("bucket").applyInArrow(store_triples, _BLOBS)
-    else:
-        sent = docs.mapInPandas(pairs, _BLOBS)
-    dealt = sent.groupBy("bucket").applyInArrow(store_pairs, f"{_BLOBS}, kind string")
-    told_low = dealt.groupBy("bucket").applyInArrow(store_low, "b long, high array<long>, low array<long>").toArrow().to_pylist()
-    have = {x["b"] for x in told_low}
-    _fill(folder, ["low"], buckets, have, 1)
-    _fill(folder, ["spread"], buckets, have, 4)
-    _fill_missing(folder, buckets)
-    high = [sum(x["high"][k] for x in told_low) for k in range(4)]
-    low = [sum(x["low"][k] for x in told_low) for k in range(6)]
-    top = None
-    if order == 3:
-        told_top = [np.load(f"{folder}/counts-n-{b}.npy") for b in range(buckets) if os.path.exists(f"{folder}/counts-n-{b}.npy")]
-        top = _discounts([sum(int(x[k]) for x in told_top) for k in range(4)])
+        high, top = (np.sum(x, axis=0).tolist() if x else [0] * 4 for x in (told["high"], told["top"]))
+        release_memory()
+        return pa.table({"high": [high], "low": [low], "top": [top]}, schema=pa.schema([(k, pa.list_(pa.int64())) for k in ("high", "low", "top")]))
+
+    dealt = docs.mapInPandas(deal, _DEALT).repartition(buckets, "bucket")
+    sent = dealt.groupBy("bucket").applyInArrow(store_grams, _SUMS).repartition(buckets, "bucket")
+    homes = sent.groupBy("bucket").applyInArrow(store_home, "high array<long>, low array<long>, top array<long>")
+    sums = homes.agg(*[F.coalesce(F.sum(F.col(k)[i]), F.lit(0)).alias(f"{k}{i}") for k, n in (("high", 4), ("low", 6), ("top", 4)) for i in range(n)]).first()
+    high, low, top = ([sums[f"{k}{i}"] for i in range(n)] for k, n in (("high", 4), ("low", 6), ("top", 4)))
     d_low = _discounts(low[:4])
     rest = d_low[0] * low[0] + d_low[1] * low[1] + d_low[2] * low[4]
     return Model(
-        folder, buckets, spread, sum(x["tokens"] for x in told), sum(x["words"] for x in told), max(low[5], 1),
-        _discounts(high), d_low, rest, top,
+        folder, buckets, spread, told["tokens"] or 0, told["words"] or 0, max(low[5], 1), _discounts(high), d_low, rest,
+        _discounts(top) if order == 3 else None,
     )
 
 
-def _gathered(texts: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
-    """Token hashes of documents, in lists of about HELD tokens."""
-    held, size = [], 0
-    for batch in texts:
-        for text in batch["text"]:
-            held.append(hashes_of(text))
-            size += len(held[-1])
-            if size >= HELD:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def _fill(folder: str, kinds: list[str], buckets: int, have: set[int], width: int) -> None:
-    """Empty arrays for buckets that got nothing."""
-    for b in set(range(buckets)) - have:
-        for kind in kinds:
-            _save(folder, f"{kind}-key-{b}", np.zeros(0, np.uint64))
-            _save(folder, f"{kind}-n-{b}", np.zeros((0, width), np.int64))
-
-
-def _fill_missing(folder: str, buckets: int) -> None:
-    for b in range(buckets):
-        for kind, width in (("pair", 1), ("context", 4), ("triple", 1), ("two", 4)):
-            if not os.path.exists(f"{folder}/{kind}-key-{b}.npy"):
-                _fill(folder, [kind], b + 1, set(range(b)), width)
-
-
 def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from shared.value.scores(texts)
+        for batch in texts:
+            yield shared.value.score(list(batch))
+            release_memory()
+        shared.value.files.clear()
 
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "lm_")
     keep = [c for c in docs.columns if c not in new]
