@@ -1,17 +1,19 @@
 """Interpolated modified Kneser-Ney model of order 2 or 3: counted in Spark, stored as sorted hash arrays,
 memory-mapped by the workers that score.
 
-Words are 64-bit hashes. A task numbers the words of some million tokens, counts their distinct n-grams,
-and deals them to buckets by the middle word: a blob per bucket, of the hashes of its words once and
-the n-grams as numbers of these, in byte planes that compress well. So a bucket holds all of a word's
+Words are counted by 64-bit hash in buckets; a word's place in its bucket's sorted array is its number.
+A task then takes some million tokens, counts their distinct n-grams, and deals them to buckets by the
+middle word: a blob per bucket, of the numbers of its words once and the n-grams as places in that
+list, in byte planes that compress well. So a bucket holds all of a word's
 trigrams, and with them how often each bigram continues, what follows each pair of words, and what
 follows the word. Words with a large share of the corpus (and the start mark) are spread over all
 buckets by the word that follows; what they have in each is added up in a second step, which also
 counts each word's distinct contexts. A bucket is one file of sorted arrays in the shared folder (a
 path that machines mount, since files are memory-mapped), written under a temporary name and renamed,
-so repeated tasks leave one copy. Keys are the 48 leading bits of a hash: of the at most few million
-n-grams of a bucket one that doesn't occur is mistaken for one that does once in 10^8 times. A worker
-keeps a bounded number of maps open. Only sums come to the driver, and the hashes of the spread words.
+so repeated tasks leave one copy. Keys are the 48 leading bits of a hash: among the few million n-grams
+of a bucket, one that doesn't occur is mistaken for one that does once in 10^8 times. A worker keeps
+a bounded number of maps open. To the driver come sums, the spread words, and how many words each of
+at most MOST_WORD_BUCKETS buckets of words has.
 
 P(w|v) = (c(v,w) - D_c) / c(v) + (D1 n1(v) + D2 n2(v) + D3 n3(v)) / c(v) * P(w), where P(w) discounts
 the number of distinct contexts of w in the same way and gives the rest to V + 1 words evenly. A
@@ -51,8 +53,9 @@ from ledgerlane.llm.common import release_memory, scratch
 #: text scored together; a word is spread if it has more than this share of its bucket's tokens; maps
 #: that a worker keeps open.
 BUCKET_BYTES, HELD, TOGETHER, SPREAD, OPEN = 16 << 20, 2 << 20, 4 << 20, 0.05, 64
+MOST_WORD_BUCKETS = 1 << 16
 END, START = (xxhash.xxh64_intdigest(b, 0) for b in (b"", b" "))
-_DEALT = "bucket int, n int, words binary, grams binary"
+_DEALT = "bucket int, n int, m int, words binary, grams binary"
 _SUMS = "bucket int, kind string, n int, key binary, value binary"
 
 
@@ -150,7 +153,7 @@ def unsqueezed(data: bytes, n: int, kind: str, width: int) -> np.ndarray:
     """The columns again, as the rows of an array."""
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(data, n * size * width, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, size, n).transpose(0, 2, 1)).view(kind)[:, :, 0]
+    return np.array(planes.reshape(width, size, n).transpose(0, 2, 1), order="C").view(kind)[:, :, 0]
 
 
 def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -164,35 +167,49 @@ def _rows(value: np.ndarray) -> np.ndarray:
     return value if value.ndim == 2 else value[:, None]
 
 
+def _delta(sorted_: np.ndarray) -> bytes:
+    """Numbers in order, as steps."""
+    return squeezed([np.diff(sorted_.astype(np.uint64), prepend=np.uint64(0))])
+
+
+def _undelta(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unsqueezed(data, n, "<u8", 1)[0], dtype=np.uint64)
+
+
 def sums_for(kind: str, bucket: np.ndarray, key: np.ndarray, value: np.ndarray) -> list[tuple]:
     """Rows (bucket, kind, n, key, value) of what is to be added up in each bucket."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(key)
+    order = order[np.argsort(bucket[order], kind="stable")]
     bucket, key, value = bucket[order], key[order], _rows(value)[order].astype(np.int64)
-    return [(b, kind, s.stop - s.start, key[s].tobytes(), squeezed(list(np.ascontiguousarray(value[s].T)))) for b, s in _cuts(bucket)]
+    return [(b, kind, s.stop - s.start, _delta(key[s]), squeezed(list(np.ascontiguousarray(value[s].T)))) for b, s in _cuts(bucket)]
 
 
 def _added(table: pa.Table, kind: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and sums of one kind of rows of sums_for()."""
     own = table.filter(pc.equal(table["kind"], kind))
-    parts = [(np.frombuffer(k, "<u8"), unsqueezed(v, n, "<i8", width).T) for n, k, v in zip(*(own[c].to_pylist() for c in ("n", "key", "value")), strict=True)]
+    parts = [(_undelta(k, n), unsqueezed(v, n, "<i8", width).T) for n, k, v in zip(*(own[c].to_pylist() for c in ("n", "key", "value")), strict=True)]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros((0, width), np.int64)
     (key,), value = summed([np.concatenate([k for k, _ in parts])], np.concatenate([v for _, v in parts]))
     return key, value
 
 
-def keyed(name: str, key: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
-    """Sorted keys and, for each, the number of its value in a table of distinct values."""
-    order = np.argsort(key)
-    key, value = key[order], _rows(value)[order]
+def _valued(name: str, value: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of numbers, as places in a table of distinct rows."""
+    value = _rows(value)
     tag = value[:, 0].astype(np.uint64)
     for k in range(1, value.shape[1]):
         tag = mixed(tag, value[:, k].astype(np.uint64))
     _, first, code = np.unique(tag, return_index=True, return_inverse=True)
-    return {
-        f"{name}-high": (key >> np.uint64(32)).astype(np.uint32), f"{name}-low": ((key >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16),
-        f"{name}-code": code.astype(np.min_scalar_type(max(len(first) - 1, 0))), f"{name}-table": value[first].astype(np.int64),
-    }
+    return {f"{name}-code": code.astype(np.min_scalar_type(max(len(first) - 1, 0))), f"{name}-table": value[first].astype(np.int64)}
+
+
+def keyed(name: str, key: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted keys (below 2^48) with their values."""
+    order = np.argsort(key)
+    key = key[order].astype(np.uint64)
+    split = {f"{name}-high": (key >> np.uint64(16)).astype(np.uint32), f"{name}-low": (key & np.uint64(0xFFFF)).astype(np.uint16)}
+    return split | _valued(name, value[order])
 
 
 def _path(folder: str, kind: str, bucket: int) -> str:
@@ -254,24 +271,18 @@ def _discounts(n: list[int]) -> list[float]:
     return [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True)]
 
 
-@dataclass
-class Model:
-    folder: str
-    buckets: int
-    spread: np.ndarray  # words dealt out by what follows them, in order
-    tokens: int
-    vocabulary: int
-    pairs: int
-    high: list[float]
-    low: list[float]
-    low_rest: float  # what the lower discounts take in all
-    top: list[float] | None = None  # the trigrams' discounts, with order 3
-    files: OrderedDict = field(default_factory=OrderedDict)
+class Maps:
+    """The files of a model, of which a bounded number is open."""
+
+    def __init__(self, folder: str, firsts: np.ndarray) -> None:
+        self.folder, self.files = folder, OrderedDict()
+        #: The number of the first word of each bucket of words, and the number of words.
+        self.firsts = firsts
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"files": OrderedDict()}
 
-    def _file(self, kind: str, bucket: int) -> dict[str, np.ndarray]:
+    def get(self, kind: str, bucket: int) -> dict[str, np.ndarray]:
         got = self.files.pop((kind, bucket), None)
         if got is None:
             got = mapped(self.folder, kind, bucket)
@@ -280,17 +291,16 @@ class Model:
         self.files[kind, bucket] = got
         return got
 
-    def look_up(self, kind: str, name: str, width: int, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The stored value of each key, or zeros, from its bucket's sorted arrays."""
-        out = np.zeros((len(key), width), dtype=np.int64)
+    def places(self, kind: str, name: str, bucket: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each bucket: which keys are there, and where."""
         order = np.argsort(key)
         order = order[np.argsort(bucket[order], kind="stable")]
         for b, cut in _cuts(bucket[order]):
-            stored, at = self._file(kind, b), order[cut]
+            stored, at = self.get(kind, b), order[cut]
             high, low = stored.get(f"{name}-high"), stored.get(f"{name}-low")
             if high is None or not len(high):
                 continue
-            want_high, want_low = (key[at] >> np.uint64(32)).astype(np.uint32), ((key[at] >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)
+            want_high, want_low = (key[at] >> np.uint64(16)).astype(np.uint32), (key[at] & np.uint64(0xFFFF)).astype(np.uint16)
             place = np.minimum(np.searchsorted(high, want_high), len(high) - 1)
             while True:  # few keys share their leading 32 bits
                 on = (high[place] == want_high) & (low[place] < want_low) & (place + 1 < len(high))
@@ -298,28 +308,79 @@ class Model:
                     break
                 place[on] += 1
             hit = (high[place] == want_high) & (low[place] == want_low)
-            out[at[hit]] = stored[f"{name}-table"][stored[f"{name}-code"][place[hit]]]
+            yield b, at[hit], place[hit]
+
+    def look_up(self, kind: str, name: str, width: int, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The stored value of each key, or zeros."""
+        out = np.zeros((len(key), width), dtype=np.int64)
+        for b, at, place in self.places(kind, name, bucket, key):
+            stored = self.get(kind, b)
+            out[at] = stored[f"{name}-table"][stored[f"{name}-code"][place]]
         return out
 
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's number, and its count; the start mark's is the number of words, that of words
+        which don't occur one more."""
+        number, n = np.full(len(hashes), int(self.firsts[-1]) + 1), np.zeros(len(hashes), dtype=np.int64)
+        buckets = np.uint64(len(self.firsts) - 1)
+        for b, at, place in self.places("word", "word", (hashes % buckets).astype(np.int64), hashes >> np.uint64(16)):
+            number[at] = self.firsts[b] + place
+            stored = self.get("word", b)
+            n[at] = stored["word-table"][stored["word-code"][place], 0]
+        number[hashes == np.uint64(START)] = self.firsts[-1]
+        return number, n
+
+    def home(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of words of each number, and the place there (the start mark's is behind the last)."""
+        bucket = np.minimum(np.searchsorted(self.firsts, number, side="right"), len(self.firsts) - 1) - 1
+        return bucket, number - self.firsts[bucket]
+
+
+@dataclass
+class Model:
+    maps: Maps
+    buckets: int
+    spread: np.ndarray  # numbers of the words dealt out by what follows them, in order
+    tokens: int
+    pairs: int
+    high: list[float]
+    low: list[float]
+    low_rest: float  # what the lower discounts take in all
+    top: list[float] | None = None  # the trigrams' discounts, with order 3
+
+    @property
+    def vocabulary(self) -> int:
+        return int(self.maps.firsts[-1])
+
     def probabilities(self, hashes: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's probability under the model, and its count in the training texts."""
-        home = (hashes % np.uint64(self.buckets)).astype(np.int64)
-        raw = self.look_up("raw", "raw", 1, home, hashes)[:, 0]
-        contexts = self.look_up("home", "low", 1, home, hashes)[:, 0]
-        wide = _wide(hashes, self.spread)
-        own = np.where(wide[:, None], self.look_up("home", "spread", 4, home, hashes), self.look_up("gram", "context", 4, home, hashes))
+        maps = self.maps
+        number, raw = maps.numbers(hashes)
+        home, place = maps.home(number)
+        contexts = np.zeros(len(number), dtype=np.int64)
+        for b in np.unique(home).tolist():
+            at = np.flatnonzero((home == b) & (number < self.vocabulary))
+            stored = maps.get("home", b)
+            if stored:
+                contexts[at] = stored["low-table"][stored["low-code"][place[at]], 0]
+        wide = _wide(number, self.spread, self.vocabulary)
+        own = np.zeros((len(number), 4), dtype=np.int64)
+        own[wide] = maps.look_up("home", "spread", 4, home[wide], place[wide].astype(np.uint64))
+        gram = number % self.buckets
+        number = number.astype(np.uint64)
+        own[~wide] = maps.look_up("gram", "context", 4, gram[~wide], number[~wide])
         gap = np.take([0.0, *self.low], np.minimum(contexts, 3))
         lowest = (contexts - gap) / self.pairs + self.low_rest / self.pairs / (self.vocabulary + 1)
         p, context = lowest[word], before(word, lengths)
-        pair = mixed(hashes[context], hashes[word])
-        bucket = np.where(wide[context], (pair % np.uint64(self.buckets)).astype(np.int64), home[context])
-        p = _interpolated(p, self.look_up("gram", "pair", 1, bucket, pair)[:, 0], own[context], self.high)
+        pair = mixed(number[context], number[word])
+        bucket = np.where(wide[context], _home(pair, self.buckets), gram[context])
+        p = _interpolated(p, maps.look_up("gram", "pair", 1, bucket, pair >> np.uint64(16))[:, 0], own[context], self.high)
         if self.top:
-            two = mixed(hashes[before(context, lengths)], hashes[context])
-            triple = self.look_up("gram", "triple", 1, bucket, mixed(two, hashes[word]))[:, 0]
+            two = mixed(number[before(context, lengths)], number[context])
+            triple = maps.look_up("gram", "triple", 1, bucket, mixed(two, number[word]) >> np.uint64(16))[:, 0]
             stats, far = np.zeros((len(word), 4), dtype=np.int64), wide[context]
-            stats[~far] = self.look_up("gram", "two", 4, home[context[~far]], two[~far])
-            stats[far] = self.look_up("home", "two", 4, (two[far] % np.uint64(self.buckets)).astype(np.int64), two[far])
+            stats[~far] = maps.look_up("gram", "two", 4, gram[context[~far]], two[~far] >> np.uint64(16))
+            stats[far] = maps.look_up("home", "two", 4, _home(two[far], self.buckets), two[far] >> np.uint64(16))
             p = _interpolated(p, triple, stats, self.top)
         return p, raw[word]
 
@@ -348,11 +409,15 @@ def _interpolated(p: np.ndarray, n: np.ndarray, stats: np.ndarray, discounts: li
     return np.where(stats[:, 0] > 0, raised, p)
 
 
-def _wide(hashes: np.ndarray, spread: np.ndarray) -> np.ndarray:
+def _home(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key % np.uint64(buckets)).astype(np.int64)
+
+
+def _wide(number: np.ndarray, spread: np.ndarray, start: int) -> np.ndarray:
     """Whether words are spread over the buckets."""
-    out = hashes == np.uint64(START)
+    out = number == start
     if len(spread):
-        out |= spread[np.minimum(np.searchsorted(spread, hashes), len(spread) - 1)] == hashes
+        out |= spread[np.minimum(np.searchsorted(spread, number), len(spread) - 1)] == number
     return out
 
 
@@ -375,34 +440,45 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
     docs = docs.select("text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder, buckets = mapped_folder(spark), 1 + size // BUCKET_BYTES
-    often = SPREAD * BUCKET_BYTES
-    by = np.uint64(buckets)
+    few, often = min(buckets, MOST_WORD_BUCKETS), SPREAD * BUCKET_BYTES
     columns = [x.split()[0] for x in _SUMS.split(", ")]
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for hashes, word, _ in coded(_texts(batches), HELD):
             n = np.bincount(word, minlength=len(hashes))
-            seen = n > 0
-            home = (hashes[seen] % by).astype(np.int64)
-            yield pd.DataFrame(sums_for("raw", home, hashes[seen], n[seen]), columns=columns)
+            hashes, n = hashes[n > 0], n[n > 0]
+            yield pd.DataFrame(sums_for("word", _home(hashes, few), hashes >> np.uint64(16), n), columns=columns)
 
     def store_words(key: tuple, table: pa.Table) -> pa.Table:
-        word, n = _added(table, "raw", 1)
-        save(folder, "raw", key[0].as_py(), keyed("raw", word, n))
-        return pa.table({"tokens": [int(n.sum())], "words": [len(n)], "often": [word[n[:, 0] > often].view(np.int64).tolist()]}, schema=pa.schema([("tokens", pa.int64()), ("words", pa.int64()), ("often", pa.list_(pa.int64()))]))
+        word, n = _added(table, "word", 1)
+        save(folder, "word", key[0].as_py(), keyed("word", word, n))
+        return pa.table(
+            {"b": [key[0].as_py()], "tokens": [int(n.sum())], "words": [len(n)], "often": [np.flatnonzero(n[:, 0] > often).tolist()]},
+            schema=pa.schema([("b", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("often", pa.list_(pa.int64()))]),
+        )
 
-    counted = docs.mapInPandas(words, _SUMS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(store_words, "tokens long, words long, often array<long>")
-    told = counted.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"), F.flatten(F.collect_list("often")).alias("often")).first()
-    spread = np.sort(np.array(told["often"], dtype=np.int64).view(np.uint64))
+    counted = docs.mapInPandas(words, _SUMS).repartition(few, "bucket").groupBy("bucket").applyInArrow(store_words, "b long, tokens long, words long, often array<long>")
+    told = counted.toArrow().sort_by("b").to_pydict()
+    sizes = np.zeros(few, dtype=np.int64)
+    sizes[told["b"]] = told["words"]
+    firsts = np.concatenate([[0], np.cumsum(sizes)])
+    spread = np.array([int(firsts[b]) + x for b, some in zip(told["b"], told["often"], strict=True) for x in some], dtype=np.int64)
+    start = int(firsts[-1])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        maps = Maps(folder, firsts)
         for hashes, word, lengths in coded(_texts(batches), HELD):
+            number, _ = maps.numbers(hashes)
+            order_ = np.argsort(number)
+            rank = np.empty(len(number), dtype=np.int32)
+            rank[order_] = np.arange(len(number), dtype=np.int32)
+            number = number[order_].astype(np.uint64)
             context = before(word, lengths)
             earlier = before(context, lengths) if order == 3 else np.zeros_like(word)
-            (v, w, u), n = grouped([context, word, earlier])
-            wide = _wide(hashes, spread)[v]
-            bucket = (hashes[v] % by).astype(np.int64)
-            bucket[wide] = (mixed(hashes[v[wide]], hashes[w[wide]]) % by).astype(np.int64)
+            (v, w, u), n = grouped([rank[context], rank[word], rank[earlier]])
+            wide = _wide(number.astype(np.int64), spread, start)[v]
+            bucket = _home(number, buckets)[v]
+            bucket[wide] = _home(mixed(number[v[wide]], number[w[wide]]), buckets)
             at = np.argsort(bucket, kind="stable")
             v, w, u, n, bucket = v[at], w[at], u[at], n[at], bucket[at]
             out = []
@@ -410,47 +486,49 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
                 used, own = np.unique(np.concatenate([v[s], w[s], u[s]]), return_inverse=True)
                 own = own.reshape(3, -1).astype(np.uint32)
                 own[0] = np.diff(own[0], prepend=np.uint32(0))
-                out.append((b, s.stop - s.start, hashes[used].tobytes(), squeezed([*own, n[s].astype(np.uint32)])))
-            yield pd.DataFrame(out, columns=["bucket", "n", "words", "grams"])
+                out.append((b, s.stop - s.start, len(used), _delta(number[used]), squeezed([*own, n[s].astype(np.uint32)])))
+            yield pd.DataFrame(out, columns=["bucket", "n", "m", "words", "grams"])
 
     def store_grams(key: tuple, table: pa.Table) -> pa.Table:
         """Writes a bucket's n-grams and contexts; tells each word's home how many contexts it has here,
         and what spread words have."""
         at, lists, parts = 0, [], []
-        for n, words_, grams in zip(*(table[c].to_pylist() for c in ("n", "words", "grams")), strict=True):
-            own = unsqueezed(grams, n, "<u4", 4).astype(np.int64)
-            own[0] = np.cumsum(own[0].astype(np.uint32), dtype=np.uint32)
-            own[:3] += at
-            lists.append(np.frombuffer(words_, "<u8"))
+        for n, m, words_, grams in zip(*(table[c].to_pylist() for c in ("n", "m", "words", "grams")), strict=True):
+            own = unsqueezed(grams, n, "<u4", 4)
+            own[0] = np.cumsum(own[0], dtype=np.uint32)
+            own[:3] += np.uint32(at)
+            lists.append(_undelta(words_, m))
             parts.append(own)
-            at += len(lists[-1])
-        hashes, number = np.unique(np.concatenate(lists), return_inverse=True)
+            at += m
+        word, number = np.unique(np.concatenate(lists), return_inverse=True)
         v, w, u, n = np.concatenate(parts, axis=1)
         del parts, lists
-        (v, w, u), n = grouped([number[v], number[w], number[u]], n)
-        wide, arrays, out = _wide(hashes, spread), {}, []
+        (v, w, u), n = grouped([number[v], number[w], number[u]], n.astype(np.int64))
+        wide, arrays, out = _wide(word.astype(np.int64), spread, start), {}, []
         pairs = np.flatnonzero((np.diff(v, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
         if order == 3:
-            arrays |= keyed("triple", mixed(mixed(hashes[u], hashes[v]), hashes[w]), n)
+            arrays |= keyed("triple", mixed(mixed(word[u], word[v]), word[w]) >> np.uint64(16), n)
             out.append((0, "top", 1, b"", squeezed([np.array([x]) for x in _counts_of_counts(n)])))
             order_ = np.lexsort((u, v))
             cv, cu, cn = v[order_], u[order_], n[order_]
             starts = np.flatnonzero((np.diff(cv, prepend=-1) != 0) | (np.diff(cu, prepend=-1) != 0))
-            two, stats, far = mixed(hashes[cu[starts]], hashes[cv[starts]]), _stats(cn, starts), wide[cv[starts]]
-            arrays |= keyed("two", two[~far], stats[~far])
-            out += sums_for("two", (two[far] % by).astype(np.int64), two[far], stats[far])
+            two, stats, far = mixed(word[cu[starts]], word[cv[starts]]), _stats(cn, starts), wide[cv[starts]]
+            arrays |= keyed("two", two[~far] >> np.uint64(16), stats[~far])
+            out += sums_for("two", _home(two[far], buckets), two[far] >> np.uint64(16), stats[far])
             del cv, cu, cn, order_, two, stats
             n = np.diff(np.append(pairs, len(v)))
         v, w = v[pairs], w[pairs]
-        arrays |= keyed("pair", mixed(hashes[v], hashes[w]), n)
+        arrays |= keyed("pair", mixed(word[v], word[w]) >> np.uint64(16), n)
         starts = np.flatnonzero(np.diff(v, prepend=-1))
-        owner, stats, far = hashes[v[starts]], _stats(n, starts), wide[v[starts]]
+        owner, stats, far = word[v[starts]], _stats(n, starts), wide[v[starts]]
         arrays |= keyed("context", owner[~far], stats[~far])
         save(folder, "gram", key[0].as_py(), arrays)
-        out += sums_for("spread", (owner[far] % by).astype(np.int64), owner[far], stats[far])
-        times = np.bincount(w, minlength=len(hashes))
-        seen = times > 0
-        out += sums_for("low", (hashes[seen] % by).astype(np.int64), hashes[seen], times[seen])
+        maps = Maps(folder, firsts)
+        home, place = maps.home(owner[far].astype(np.int64))
+        out += sums_for("spread", home, place, stats[far])
+        times = np.bincount(w, minlength=len(word))
+        home, place = maps.home(word[times > 0].astype(np.int64))
+        out += sums_for("low", home, place, times[times > 0])
         out.append((0, "high", 1, b"", squeezed([np.array([x]) for x in _counts_of_counts(n)])))
         release_memory()
         return pa.Table.from_pandas(
@@ -459,8 +537,11 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
         )
 
     def store_home(key: tuple, table: pa.Table) -> pa.Table:
-        (word, times), (owner, stats), (two, two_stats) = (_added(table, k, n) for k, n in (("low", 1), ("spread", 4), ("two", 4)))
-        save(folder, "home", key[0].as_py(), keyed("low", word, times) | keyed("spread", owner, stats) | keyed("two", two, two_stats))
+        b = key[0].as_py()
+        (place, times), (owner, stats), (two, two_stats) = (_added(table, k, n) for k, n in (("low", 1), ("spread", 4), ("two", 4)))
+        all_ = np.zeros((int(sizes[b]) if b < few else 0, 1), dtype=np.int64)
+        all_[place.astype(np.int64)] = times
+        save(folder, "home", b, _valued("low", all_) | keyed("spread", owner, stats) | keyed("two", two, two_stats))
         told = {k: [unsqueezed(x, 1, "<i8", 4)[:, 0] for x in table.filter(pc.equal(table["kind"], k))["value"].to_pylist()] for k in ("high", "top")}
         times = times[:, 0]
         low = [*_counts_of_counts(times), int((times >= 3).sum()), int(times.sum())]
@@ -476,7 +557,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
     d_low = _discounts(low[:4])
     rest = d_low[0] * low[0] + d_low[1] * low[1] + d_low[2] * low[4]
     return Model(
-        folder, buckets, spread, told["tokens"] or 0, told["words"] or 0, max(low[5], 1), _discounts(high), d_low, rest,
+        Maps(folder, firsts), buckets, spread, sum(told["tokens"]), max(low[5], 1), _discounts(high), d_low, rest,
         _discounts(top) if order == 3 else None,
     )
 
@@ -490,7 +571,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield shared.value.score(list(batch))
             release_memory()
-        shared.value.files.clear()
+        shared.value.maps.files.clear()
 
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "lm_")
     keep = [c for c in docs.columns if c not in new]

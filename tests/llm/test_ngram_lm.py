@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import resource
 from collections import Counter
 
 import brute
@@ -37,17 +39,38 @@ def test_scores_match_brute_force(spark, make_docs, monkeypatch, bucket_bytes):
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
 
 
-def test_probabilities_sum_to_one(spark, make_docs):
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(spark, make_docs, order):
+    """Over all words, the end and one word that doesn't occur, after contexts that were seen and not."""
     learn = rows(30)
-    model = train(spark, make_docs(learn))
-    words = sorted({w for _, t in learn for w in t.lower().split()})
-    texts = [f"w3 {w}" for w in [*words, "unseen"]]
-    two = model.score(texts)["score"].to_numpy()
-    last = np.array([model.score([t])["score"][0] - 0 for t in ["w3"]])
-    assert np.isfinite(two).all() and np.isfinite(last).all()
-    # P(w | w3) alone: by the brute-force twin, over all words, the end, and one unseen.
-    of = lambda t: brute.kneser_ney([x for _, x in learn], [t])[0]
-    assert model.score(["w3 w1"])["score"][0] == pytest.approx(of("w3 w1"))
+    model = train(spark, make_docs(learn), order=order)
+    words = sorted({w for _, t in learn for w in (t or "").lower().split()})
+    for context in ("", "w3 ", "w0 w1 ", "w1 w0 ", "w39 w38 ", "unseen w2 ", "w2 unseen "):
+        place = len(context.split())
+        total = sum(_probability(model, context + w, place) for w in [*words, "unseen"]) + _probability(model, context, place)
+        assert total == pytest.approx(1)
+
+
+def _probability(model, text, place):
+    hashes, word, lengths = next(ngram_lm.coded([text], 1))
+    return model.probabilities(hashes, word, lengths)[0][place]
+
+
+def test_more_buckets_than_open_files(spark, make_docs, monkeypatch):
+    """Scores stay right where a process may hold fewer descriptors than there are buckets."""
+    monkeypatch.setattr(ngram_lm, "BUCKET_BYTES", 60)
+    monkeypatch.setattr(ngram_lm, "OPEN", 8)
+    learn = rows(60)
+    model = train(spark, make_docs(learn), order=3)
+    assert model.buckets > 64
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 24, hard))
+    try:
+        got = model.score([t for _, t in learn])["score"].tolist()
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    assert len(model.maps.files) <= 8
+    assert got == pytest.approx(trigram_scores([t for _, t in learn], [t for _, t in learn]))
 
 
 def test_no_training_rows_and_empty_table(spark, make_docs):
