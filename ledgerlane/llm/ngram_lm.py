@@ -32,18 +32,18 @@ from __future__ import annotations
 import json
 import mmap
 import os
+import re
 import uuid
-from collections import OrderedDict, defaultdict
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import count
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,42 +52,91 @@ from ledgerlane.llm.common import release_memory, scratch
 #: Bytes of text a bucket stands for; tokens a task gathers before it counts and sends them; bytes of
 #: text scored together; a word is spread if it has more than this share of its bucket's tokens; maps
 #: that a worker keeps open.
-BUCKET_BYTES, HELD, TOGETHER, SPREAD, OPEN = 16 << 20, 2 << 20, 4 << 20, 0.05, 64
+BUCKET_BYTES, HELD, TOGETHER, SPREAD, OPEN = 16 << 20, 2 << 20, 8 << 20, 0.05, 256
 MOST_WORD_BUCKETS = 1 << 16
-END, START = (xxhash.xxh64_intdigest(b, 0) for b in (b"", b" "))
+#: Bytes hashed together. The hashes of the end and start marks.
+_PIECE, END, START = 1 << 19, 1, 2
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _DEALT = "bucket int, n int, m int, words binary, grams binary"
 _SUMS = "bucket int, kind string, n int, key binary, value binary"
 
 
-class Coder:
-    """Numbers words in the order in which they are first seen; 0 is the start mark."""
-
-    def __init__(self) -> None:
-        self.code: dict[bytes, int] = defaultdict(count().__next__)
-        self.code[b" "]
-
-    def codes(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        words.append(b"")
-        return np.fromiter(map(self.code.__getitem__, words), dtype=np.int32, count=len(words))
-
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh64_intdigest, self.code), dtype=np.uint64, count=len(self.code))
-
-
-def coded(texts: Iterable[str | None], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hashes of words, all tokens as numbers of these, and the lengths of the texts; for runs of texts
-    of about `most` tokens."""
-    coder, held, size = Coder(), [], 0
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, ...]:
+    """A number for each byte (capitals as small letters), whether it separates words, and powers of an
+    odd factor and of its inverse."""
+    factor = 0x9E3779B97F4A7C15
+    powers = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(_PIECE, x, dtype=np.uint64)]) for x in (factor, pow(factor, -1, 1 << 64))]
+    value = np.random.default_rng(42).integers(0, 1 << 64, 256, dtype=np.uint64)
+    value[65:91] = value[97:123]
+    space = np.zeros(256, dtype=bool)
+    space[[32, *range(9, 14)]] = True
+    value[space] = 0
+    return value, space, *powers
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some bytes, and where each word begins. A hash is a polynomial in the
+    word's bytes, modulo 2^64, got from one running sum; pieces end where words do."""
+    value, space, power, inverse = _tables()
+    hashes, begin, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        end = at + _PIECE
+        if end < len(data):
+            gap = _GAP.search(data, end)
+            end = gap.start() if gap else len(data)
+        x = np.frombuffer(data, dtype=np.uint8, count=min(end, len(data)) - at, offset=at)
+        if len(x) > len(power):  # a word longer than a piece
+            power, inverse = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), p[1], dtype=np.uint64)]) for p in (power, inverse))
+        step = np.diff(np.concatenate([[True], space[x], [True]]).view(np.int8))
+        starts, ends = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[x] * power[: len(x)], dtype=np.uint64)])
+        h = (sums[ends] - sums[starts]) * inverse[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        hashes.append(h ^ (h >> np.uint64(32)))
+        begin.append(starts + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(begin)
+
+
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all tokens of the texts, an end after each text, and the texts' lengths in tokens."""
+    data = [(t or "").encode() for t in texts]
+    hashes, begin = word_hashes(b"\n".join(data))
+    at = np.cumsum([0, *[len(d) + 1 for d in data]])
+    words = np.diff(np.searchsorted(begin, at))
+    out = np.full(len(hashes) + len(data), np.uint64(END))
+    out[np.arange(len(hashes)) + np.repeat(np.arange(len(data)), words)] = hashes
+    return out, words + 1
+
+
+def runs(texts: Iterable[str | None], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What tokens() gives, for runs of texts of about `most` tokens."""
+    held, some, chars, size = [], [], 0, 0
     for text in texts:
-        held.append(coder.codes(text))
-        size += len(held[-1])
+        some.append(text)
+        chars += len(text or "")
+        if chars >= _PIECE:
+            held.append(tokens(some))
+            size += len(held[-1][0])
+            some, chars = [], 0
         if size >= most:
-            yield coder.hashes(), np.concatenate(held), np.array([len(x) for x in held])
-            coder, held, size = Coder(), [], 0
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
             release_memory()
+    if some:
+        held.append(tokens(some))
     if held:
-        yield coder.hashes(), np.concatenate(held), np.array([len(x) for x in held])
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def coded(texts: Iterable[str | None], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of words, the start mark's first; all tokens as numbers of these; the lengths of the texts;
+    for runs of texts of about `most` tokens."""
+    for hashes, lengths in runs(texts, most):
+        words, number = np.unique(hashes, return_inverse=True)
+        yield np.concatenate([np.array([START], np.uint64), words]), number.astype(np.int32) + np.int32(1), lengths
 
 
 def before(token: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -106,6 +155,11 @@ def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _alone(number: np.ndarray) -> np.ndarray:
+    """The key of a single number: like all keys spread evenly, which a search relies on."""
+    return mixed(np.zeros(len(number), dtype=np.uint64), number.astype(np.uint64)) >> np.uint64(16)
+
+
 def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of the key columns, in order of the first, then the next; n added up (rows of n
     where it is two-dimensional)."""
@@ -302,12 +356,15 @@ class Maps:
                 continue
             want_high, want_low = (key[at] >> np.uint64(16)).astype(np.uint32), (key[at] & np.uint64(0xFFFF)).astype(np.uint16)
             place = np.minimum(np.searchsorted(high, want_high), len(high) - 1)
-            while True:  # few keys share their leading 32 bits
-                on = (high[place] == want_high) & (low[place] < want_low) & (place + 1 < len(high))
-                if not on.any():
-                    break
-                place[on] += 1
-            hit = (high[place] == want_high) & (low[place] == want_low)
+            same, there = high[place] == want_high, low[place]
+            hit = same & (there == want_low)
+            late = np.flatnonzero(same & (there < want_low) & (place + 1 < len(high)))
+            while len(late):  # few keys share their leading 32 bits
+                place[late] += 1
+                now = place[late]
+                same, there = high[now] == want_high[late], low[now]
+                hit[late] = same & (there == want_low[late])
+                late = late[same & (there < want_low[late]) & (now + 1 < len(high))]
             yield b, at[hit], place[hit]
 
     def look_up(self, kind: str, name: str, width: int, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -365,10 +422,10 @@ class Model:
                 contexts[at] = stored["low-table"][stored["low-code"][place[at]], 0]
         wide = _wide(number, self.spread, self.vocabulary)
         own = np.zeros((len(number), 4), dtype=np.int64)
-        own[wide] = maps.look_up("home", "spread", 4, home[wide], place[wide].astype(np.uint64))
+        own[wide] = maps.look_up("home", "spread", 4, home[wide], _alone(place[wide]))
         gram = number % self.buckets
         number = number.astype(np.uint64)
-        own[~wide] = maps.look_up("gram", "context", 4, gram[~wide], number[~wide])
+        own[~wide] = maps.look_up("gram", "context", 4, gram[~wide], _alone(number[~wide]))
         gap = np.take([0.0, *self.low], np.minimum(contexts, 3))
         lowest = (contexts - gap) / self.pairs + self.low_rest / self.pairs / (self.vocabulary + 1)
         p, context = lowest[word], before(word, lengths)
@@ -444,9 +501,10 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
     columns = [x.split()[0] for x in _SUMS.split(", ")]
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for hashes, word, _ in coded(_texts(batches), HELD):
-            n = np.bincount(word, minlength=len(hashes))
-            hashes, n = hashes[n > 0], n[n > 0]
+        for hashes, _ in runs(_texts(batches), HELD):
+            hashes.sort()
+            starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            hashes, n = hashes[starts], np.diff(np.append(starts, len(hashes)))
             yield pd.DataFrame(sums_for("word", _home(hashes, few), hashes >> np.uint64(16), n), columns=columns)
 
     def store_words(key: tuple, table: pa.Table) -> pa.Table:
@@ -521,7 +579,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
         arrays |= keyed("pair", mixed(word[v], word[w]) >> np.uint64(16), n)
         starts = np.flatnonzero(np.diff(v, prepend=-1))
         owner, stats, far = word[v[starts]], _stats(n, starts), wide[v[starts]]
-        arrays |= keyed("context", owner[~far], stats[~far])
+        arrays |= keyed("context", _alone(owner[~far]), stats[~far])
         save(folder, "gram", key[0].as_py(), arrays)
         maps = Maps(folder, firsts)
         home, place = maps.home(owner[far].astype(np.int64))
@@ -541,7 +599,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
         (place, times), (owner, stats), (two, two_stats) = (_added(table, k, n) for k, n in (("low", 1), ("spread", 4), ("two", 4)))
         all_ = np.zeros((int(sizes[b]) if b < few else 0, 1), dtype=np.int64)
         all_[place.astype(np.int64)] = times
-        save(folder, "home", b, _valued("low", all_) | keyed("spread", owner, stats) | keyed("two", two, two_stats))
+        save(folder, "home", b, _valued("low", all_) | keyed("spread", _alone(owner), stats) | keyed("two", two, two_stats))
         told = {k: [unsqueezed(x, 1, "<i8", 4)[:, 0] for x in table.filter(pc.equal(table["kind"], k))["value"].to_pylist()] for k in ("high", "top")}
         times = times[:, 0]
         low = [*_counts_of_counts(times), int((times >= 3).sum()), int(times.sum())]

@@ -58,7 +58,7 @@ def _probability(model, text, place):
 
 def test_more_buckets_than_open_files(spark, make_docs, monkeypatch):
     """Scores stay right where a process may hold fewer descriptors than there are buckets."""
-    monkeypatch.setattr(ngram_lm, "BUCKET_BYTES", 60)
+    monkeypatch.setattr(ngram_lm, "BUCKET_BYTES", 50)
     monkeypatch.setattr(ngram_lm, "OPEN", 8)
     learn = rows(60)
     model = train(spark, make_docs(learn), order=3)
