@@ -29,6 +29,42 @@ def test_stages_and_run(spark, make_docs, tmp_path):
     assert {r["doc_id"] for r in out} == set(kept[3]) and all(len(r["token_ids"]) == r["n_tokens"] > 0 for r in out)
 
 
+def odd_rows():
+    text = "the house and this thing with other words that are seen again"
+    rows = [(i, f"{text} n{i} k{i * 7} x{i * 11}", "en", f"s{i % 2}") for i in range(20)]
+    rows += [(3, f"{text} n3 k21 x33", "en", "s1"), (None, text + " without an id", "en", None), (None, text + " no id either", None, "s0"), (None, None, None, None), (90, "", "en", "s0")]
+    return [*rows, (91, "the house and this thing " * 20_000, "en", "s1"), (91, "another text of one id that is seen again and again", "en", "s1")]
+
+
+def test_stages_on_null_ids_repeated_rows_long_texts_and_clashing_columns(spark, make_docs, tmp_path):
+    docs = make_docs(odd_rows())
+    columns, before = docs.columns, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{tmp_path}/{name}"
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == columns
+        rows = docs.select("doc_id", "text", "kept").collect()
+        assert rows and all(r["kept"] == "x" and r["text"] for r in rows)
+        if name == "language_id":  # what has no letters goes
+            assert len(rows) == len(odd_rows()) - 2
+        elif name == "simhash_near_dedup":  # repeated rows go, ids that texts share don't matter
+            assert len({(r["doc_id"], r["text"]) for r in rows}) == len(rows) < before
+        elif name == "pii":
+            assert len(rows) == before
+        before = len(rows)
+    out = corpus_pipeline.encode(spark, docs, str(tmp_path)).collect()
+    assert len(out) == before and all(len(r["token_ids"]) == r["n_tokens"] > 0 for r in out)
+
+
+def test_stages_on_an_empty_table(spark, make_docs, tmp_path):
+    docs = make_docs(odd_rows()).limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == 0
+
+
 def test_language_stage_rejects_foreign_scripts_and_unknown_languages(spark, make_docs, tmp_path):
     words = {"en": "the house and this thing with other words that are seen".split(), "de": "das haus und schön nicht größe diese andere wörter sind".split()}
     rows = [(1000 * k + i, " ".join(w[i % 7 :] + w[: i % 5]), lang) for k, (lang, w) in enumerate(words.items()) for i in range(40)]
