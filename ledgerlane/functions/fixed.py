@@ -142,3 +142,15 @@ RK_VENDORS = {
     ),
 }
 UNKNOWN_VENDOR = "Unknown / Generic"
+
+# Whole headers by canonical name, and what headers of ids and amounts hold.
+WHOLE_HEADERS = {
+    "def_amount": ("ee deferral $", "ee deferral", "employee deferral $", "ee_pretax_def", "ee pretax def"),
+    "roth_amount": ("ee roth $", "ee roth", "employee roth $", "ee_roth_def", "ee roth def"),
+    "pay_date": ("pay date", "payroll date", "pay period end date", "pay period ending", "check date", "payroll run date", "pay_date"),
+    "deposit_date": ("deposit_date", "deposit date"),
+    "amount": ("total_deposit_amount", "total deposit amount"),
+}
+ID_TOKENS = ("employeeid", "empid", "employeenumber", "empnumber", "emplid", "participantid")
+ID_COLUMNS = ("employee_id", "empnumber", "part_id", "emp_id", "participant_id")
+AMOUNT_TOKENS = ("deferral", "pretax", "pre-tax", "roth", "loan", "amount", "contribution", "match")

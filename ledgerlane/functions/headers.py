@@ -35,12 +35,8 @@ def amount_headers(columns: list[str]) -> dict[str, str]:
 
 #: Aliases, first rule that holds wins: the name, whole headers, and a test of the bare header.
 _ALIASES = (
-    ("def_amount", ("ee deferral $", "ee deferral", "employee deferral $", "ee_pretax_def", "ee pretax def"), None),
-    ("roth_amount", ("ee roth $", "ee roth", "employee roth $", "ee_roth_def", "ee roth def"), None),
-    ("pay_date", ("pay date", "payroll date", "pay period end date", "pay period ending", "check date", "payroll run date", "pay_date"), None),
-    ("deposit_date", ("deposit_date", "deposit date"), None),
-    ("amount", ("total_deposit_amount", "total deposit amount"), None),
-    ("employee_id", (), lambda k: _any(k, "employeeid", "empid", "employeenumber", "empnumber", "emplid", "participantid")),
+    *[(name, whole, None) for name, whole in fixed.WHOLE_HEADERS.items()],
+    ("employee_id", (), lambda k: _any(k, *fixed.ID_TOKENS)),
     ("pay_date", (), lambda k: _any(k, "paydate", "checkdate", "payperiodend")),
     ("def_amount", (), lambda k: "deferral" in k and _any(k, "ee", "employee", "pretax") or k.startswith("deferralamount") or "pretax" in k and "def" in k),
     ("roth_amount", (), lambda k: "roth" in k and _any(k, "ee", "employee", "def")),
@@ -150,7 +146,7 @@ def name_columns(columns: list[str]) -> dict[str, str]:
 
 def id_column(columns: list[str]) -> str | None:
     named = {c.lower(): c for c in columns}
-    for want in ("employee_id", "empnumber", "part_id", "emp_id", "participant_id"):
+    for want in fixed.ID_COLUMNS:
         if want in named:
             return named[want]
     return next((c for c in columns if "employee" in c.lower() or c.lower().endswith("id")), None)
@@ -162,4 +158,4 @@ def lag_column(columns: list[str]) -> str | None:
 
 def has_amount_header(columns: list[str]) -> bool:
     """Whether a recordkeeper file's headers name any amount."""
-    return any(_any(c.lower(), "deferral", "pretax", "pre-tax", "roth", "loan", "amount", "contribution", "match") for c in columns)
+    return any(_any(c.lower(), *fixed.AMOUNT_TOKENS) for c in columns)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.sources.scratch import materialize
+from ledgerlane.sources.sinks import parts_of
 
 LEAVES_A_GROUP = 1024
 
@@ -60,6 +61,20 @@ def merkle_of(rows: DataFrame, *order: str) -> DataFrame:
     return merkle_root(leaves, leaves.count())
 
 
+def sample_hashes(rows: DataFrame, *order: str, n: int = 5) -> DataFrame:
+    """index_ and row_hash of the first n rows in the given order."""
+    first = row_hashes(rows).orderBy(*order).limit(n)
+    return first.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("index_"), "row_hash")
+
+
+def proof_of(rows: DataFrame, *order: str) -> dict:
+    """What a proof holds of a table: row count, columns, Merkle root and the first row hashes."""
+    leaves = indexed(row_hashes(rows).select(*order, "row_hash"), *order)
+    n = leaves.count()
+    first = leaves.filter("index_ < 5").orderBy("index_").collect()
+    return {"row_count": n, "columns": sorted(rows.columns), "merkle_root": merkle_root(leaves, n).first()[0], "row_hash_sample": [r["row_hash"] for r in first]}
+
+
 def sha256_file(path: str, prefix: str = "") -> str:
     digest = hashlib.sha256()
     with open(path, "rb") as f:
@@ -73,17 +88,33 @@ def sha256_bytes(data: bytes | str, prefix: str = "") -> str:
 
 
 def write_manifest(path: str, inputs: dict[str, str], outputs: dict[str, str], config: dict | None = None, roots: dict | None = None) -> dict:
-    """Time, hashes of inputs and outputs, configuration and Merkle roots, as JSON."""
-    hashed = lambda files: {k: {"path": p, "sha256": sha256_file(p, "sha256:")} for k, p in files.items() if os.path.exists(p)}
+    """Time, hashes of inputs and outputs (of a folder, of each part file), configuration and Merkle
+    roots, as JSON. The hash of the sealed ZIP is added later by add_seal()."""
+
+    def hashed(files: dict[str, str]) -> dict:
+        out = {}
+        for key, whole in files.items():
+            for part in parts_of(whole):
+                out[key if part == whole else f"{key}/{os.path.basename(part)}"] = {"path": part, "sha256": sha256_file(part, "sha256:")}
+        return out
+
     manifest = {
         "created_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H-%M-%SZ"), "config": config or {}, "inputs": hashed(inputs),
-        "outputs": hashed(outputs), "merkle_roots": roots or {},
+        "outputs": hashed(outputs), "merkle_roots": roots or {}, "evidence_pack_sha256": None,
     }
     with open(path, "w", encoding="utf-8") as f:
         json.dump(manifest, f, indent=2, sort_keys=True)
     return manifest
 
 
+def add_seal(path: str, sealed: str) -> None:
+    """Adds the ZIP's hash to the manifest that lies beside it; the copy inside holds null."""
+    with open(path, encoding="utf-8") as f:
+        manifest = json.load(f) | {"evidence_pack_sha256": sha256_file(sealed, "sha256:")}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(manifest, f, indent=2, sort_keys=True)
+
+
 def latest_manifest(folder: str) -> str | None:
     """The last manifest by name."""
     names = sorted(x for x in os.listdir(folder) if x.endswith(".json")) if os.path.isdir(folder) else []

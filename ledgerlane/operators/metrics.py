@@ -127,10 +127,22 @@ def batch_dashboard(payroll: DataFrame, rk: DataFrame, late_days: int = 5) -> Da
     return out.withColumn("risk", batch_risk(F.col("deferral_mismatches"), F.col("loan_mismatches"), F.col("late_deferrals")))
 
 
+def batch_overview(batches: DataFrame, payroll: DataFrame, rk: DataFrame, late_days: int = 5) -> DataFrame:
+    """Every one of batches(run_no, batch_id, plan_name, payroll_file, rk_file, payroll_vendor,
+    rk_vendor, evidence_pack) with its totals, counts and risk; a batch without rows has zeros."""
+    figures = batch_dashboard(payroll, rk, late_days).drop("risk")
+    known = {"payroll_vendor": "Unknown", "rk_vendor": "Unknown", "evidence_pack": "N/A"}
+    counts = ["deferral_mismatches", "loan_mismatches", "late_deferrals"]
+    out = batches.join(figures, "batch_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast(out.schema[c].dataType)) for c in ("deferrals_payroll", "deferrals_rk", *counts)}
+    out = out.withColumns(zero | {c: F.coalesce(c, F.lit(v)) for c, v in known.items()})
+    return out.select(*batches.columns, *zero, batch_risk(*[F.col(c) for c in counts]).alias("risk"))
+
+
 def run_history(runs: DataFrame) -> DataFrame:
     total = F.col("deferral_mismatch_count") + F.col("loan_mismatch_count") + F.col("late_deferral_count")
     return runs.select(
-        "id", "created_at", "status", "plan_name", "deferral_mismatch_count", "loan_mismatch_count", "late_deferral_count",
+        "id", "created_at", "status", "plan_name", "payroll_filename", "rk_filename", "deferral_mismatch_count", "loan_mismatch_count", "late_deferral_count",
         total.alias("total_issues"), history_risk(total).alias("risk"),
     )
 

@@ -16,6 +16,11 @@ from ledgerlane.operators import integrity, issues, metrics, preflight, reconcil
 from ledgerlane.sources import files, sinks
 
 
+#: Tables of a few rows whatever the input: one file each.
+FEW_ROWS = ("timing_summary", "issues_by_category", "plan_health", "compliance_metrics", "summary_counts")
+AUDIT = "Run {run_id}, {rows} reconciled participants.\nResults of fixed rules over the files that manifest.json's hashes name; no opinion on compliance.\n"
+
+
 @dataclass(frozen=True)
 class Config:
     plan_name: str | None = None
@@ -30,6 +35,7 @@ class Config:
     secure20: bool = True
     payroll_vendor: str | None = None
     rk_vendor: str | None = None
+    single_files: bool = False  # one CSV per table of rows, for small runs
 
 
 @dataclass
@@ -99,9 +105,12 @@ class Engine:
             out["plan_health"] = issues.plan_health(out["plan_exception_summary"], payroll)
         return out | {"compliance_metrics": metrics.compliance_metrics(both), "summary_counts": metrics.summary_counts(both)}
 
-    def run(self, payroll: DataFrame, rk: DataFrame, output: str | None = None, mapping: dict | None = None) -> Result:
+    def run(
+        self, payroll: DataFrame, rk: DataFrame, output: str | None = None, mapping: dict | None = None, inputs: dict[str, str] | None = None
+    ) -> Result:
         """Raw sides to a result; with a mapping the preflight gate comes first, with an output folder
-        tables, summary, manifest and ZIP are written, the ZIP last."""
+        tables, summary, manifest and ZIP are written, the ZIP last. The manifest holds hashes of the
+        input files, where their paths are given by name."""
         if mapping is not None:
             report = preflight.run(payroll, rk, mapping)
             if not report.safe:
@@ -123,26 +132,31 @@ class Engine:
             if "plan_health" in t:
                 result.summary["plan_health"] = one(t["plan_health"])
             if output:
-                self._write(result, output)
+                self._write(result, output, inputs or {})
             return result
         finally:
             for rows in held:
                 rows.unpersist()
 
-    def _write(self, result: Result, output: str) -> None:
+    def _write(self, result: Result, output: str, inputs: dict[str, str]) -> None:
         os.makedirs(output, exist_ok=True)
         sinks.clean(output)
         c, year = self.config, result.summary["plan_year"]
         for name, rows in result.tables.items():
             if name not in ("joined", "timing_detail"):
                 rows = sinks.with_run(rows.drop("run_id", "plan_name", "plan_year") if name == "plan_exception_summary" else rows, result.run_id, c.plan_name, year)
-                result.files[name] = sinks.write_csv(rows, os.path.join(output, f"{name}.csv"))
+                result.files[name] = sinks.write_csv(rows, os.path.join(output, f"{name}.csv"), c.single_files or name in FEW_ROWS)
         result.files["run_summary"] = sinks.write_json(result.summary, os.path.join(output, "run_summary.json"))
-        roots = {n: integrity.merkle_of(result.tables[n], "employee_id").first()[0] for n in ("recon_deferrals", "recon_loans")}
+        proofs = {n: integrity.proof_of(result.tables[n], "employee_id") for n in ("recon_deferrals", "recon_loans")}
+        result.files["proofs"] = sinks.write_json(proofs, os.path.join(output, "proofs.json"))
+        roots = {n: p["merkle_root"] for n, p in proofs.items()}
         manifest = os.path.join(output, f"manifest_{result.run_id}.json")
-        integrity.write_manifest(manifest, {}, result.files, {"plan_name": c.plan_name}, roots)
+        integrity.write_manifest(manifest, inputs, result.files, {"plan_name": c.plan_name}, roots)
         result.files["manifest"] = manifest
-        result.files["evidence_pack"] = sinks.seal(result.files, os.path.join(output, "evidence_pack.zip"), {"README.txt": f"Results of run {result.run_id}\n"})
+        notes = {"README.txt": f"Results of run {result.run_id}\n", "audit_summary.txt": AUDIT.format(run_id=result.run_id, rows=proofs["recon_deferrals"]["row_count"])}
+        names = {"manifest": "manifest.json", "recon_deferrals": "results.csv", "plan_exception_summary": "violations.csv"}
+        result.files["evidence_pack"] = sinks.seal(result.files, os.path.join(output, "evidence_pack.zip"), notes, names)
+        integrity.add_seal(manifest, result.files["evidence_pack"])
 
 
 def evidence_index(result: Result) -> list[dict]:
@@ -169,14 +183,17 @@ def main(args: list[str] | None = None) -> int:
         cli.add_argument(f"--{name}")
     cli.add_argument("--plan-year", type=int)
     cli.add_argument("--late-days", type=int, default=5)
+    cli.add_argument("--single-files", action="store_true")
     a = cli.parse_args(args)
     spark = SparkSession.builder.appName("ledgerlane").getOrCreate()
     config = Config(
         plan_name=a.plan_name, plan_year=a.plan_year, late_business_days=a.late_days, late_calendar_days=a.late_days,
-        payroll_vendor=a.payroll_vendor, rk_vendor=a.rk_vendor,
+        payroll_vendor=a.payroll_vendor, rk_vendor=a.rk_vendor, single_files=a.single_files,
     )
     mapping = files.read_mapping(a.mapping) if a.mapping else None
-    out = safe_run(Engine(spark, config), files.read_table(spark, a.payroll), files.read_table(spark, a.recordkeeper), output=a.output, mapping=mapping)
+    inputs = {k: p for k, p in (("payroll", a.payroll), ("recordkeeper", a.recordkeeper), ("mapping", a.mapping)) if p}
+    sides = files.read_table(spark, a.payroll), files.read_table(spark, a.recordkeeper)
+    out = safe_run(Engine(spark, config), *sides, output=a.output, mapping=mapping, inputs=inputs)
     print(json.dumps(out, indent=2, default=str))
     return int("error" in out)
 

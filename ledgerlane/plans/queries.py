@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import fixed
-from ledgerlane.functions.scalar import business_days, parse_amount, parse_date, parse_flag
+from ledgerlane.functions.scalar import age_on, age_rounded, business_days, calendar_days, dollars, first_of_month, numeric, parse_amount, parse_date, parse_flag, years_after
 from ledgerlane.operators import integrity, issues, metrics, preflight, reconcile, rules, timing
 from ledgerlane.sources import files, sinks
 from ledgerlane.sources.adapter import view, view_sql
@@ -318,6 +318,11 @@ ON p.batch_id = r.batch_id AND p.employee_id = r.employee_id), a AS (SELECT batc
 count(*) FILTER (b AND lp <> lr) AS loan_mismatches, count(*) FILTER (b AND lag > 5) AS late_deferrals FROM q GROUP BY batch_id) SELECT *, """ + _BATCH_RISK.format(d="deferral_mismatches", l="loan_mismatches", t="late_deferrals") + " AS risk FROM a"
 add("batch_dashboard", lambda v: metrics.batch_dashboard(v("payroll"), v("rk")), _BATCHES)
 add("batch_risk", lambda v: metrics.batch_dashboard(v("payroll"), v("rk")).select("batch_id", "risk"), _BATCHES.replace("SELECT *, CASE WHEN deferral_mismatches > 100", "SELECT batch_id, CASE WHEN deferral_mismatches > 100"))
+_FIGURES = ("deferrals_payroll", "deferrals_rk", "deferral_mismatches", "loan_mismatches", "late_deferrals")
+add("batch_overview", lambda v: metrics.batch_overview(v("batches"), v("payroll"), v("rk")), view_sql("batches") + ", " + _BATCHES.removeprefix("WITH ").rsplit(" SELECT *, CASE", 1)[0] + f""", o AS (
+SELECT b.* EXCLUDE (payroll_vendor, rk_vendor, evidence_pack), coalesce(payroll_vendor, 'Unknown') AS payroll_vendor, coalesce(rk_vendor, 'Unknown') AS rk_vendor, coalesce(evidence_pack, 'N/A') AS evidence_pack,
+{", ".join(f"coalesce(a.{c}, 0) AS {c}" for c in _FIGURES)} FROM v_batches b LEFT JOIN a ON a.batch_id = b.batch_id)
+SELECT *, {_BATCH_RISK.format(d="deferral_mismatches", l="loan_mismatches", t="late_deferrals")} AS risk FROM o""")
 
 # The run catalogue.
 _RUNS = view_sql("runs")
@@ -341,6 +346,15 @@ add("derived_loan", lambda v: v("raw_payroll").select("emp_no", parse_amount(F.c
     _RAW + f" SELECT emp_no, {_AMOUNT.format(c='loan_amount')} AS payroll_loan, 0.0::DOUBLE AS rk_loan FROM v_raw_payroll")
 add("derived_secure20_fields", lambda v: v("raw_payroll").select("emp_no", parse_flag(F.col("hce_flag")).alias("is_hce"), F.lit(0.0).alias("catchup_pretax"), F.lit(0.0).alias("catchup_roth")),
     _RAW + f" SELECT emp_no, {_FLAG} AS is_hce, 0.0::DOUBLE AS catchup_pretax, 0.0::DOUBLE AS catchup_roth FROM v_raw_payroll")
+add("cleaned_scalars", lambda v: v("raw_payroll").select("emp_no", "paid", *[f(F.col(c)).alias(f"{n}_{c}") for c in ("def_amount", "roth_amount", "loan_amount") for n, f in (("amount", parse_amount), ("number", numeric))],
+    parse_date(F.col("hce_flag")).alias("no_date"), parse_flag(F.col("hce_flag")).alias("flag"), parse_flag(F.col("loan_amount")).alias("number_flag")),
+    _RAW + " SELECT emp_no, paid, " + ", ".join(f"{_AMOUNT.format(c=c)} AS amount_{c}, coalesce(TRY_CAST(trim({c}) AS DOUBLE), 0) AS number_{c}" for c in ("def_amount", "roth_amount", "loan_amount"))
+    + f", CAST(NULL AS DATE) AS no_date, {_FLAG} AS flag, coalesce(TRY_CAST(loan_amount AS DOUBLE) <> 0, false) AS number_flag FROM v_raw_payroll")
+add("census_dates", lambda v: v("census").select("employee_id", age_on(F.col("dob"), F.col("hire_date")).alias("age"), age_rounded(F.col("dob"), F.col("hire_date")).alias("rounded_age"),
+    first_of_month(F.col("hire_date")).alias("entry"), years_after(F.col("hire_date"), 1).alias("a_year_on"), calendar_days(F.col("hire_date"), F.col("termination_date")).alias("days_employed"), dollars(F.col("compensation")).alias("paid")),
+    view_sql("census") + """ SELECT employee_id, CAST(trunc((hire_date - dob) / 365.25::DOUBLE) AS INTEGER) AS age, CAST(trunc(round_even((hire_date - dob) / 365.25::DOUBLE, 1)) AS INTEGER) AS rounded_age,
+CAST(CASE WHEN day(hire_date) = 1 THEN hire_date ELSE date_trunc('month', hire_date) + INTERVAL 1 MONTH END AS DATE) AS entry, CAST(hire_date + INTERVAL 1 YEAR AS DATE) AS a_year_on,
+CAST(greatest(termination_date - hire_date, CASE WHEN termination_date IS NOT NULL THEN 0 END) AS INTEGER) AS days_employed, '$' || CAST(compensation AS VARCHAR) AS paid FROM v_census""")
 add("preflight_coverage", lambda v: preflight.coverage(v("raw_payroll"), "emp_no"), _RAW + """, c AS (SELECT count(*) AS total_rows, count(*) FILTER (coalesce(trim(emp_no) <> '', false)) AS rows_with_id FROM v_raw_payroll)
 SELECT *, round(CASE WHEN total_rows > 0 THEN rows_with_id * 100.0::DOUBLE / total_rows ELSE 0 END, 4) AS coverage_pct FROM c""")
 add("rk_pivot_money_type", lambda v: files.pivot_money_types(v("money_types")), view_sql("money_types") + """ SELECT employee_id, deposit_date, CAST(coalesce(sum(amount) FILTER (money_type = '457b_Pretax'), 0) AS DOUBLE) AS pretax,
@@ -356,6 +370,7 @@ def _hashable(v: Callable) -> DataFrame:
 
 
 add("row_hashes", lambda v: integrity.row_hashes(_hashable(v)).select("employee_id", "row_hash"), _HASHED + "SELECT * FROM rh")
+add("row_hash_sample", lambda v: integrity.sample_hashes(_hashable(v), "employee_id"), _HASHED + "SELECT row_number() OVER (ORDER BY employee_id) - 1 AS index_, row_hash FROM rh ORDER BY employee_id LIMIT 5")
 add("merkle_root", lambda v: integrity.merkle_of(_hashable(v), "employee_id"), _HASHED.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, lv AS (SELECT 0 AS depth, row_number() OVER (ORDER BY employee_id) - 1 AS i, row_hash AS h FROM rh
 UNION ALL SELECT DISTINCT depth, i, h FROM (SELECT depth + 1 AS depth, i // 2 AS i, sha256(first_value(h) OVER w || last_value(h) OVER w) AS h, count(*) OVER (PARTITION BY depth) AS n FROM lv
 WINDOW w AS (PARTITION BY depth, i // 2 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE n > 1) SELECT h AS merkle_root FROM lv WHERE depth = (SELECT max(depth) FROM lv)""")

@@ -62,6 +62,14 @@ VIEWS = {
         "case when o_orderstatus = 'F' then 'completed' else 'failed' end as status", "concat('Plan ', cast(o_custkey % 40 as string)) as plan_name",
         "cast(o_orderkey % 30 as bigint) as deferral_mismatch_count", "cast(o_orderkey % 7 as bigint) as loan_mismatch_count",
         "cast(o_custkey % 3 as bigint) as late_deferral_count",
+        "concat('payroll-', cast(o_custkey % 40 as string), '.csv') as payroll_filename",
+        "concat('rk-', cast(o_custkey % 40 as string), '.csv') as rk_filename",
+    ]),
+    "batches": ("nation", "true", [
+        "cast(n_nationkey + 1 as bigint) as run_no", "concat('batch-', cast(n_nationkey as string)) as batch_id", "concat('Plan #', cast(n_nationkey + 1 as string)) as plan_name",
+        "concat('payroll-', cast(n_nationkey as string), '.csv') as payroll_file", "concat('rk-', cast(n_nationkey as string), '.csv') as rk_file",
+        "case when n_nationkey % 3 = 0 then 'ADP' end as payroll_vendor", "case when n_nationkey % 2 = 0 then 'Fidelity' end as rk_vendor",
+        "case when n_nationkey % 5 = 0 then concat('packs/', cast(n_nationkey as string), '.zip') end as evidence_pack",
     ]),
 }
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerlane.functions import headers
 from ledgerlane.functions.scalar import MONEY, parse_amount, parse_date, parse_flag
@@ -35,7 +36,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
         frame = pd.read_excel(path, dtype=str)
         frame.columns = [str(c).strip() for c in frame.columns]
-        return spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"`{c}` string" for c in frame.columns))
+        return spark.createDataFrame(frame.astype(object).where(frame.notna(), None), StructType([StructField(c, StringType()) for c in frame.columns]))
     return spark.read.parquet(path) if low.endswith(".parquet") else read_csv(spark, path)
 
 

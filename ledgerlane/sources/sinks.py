@@ -6,11 +6,15 @@ import glob
 import json
 import os
 import shutil
+import warnings
 import zipfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a sheet of a workbook holds, below its header.
+SHEET_ROWS = 1_048_575
+
 
 def with_run(rows: DataFrame, run_id: str, plan_name: str | None, plan_year: int | None) -> DataFrame:
     """Run metadata as columns, added before the write."""
@@ -26,8 +30,9 @@ def clean(folder: str) -> None:
             shutil.rmtree(path) if os.path.isdir(path) else os.remove(path)
 
 
-def write_csv(rows: DataFrame, path: str, single: bool = True) -> str:
-    """A CSV file with a header (single), or a folder of part files written in parallel."""
+def write_csv(rows: DataFrame, path: str, single: bool = False) -> str:
+    """A folder of part files, each with a header, written in parallel on any file system of Spark; or
+    (single, for tables of few rows and a local path) one CSV file."""
     if not single:
         rows.write.mode("overwrite").csv(path, header=True)
         return path
@@ -50,13 +55,18 @@ def write_json(value: dict, path: str) -> str:
 
 
 def write_workbook(tables: dict[str, DataFrame], path: str) -> str | None:
-    """A sheet per table (names cut to 31 characters, a placeholder row when empty); None where no
-    workbook writer is installed."""
+    """A sheet per table (names cut to 31 characters, a placeholder row when empty). It is written on the
+    driver, so a table must fit a sheet: one of more than SHEET_ROWS rows is an error, before anything
+    is written. None, with a warning, where no workbook writer is installed."""
     try:
         import openpyxl  # noqa: F401
         import pandas as pd
     except ImportError:
+        warnings.warn("no workbook: openpyxl is not installed", stacklevel=2)
         return None
+    large = [name for name, rows in tables.items() if rows.limit(SHEET_ROWS + 1).count() > SHEET_ROWS]
+    if large:
+        raise ValueError(f"too many rows for a sheet, write them as CSV: {large}")
     with pd.ExcelWriter(path) as book:
         for name, rows in tables.items():
             frame = rows.toPandas()
@@ -64,12 +74,19 @@ def write_workbook(tables: dict[str, DataFrame], path: str) -> str | None:
     return path
 
 
-def seal(files: dict[str, str], path: str, notes: dict[str, str] | None = None) -> str:
-    """A ZIP of the files that exist, by key, and of notes as text files; written last."""
+def parts_of(path: str) -> list[str]:
+    """The file, or the part files of a folder that Spark wrote; none where there is neither."""
+    return [path] if os.path.isfile(path) else sorted(glob.glob(os.path.join(path, "part-*")))
+
+
+def seal(files: dict[str, str], path: str, notes: dict[str, str] | None = None, names: dict[str, str] | None = None) -> str:
+    """A ZIP of the files that exist, by key, and of notes as text files; written last. A folder's part
+    files keep its name; names holds, by key, other names than the files have."""
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for source in files.values():
-            if source and os.path.isfile(source):
-                z.write(source, os.path.basename(source))
+        for key, source in files.items():
+            for part in parts_of(source) if source else []:
+                inside = (names or {}).get(key, os.path.basename(source))
+                z.write(part, inside if part == source else f"{inside}/{os.path.basename(part)}")
         for name, text in (notes or {}).items():
             z.writestr(name, text)
     return path

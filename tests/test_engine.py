@@ -1,6 +1,10 @@
+import contextlib
 import json
+import sys
+import types
 import zipfile
 
+import pandas as pd
 import pytest
 
 from ledgerlane.operators import integrity
@@ -19,14 +23,14 @@ def sides(spark, tmp_path):
 
 
 def test_run_writes_sealed_results(spark, sides, tmp_path):
-    result = Engine(spark, Config(plan_name="P")).run(*sides, output=str(tmp_path / "out"))
+    result = Engine(spark, Config(plan_name="P", single_files=True)).run(*sides, output=str(tmp_path / "out"))
     s = result.summary
     assert (s["payroll_vendor"][0], s["rk_vendor"][0]) == ("ADP", "VENDOR_RK_1")
     assert (s["deferral_mismatch_count"], s["loan_mismatch_count"], s["late_deferral_count"], s["only_rk_count"]) == (0, 1, 1, 1)
     assert float(s["total_deferrals_payroll"]) == 1250.0 and s["plan_year"] == 2025
     assert {r["violation_type"] for r in result.tables["secure20_issues"].collect()} == {"HCE catch-up not coded as Roth"}
     with zipfile.ZipFile(result.files["evidence_pack"]) as z:
-        assert {"run_summary.json", "deferral_mismatches.csv", "plan_exception_summary.csv", "README.txt"} <= set(z.namelist())
+        assert {"run_summary.json", "deferral_mismatches.csv", "results.csv", "violations.csv", "audit_summary.txt", "manifest.json", "README.txt"} <= set(z.namelist())
     manifest = result.files["manifest"]
     assert set(integrity.verify(manifest).values()) == {"ok"}
     with open(result.files["loan_mismatches"], "a") as f:
@@ -36,6 +40,53 @@ def test_run_writes_sealed_results(spark, sides, tmp_path):
     assert any(w.startswith("match") for w in result.warnings) and {e["category"] for e in evidence_index(result)} >= {"Timing", "Compliance"}
 
 
+def test_rows_are_written_in_parts(spark, sides, tmp_path):
+    given = {"payroll": str(tmp_path / "p.csv"), "recordkeeper": str(tmp_path / "r.csv"), "mapping": str(tmp_path / "none.yaml")}
+    result = Engine(spark, Config(plan_name="P")).run(*sides, output=str(tmp_path / "out"), inputs=given)
+    folder = result.files["loan_mismatches"]
+    parts = sinks.parts_of(folder)
+    assert parts and parts != [folder] and files.read_csv(spark, folder).count() == 1
+    assert sinks.parts_of(result.files["timing_summary"]) == [result.files["timing_summary"]]
+    manifest = json.load(open(result.files["manifest"]))
+    assert set(manifest["inputs"]) == {"payroll", "recordkeeper"}
+    assert manifest["evidence_pack_sha256"] == integrity.sha256_file(result.files["evidence_pack"], "sha256:")
+    with zipfile.ZipFile(result.files["evidence_pack"]) as z:
+        assert json.loads(z.read("manifest.json"))["evidence_pack_sha256"] is None
+        assert any(n.startswith("violations.csv/part-") for n in z.namelist())
+    with open(parts[0], "a") as f:
+        f.write("x")
+    assert [k.split("/")[0] for k, v in integrity.verify(result.files["manifest"]).items() if v == "changed"] == ["loan_mismatches"]
+    proof = json.load(open(result.files["proofs"]))["recon_deferrals"]
+    assert proof["row_count"] == 3 and len(proof["row_hash_sample"]) == 3 and proof["merkle_root"] == manifest["merkle_roots"]["recon_deferrals"]
+
+
+def test_workbook_and_excel(spark, tmp_path, monkeypatch):
+    """With stand-ins for the writer and the reader, which are not installed."""
+    few, none = spark.range(3).toDF("a"), spark.createDataFrame([], "a int")
+    monkeypatch.setitem(sys.modules, "openpyxl", None)
+    with pytest.warns(UserWarning, match="openpyxl"):
+        assert sinks.write_workbook({"few": few}, str(tmp_path / "w.xlsx")) is None
+    monkeypatch.setitem(sys.modules, "openpyxl", types.ModuleType("openpyxl"))
+    sheets = {}
+    monkeypatch.setattr(pd, "ExcelWriter", lambda path: contextlib.nullcontext(path))
+    monkeypatch.setattr(pd.DataFrame, "to_excel", lambda self, book, sheet_name, index: sheets.update({sheet_name: self.to_dict("list")}))
+    sinks.write_workbook({"few": few, "n" * 40: none}, str(tmp_path / "w.xlsx"))
+    assert sheets == {"few": {"a": [0, 1, 2]}, "n" * 31: {"message": ["No records"]}}
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 2)
+    with pytest.raises(ValueError, match="few"):
+        sinks.write_workbook({"few": few}, str(tmp_path / "w.xlsx"))
+    monkeypatch.setattr(pd, "read_excel", lambda path, dtype: pd.DataFrame({" id ": ["1", None], "b`c": ["x", "y"]}))
+    got = files.read_table(spark, str(tmp_path / "b.XLSX"))
+    assert got.columns == ["id", "b`c"] and [tuple(r) for r in got.collect()] == [("1", "x"), (None, "y")]
+
+
+def test_latest_manifest(tmp_path):
+    assert integrity.latest_manifest(str(tmp_path / "none")) is None and integrity.latest_manifest(str(tmp_path)) is None
+    for name in ("manifest_20250102.json", "manifest_20250101.json", "z.txt"):
+        (tmp_path / name).write_text("{}")
+    assert integrity.latest_manifest(str(tmp_path)) == str(tmp_path / "manifest_20250102.json")
+
+
 def test_gate_and_safe_run(spark, sides):
     mapping = {"payroll": {"id": {"canonical": "employee_id", "examples": ["nope"]}}}
     assert "no header" in safe_run(Engine(spark), *sides, mapping=mapping)["error"]
@@ -65,6 +116,6 @@ def test_catalogue_and_sinks(spark, tmp_path):
         files.record_run(spark, path, id=f"r{i}", status="completed", plan_name="P")
     assert files.get_run(files.runs(spark, path), "r1").count() == 1 and files.runs(spark, path).count() == 3
     empty = spark.createDataFrame([], "a int, b int")
-    assert open(sinks.write_csv(empty, str(tmp_path / "e.csv"))).read().strip() == "a,b"
+    assert open(sinks.write_csv(empty, str(tmp_path / "e.csv"), single=True)).read().strip() == "a,b"
     sinks.clean(str(tmp_path))
     assert not (tmp_path / "e.csv").exists()
