@@ -14,12 +14,15 @@ emits the pairs of a group.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and rows without a
 vec_id, link with nothing (component and kept follow from vec_id); equal vectors are links of each
-other; shorter vectors are padded with zeros; an empty table gives an empty result; other columns
+other; rows that share a vec_id are vectors of their own, each with its links and component; shorter vectors are padded with zeros; an empty table gives an empty result; other columns
 are not looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,6 +32,8 @@ from ledgerlane.llm.common import connected_components, materialize
 from ledgerlane.llm.vectors import matrix, sample, usable
 
 LEADING, BLOCK, LEAF = 6, 4096, 256
+#: Pairs of blocks are looked up by cells of this many leading dimensions, of this side at least.
+KEYED, SIDE = 3, 0.125
 
 
 def join_intervals(x: np.ndarray, p: np.ndarray, y: np.ndarray | None, q: np.ndarray | None, least: float, radius: float):
@@ -101,17 +106,21 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, least: float = 0.95) -
     """One row per row of rows(vec_id, embedding): vec_id, n_links, component_id, kept."""
     rows = rows.select("vec_id", "embedding")
     good = rows.filter(usable() & F.col("vec_id").isNotNull())
-    classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # A class has a number of its own: two classes may have the same smallest vec_id.
+    counted = good.groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(counted.withColumn("rep", F.monotonically_increasing_id()))
     n, width = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     found = _links(classes, n, width or 1, least)
     linked = materialize(found)
-    component = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    component = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
+    least_id = component.join(classes, "rep").groupBy("component").agg(F.min("first_id").alias("least_id"))
+    named = component.join(least_id, "component").select("rep", "least_id")
     totals = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     known = (
-        classes.join(totals, "rep", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
+        classes.join(totals, "rep", "left").join(named, "rep", "left")
         .select(
             F.col("embedding").alias("known_"),
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links_"), F.coalesce("component", "rep").alias("component_"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links_"), F.coalesce("least_id", "first_id").alias("component_"),
         )
     )
     out = rows.join(known, rows["embedding"] == known["known_"], "left")
@@ -125,7 +134,7 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, least: float = 0.95) -
 def _links(classes: DataFrame, n: int, width: int, least: float) -> DataFrame:
     """(rep, links, root) per vector and pair of blocks in which it has links."""
     radius = float(np.sqrt(2 - 2 * least)) + 1e-9
-    some = sample(classes, "rep", width)
+    some = sample(classes, "first_id", width)
     some = some / np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-300)
     mean = some.mean(axis=0) if len(some) else np.zeros(width)
     centred = some - mean
@@ -152,16 +161,26 @@ def _links(classes: DataFrame, n: int, width: int, least: float) -> DataFrame:
     boxes = of.groupBy("block").agg(*[f(f"{s}{k}").alias(f"{s}{k}") for k in range(LEADING) for s, f in (("lo", F.min), ("hi", F.max))])
     inside = parts.join(of.select("part", "block"), "part").drop("part")
 
-    # Pairs of blocks: equi-joined on the first dimension's cells that either reaches, then by box.
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / radius), F.floor(hi / radius)))
-    a = boxes.select(*[F.col(c).alias(f"a_{c}") for c in boxes.columns], cells(F.col("lo0"), F.col("hi0")).alias("cell"))
-    b = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns], cells(F.col("lo0") - radius, F.col("hi0") + radius).alias("cell"))
+    # Pairs of blocks: equi-joined on the cells of the leading dimensions that either reaches, then by
+    # box. Two blocks that share many cells meet in the first one only.
+    side, cells = max(radius, SIDE), [f"cell{k}" for k in range(KEYED)]
+
+    def reached(tag: str, margin: float) -> DataFrame:
+        out = boxes.select(*[F.col(c).alias(f"{tag}_{c}") for c in boxes.columns])
+        for k in range(KEYED):
+            out = out.withColumn(f"{tag}_first{k}", F.floor((F.col(f"{tag}_lo{k}") - margin) / side))
+            last = F.floor((F.col(f"{tag}_hi{k}") + margin) / side)
+            out = out.withColumn(f"cell{k}", F.explode(F.sequence(f"{tag}_first{k}", last)))
+        return out
+
+    a, b = reached("a", 0.0), reached("b", radius)
+    first = [F.col(c) == F.greatest(f"a_first{k}", f"b_first{k}") for k, c in enumerate(cells)]
     gap = sum(
         F.pow(F.greatest(F.col(f"a_lo{k}") - F.col(f"b_hi{k}"), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.lit(0.0)), F.lit(2))
         for k in range(LEADING)
     )
     pairs = materialize(
-        a.join(b, "cell").filter((F.col("a_block") <= F.col("b_block")) & (gap <= radius * radius)).select("a_block", "b_block").distinct()
+        a.join(b, cells).filter((F.col("a_block") <= F.col("b_block")) & reduce(and_, first) & (gap <= radius * radius)).select("a_block", "b_block")
     )
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -41,6 +41,29 @@ def test_links_match_brute_force(spark, monkeypatch, block):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 
 
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    """An id on two unlike vectors joins nothing by itself; repeated rows are copies."""
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = [1.0, 0.1, 0.0]
+    data = [(5, x), (5, y), (3, near), (9, y), (9, y), (7, z), (None, x)]
+    got = near_duplicates(spark, spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    want = [(5, 1, 3, False), (5, 2, 5, True), (3, 1, 3, True), (9, 2, 5, False), (9, 2, 5, False), (7, 0, 7, True)]
+    assert sorted(tuple(r) for r in got if r["vec_id"] is not None) == sorted(want)
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, None, None)]
+
+
+@pytest.mark.parametrize("side", [0.125, 2.0])
+def test_blocks_meet_in_one_cell(spark, monkeypatch, side):
+    """Small blocks over several cells: links are neither lost nor counted twice."""
+    monkeypatch.setattr(grid_order_join, "BLOCK", 16)
+    monkeypatch.setattr(grid_order_join, "SIDE", side)
+    data = rows(400, 3, seed=8)
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(spark, spark.createDataFrame(data, SCHEMA)).collect()}
+    m = np.array([r[1] for r in data], dtype=np.float64)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    assert [got[r[0]] for r in data] == ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
 def test_join_covers_every_near_pair_once():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 4))
