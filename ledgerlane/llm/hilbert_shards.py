@@ -1,15 +1,19 @@
 """Sharding along a Hilbert curve.
 
-Several metadata dimensions (source, language, logarithm of size, range of doc_id) are quantised to a
-few bits each; the cell's index on the Hilbert curve orders the rows, and equal runs of that order
-become shards, so that each shard covers a compact region of all dimensions at once.
+Several metadata dimensions (source, language, size, doc_id) are quantised to a few bits each; the
+cell's index on the Hilbert curve orders the rows, and equal runs of that order become shards, so that
+each shard covers a compact region of all dimensions at once.
 
-The order is never sorted in one place: cells are counted (2^16 at most), counts are summed along the
-curve, and rows are ranked within salted parts of their cell. Shards are cut by the law `rows`:
-counts differ by one at most.
+A dimension is cut where its rows are, at its quantiles over all rows, so that ids with gaps and long
+tails of sizes spread over all cells. Names are cut by the quantiles of their hashes: one that holds a
+cell's share of all rows shares its cell at most with rare ones. There are 16 cells a shard or more.
 
-Edge cases: a null text has size 1; null dimensions fall into a cell of their own hash or the first
-range; repeated rows get slots of their own; an empty table gives an empty result; with fewer rows
+The order is never sorted in one place: cells are counted (some hundreds a shard at most), counts are
+summed along the curve, and rows are ranked within salted parts of their cell. Shards are cut by the law
+`rows`: counts differ by one at most.
+
+Edge cases: a null text has size 1; null names have a hash of their own, a null doc_id counts as the
+smallest; repeated rows get slots of their own; an empty table gives an empty result; with fewer rows
 than shards some shards stay empty; other columns are not looked at.
 """
 
@@ -19,11 +23,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import LongType
 
 from ledgerlane.llm.common import grouped_rank, materialize, salts_for
 
-BITS = 4
+DIMENSIONS, LEAST_BITS = ("source_", "lang_", "size", "id_"), 4
+
+
+def bits_for(n_shards: int) -> int:
+    """Bits a dimension, for 16 cells a shard or more."""
+    return max(LEAST_BITS, -(-((n_shards - 1).bit_length() + 4) // len(DIMENSIONS)))
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -52,14 +61,16 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def curve(columns: list[Column], bits: int = BITS) -> Column:
-    """The Hilbert index of integer columns below 2^bits, none of them null."""
+def curve(cuts: list[list[int]], bits: int) -> Column:
+    """The Hilbert index of a row, each of DIMENSIONS quantised at its cuts (ascending, 2^bits - 1 of them)."""
+    edges = [np.array(c, dtype=np.int64) for c in cuts]
 
-    @F.pandas_udf(IntegerType())
+    @F.pandas_udf(LongType())
     def index(point: pd.DataFrame) -> pd.Series:
-        return pd.Series(hilbert_index(point.to_numpy(), bits).astype(np.int32))
+        cells = [np.searchsorted(e, point[d].to_numpy()) for e, d in zip(edges, DIMENSIONS, strict=True)]
+        return pd.Series(hilbert_index(np.stack(cells, axis=1), bits))
 
-    return index(F.struct(*[c.cast("int").alias(f"d{i}") for i, c in enumerate(columns)]))
+    return index(F.struct(*DIMENSIONS))
 
 
 def shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
@@ -67,19 +78,17 @@ def shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = materialize(
         docs.select(
-            "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("source").alias("source_"), F.xxhash64("lang").alias("lang_"),
+            "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.xxhash64("source").alias("source_"), F.xxhash64("lang").alias("lang_"),
+            F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id_"),
         )
     )
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    cells = 1 << BITS
-    width = (high - low) // cells + 1 if high is not None else 1
-    dimensions = [
-        F.pmod("source_", F.lit(cells)), F.pmod("lang_", F.lit(cells)),
-        F.least(F.floor(F.log2("size")), F.lit(cells - 1)),
-        F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(0)),
-    ]
-    placed = rows.select("doc_id", "size", "text_crc32", curve(dimensions).alias("cell_"))
+    bits = bits_for(n_shards)
+    cells = 1 << bits
+    at = F.lit([i / cells for i in range(1, cells)])
+    n, *cuts = rows.agg(F.count(F.lit(1)), *[F.percentile_approx(d, at, max(10_000, 16 * cells)) for d in DIMENSIONS]).first()
+    index = curve([c or [] for c in cuts], bits)
+    placed = materialize(rows.select("doc_id", "size", "text_crc32", index.alias("cell_")))
     ranked = grouped_rank(placed, [], ["cell_"], ["doc_id", "text_crc32", "size"], salts_for(n))
     shard = F.expr(f"cast((rank_ * {n_shards}L) div {max(n, 1)}L as int)")
     return ranked.withColumn("shard", shard).select(
