@@ -159,6 +159,7 @@ def test_preflight(spark):
 
 def test_streamed_timing(spark, tmp_path):
     import json
+    import os
 
     for name, batches in {
         "pay": [[("1", "2025-01-03"), ("2", "2025-01-03")], [("9", "2025-06-01")], [("9", "2025-06-02")]],
@@ -167,7 +168,9 @@ def test_streamed_timing(spark, tmp_path):
         (tmp_path / name).mkdir()
         for i, rows in enumerate(batches):
             key = "pay_date" if name == "pay" else "deposit_date"
-            (tmp_path / name / f"{i}.json").write_text("\n".join(json.dumps({"employee_id": e, key: d}) for e, d in rows))
+            file = tmp_path / name / f"{i}.json"
+            file.write_text("\n".join(json.dumps({"employee_id": e, key: d}) for e, d in rows))
+            os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # files are read in order of their times
     read = lambda n, k: spark.readStream.schema(f"employee_id string, {k} date").option("maxFilesPerTrigger", 1).json(str(tmp_path / n))
     out = deposit_timing(read("pay", "pay_date"), read("dep", "deposit_date"))
     out.writeStream.format("memory").queryName("timed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
