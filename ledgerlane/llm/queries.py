@@ -77,6 +77,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlane.llm.hard_negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return mine(spark, rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlane.llm.line_frequency import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlane.llm.centroid_clusters import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -111,6 +131,27 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(written) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id""",
+    "op13_centroid_clusters": """
+WITH q AS (
+  SELECT vec_id, row_number() OVER () AS v, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+x AS (SELECT v, unnest(range(64)) AS i, unnest(q) AS x FROM q),
+c0 AS (SELECT c, unnest(range(64)) AS i, unnest(q) AS x FROM (SELECT q, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, q) - 1 AS c FROM q) WHERE c < 16),
+a1 AS (SELECT v, arg_min(c, d * 64 + c) AS c FROM (SELECT x.v, k.c, sum((x.x - k.x) * (x.x - k.x)) AS d FROM x JOIN c0 k USING (i) GROUP BY ALL) GROUP BY v),
+m1 AS (SELECT c, i, sum(x.x) AS s, count(*) AS n FROM x JOIN a1 USING (v) GROUP BY c, i),
+c1 AS (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c0 LEFT JOIN m1 USING (c, i)),
+a2 AS (SELECT v, arg_min(c, d * 64 + c) AS c FROM (SELECT x.v, k.c, sum((x.x - k.x) * (x.x - k.x)) AS d FROM x JOIN c1 k USING (i) GROUP BY ALL) GROUP BY v),
+m2 AS (SELECT c, i, sum(x.x) AS s, count(*) AS n FROM x JOIN a2 USING (v) GROUP BY c, i),
+c2 AS (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c1 LEFT JOIN m2 USING (c, i)),
+a3 AS (SELECT v, arg_min(c, d * 64 + c) AS c FROM (SELECT x.v, k.c, sum((x.x - k.x) * (x.x - k.x)) AS d FROM x JOIN c2 k USING (i) GROUP BY ALL) GROUP BY v),
+m3 AS (SELECT c, i, sum(x.x) AS s, count(*) AS n FROM x JOIN a3 USING (v) GROUP BY c, i),
+c3 AS (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c2 LEFT JOIN m3 USING (c, i)),
+e AS (SELECT x.v, k.c, sum((x.x - k.x) * (x.x - k.x)) AS d FROM x JOIN c3 k USING (i) GROUP BY ALL),
+n AS (SELECT v, arg_min(c, d * 64 + c) AS c, min(d) AS d FROM e GROUP BY v),
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, CAST(n.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM q JOIN n USING (v) JOIN h ON h.c = n.c""",
 }
 
 
