@@ -31,8 +31,12 @@ def matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def sample(rows: DataFrame, key: str, width: int) -> np.ndarray:
-    """A bounded sample, the same on every run: the rows of the smallest hashes of key."""
+def sample(rows: DataFrame, key: str, width: int, of: int | None = None) -> np.ndarray:
+    """A bounded sample, the same on every run: the rows of the smallest hashes of key. If the number
+    of rows is given, those far from the smallest stay where they are, so that about twice the sample
+    is gathered, whatever the number of partitions."""
     n = max(256, min(SAMPLE_ROWS, SAMPLE_NUMBERS // max(width, 1)))
+    if of and of > 2 * n:
+        rows = rows.filter(F.xxhash64(key) < F.lit(int(-(2**63) + 2.0**64 * 2 * n / of)))
     got = rows.orderBy(F.xxhash64(key), key).limit(n).select("embedding").toArrow()
     return matrix(pd.Series(got["embedding"].to_pylist(), dtype=object), width)
