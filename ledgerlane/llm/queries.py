@@ -140,6 +140,30 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WH
 SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 QUALIFY rank <= 5""",
+    "op12_line_frequency": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+p AS (SELECT r, unnest(range(len(w) - 2)) AS i, unnest(list_zip(w[1:len(w) - 2], w[2:len(w) - 1], w[3:len(w)])) AS g FROM w WHERE len(w) > 2),
+g AS (SELECT r, i FROM p QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+t AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM g) GROUP BY r),
+l AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (
+  SELECT r, doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+u AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM m GROUP BY r),
+h AS (SELECT source, count(DISTINCT coalesce(doc_id, -r - 1)) AS docs FROM m GROUP BY source),
+f AS (SELECT m.source, plain FROM m JOIN h ON m.source IS NOT DISTINCT FROM h.source GROUP BY m.source, plain, docs
+  HAVING count(DISTINCT coalesce(doc_id, -r - 1)) > 10 AND 100 * count(DISTINCT coalesce(doc_id, -r - 1)) > 10 * docs),
+x AS (SELECT r, count(*) AS lines, count(f.plain) AS gone, sum(CASE WHEN f.plain IS NULL THEN 0 ELSE words END) AS words
+  FROM m LEFT JOIN f ON m.source IS NOT DISTINCT FROM f.source AND m.plain = f.plain GROUP BY r),
+c AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(t.n, 0) AS n_repeat_words,
+    coalesce(x.lines, 0) AS n_lines, coalesce(x.gone, 0) AS n_lines_removed, CAST(coalesce(x.words, 0) AS BIGINT) AS n_words_removed
+  FROM w LEFT JOIN t USING (r) LEFT JOIN u USING (r) LEFT JOIN x USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * (n_words - n_words_removed) < 50 * n_words AS depleted FROM c)
+SELECT *, NOT base_failed AND NOT depleted AS kept FROM b""",
     "op13_centroid_clusters": """
 WITH q AS (
   SELECT vec_id, row_number() OVER () AS v, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
