@@ -123,7 +123,8 @@ def moved(vectors: DataFrame, centroids: np.ndarray, order: np.ndarray) -> np.nd
                 for c in np.unique(number):
                     sums[c] += x[number == c].sum(axis=0)
         own = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": own, "n": [np.full(width, n[c]) for c in own], "sums": list(sums[own])})
+        if len(own):
+            yield pd.DataFrame({"cluster": own, "n": [np.full(width, n[c]) for c in own], "sums": list(sums[own])})
 
     added = vectors.select("q").mapInPandas(add, "cluster int, n array<long>, sums array<long>")
     out = centroids.copy()

@@ -164,8 +164,8 @@ def _visit(rows: DataFrame, anchors: DataFrame, shared, k: int, same: bool, firs
         known = shared.value
         numbers = np.flatnonzero(known.sizes)
         times = known.parts(numbers)
-        places = np.concatenate([known.shard(np.full(t, n), np.arange(t)) for n, t in zip(numbers, times, strict=True)])
         heads = np.cumsum(times) - times  # each list's first part
+        places = known.shard(np.repeat(numbers, times), np.arange(times.sum()) - np.repeat(heads, times))
         for batch in batches:
             for start in range(0, len(batch), TOGETHER):
                 some = batch.iloc[start : start + TOGETHER]

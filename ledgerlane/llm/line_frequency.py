@@ -2,7 +2,7 @@
 little else are rejected, after plain rules on words.
 
 A line is what stands between line feeds; only lines with a word count. It is normalised (A-Z in lower
-case, digits as 0, white space as one space between words) and hashed (XXH64). Distinct documents are
+case, white space as one space between words; digits stay, or rows of numbers would look alike) and hashed (XXH64). Distinct documents are
 counted by host and hash over all documents; a line goes where more than LEAST_DOCUMENTS and more than
 PERCENT of its host's documents have it. A document of which fewer than LEFT_PERCENT of the words are
 left is depleted.
@@ -34,7 +34,7 @@ SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 #: Rules on words; limits on lines; the share of its words that a document must keep.
 LEAST_WORDS, REPEATED_PERCENT, LEAST_DOCUMENTS, PERCENT, LEFT_PERCENT = 50, 50, 10, 10, 50
 
-_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _FACTS = ", ".join(f"{c} long" for c in _COUNTS) + ", line_keys array<long>, line_words array<int>"
 

@@ -149,7 +149,7 @@ t AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2])
 l AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
 m AS (
   SELECT r, doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
-    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain
+    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 u AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM m GROUP BY r),
 h AS (SELECT source, count(DISTINCT coalesce(doc_id, -r - 1)) AS docs FROM m GROUP BY source),
