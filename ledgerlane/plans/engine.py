@@ -73,7 +73,10 @@ class Engine:
         c, warnings = self.config, [] if warnings is None else warnings
         both = reconcile.joined(payroll, rk)
         detail = timing.detail(payroll, rk, c.late_calendar_days)
-        out = {"joined": both, "timing_detail": detail, "late_contributions": timing.exceptions(detail), "timing_summary": timing.summary(detail)}
+        out = {
+            "joined": both, "timing_detail": detail, "late_contributions": timing.exceptions(payroll, rk, c.late_calendar_days),
+            "timing_summary": timing.summary(payroll, rk, c.late_calendar_days),
+        }
         for s in reconcile.STREAMS:
             rows = reconcile.stream(both, s)
             name = s.removesuffix("s")

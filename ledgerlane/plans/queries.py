@@ -105,9 +105,9 @@ def _detail(v: Callable) -> DataFrame:
 
 
 add("timing_detail", _detail, _DETAIL + f"SELECT {_DETAIL_COLUMNS} FROM t")
-add("late_contributions", lambda v: timing.exceptions(_detail(v)), _DETAIL + f"SELECT {_DETAIL_COLUMNS} FROM t WHERE is_late OR missing_deposit")
-add("timing_summary", lambda v: timing.summary(_detail(v)), _DETAIL.rstrip() + _SUMMARY + f"SELECT *, {_RISK} FROM s")
-add("timing_risk", lambda v: timing.risk_with_drivers(_detail(v)), _DETAIL.rstrip() + """, s AS (SELECT count(*) AS total_rows, count(*) FILTER (is_late) AS late_rows,
+add("late_contributions", lambda v: timing.exceptions(v("payroll"), v("rk")), _DETAIL + f"SELECT {_DETAIL_COLUMNS} FROM t WHERE is_late OR missing_deposit")
+add("timing_summary", lambda v: timing.summary(v("payroll"), v("rk")), _DETAIL.rstrip() + _SUMMARY + f"SELECT *, {_RISK} FROM s")
+add("timing_risk", lambda v: timing.risk_with_drivers(v("payroll"), v("rk")), _DETAIL.rstrip() + """, s AS (SELECT count(*) AS total_rows, count(*) FILTER (is_late) AS late_rows,
 count(*) FILTER (missing_deposit) AS missing_deposits, max(days_to_deposit) AS max_days, round(avg(days_to_deposit), 6) AS avg_days FROM t), q AS (SELECT *,
 (late_rows + missing_deposits) / greatest(total_rows, 1) AS rate FROM s) SELECT total_rows, late_rows, missing_deposits, max_days, avg_days, round(rate, 6) AS exception_rate,
 CASE WHEN rate <= 0.05 THEN 'Low' WHEN rate <= 0.15 THEN 'Medium' ELSE 'High' END AS rate_risk, CASE WHEN max_days > 15 THEN 'High' WHEN max_days > 8 THEN 'Medium' ELSE 'Low' END AS lag_risk FROM q""")
@@ -304,9 +304,9 @@ add("inferred_plan_year", lambda v: metrics.inferred_plan_year(v("contrib")), vi
 _RUN = _JOINED.rstrip() + ", " + _cte(_DETAIL).removeprefix(_cte(view_sql("payroll", "rk"))).lstrip(", ").rstrip() + _SUMMARY.rstrip() + f", c AS (SELECT {_COUNTS} FROM g) "
 _RUN_RISK = "CASE WHEN missing_deposits > 0 THEN 'High' WHEN late_rows > 0 OR late_deferral_count > 0 OR deferral_mismatch_count > 0 OR loan_mismatch_count > 0 THEN 'Medium' ELSE 'Low' END"
 _BATCH_RISK = "CASE WHEN {d} > 100 OR {l} > 50 OR {t} > 50 THEN 'High' WHEN {d} > 10 OR {l} > 5 OR {t} > 10 THEN 'Medium' ELSE 'Low' END"
-add("run_risk_levels", lambda v: metrics.risk_levels(_joined(v), timing.summary(_detail(v))), _RUN + f"""SELECT {_RUN_RISK} AS run_risk, CASE WHEN late_deferral_count > 0 THEN 'High'
+add("run_risk_levels", lambda v: metrics.risk_levels(_joined(v), timing.summary(v("payroll"), v("rk"))), _RUN + f"""SELECT {_RUN_RISK} AS run_risk, CASE WHEN late_deferral_count > 0 THEN 'High'
 WHEN deferral_mismatch_count + loan_mismatch_count > 0 THEN 'Medium' ELSE 'Low' END AS narrative_risk, {_BATCH_RISK.format(d="deferral_mismatch_count", l="loan_mismatch_count", t="late_deferral_count")} AS batch_risk FROM c, s""")
-add("anomaly_narrative", lambda v: metrics.narrative(_joined(v), timing.summary(_detail(v)), metrics.sample_ids(reconcile.mismatches(reconcile.stream(_joined(v), "deferrals")))),
+add("anomaly_narrative", lambda v: metrics.narrative(_joined(v), timing.summary(v("payroll"), v("rk")), metrics.sample_ids(reconcile.mismatches(reconcile.stream(_joined(v), "deferrals")))),
     _RUN + f"""SELECT concat_ws(' – ', 'Flagged ' || deferral_mismatch_count || ' deferral mismatches and ' || loan_mismatch_count || ' loan mismatches', CASE WHEN late_deferral_count > 0 THEN
 late_deferral_count || ' payroll rows with late or missing deferrals' ELSE 'no late or missing deferral rows based on the current threshold' END, (SELECT 'Deferral variances tied to IDs (e.g., ' ||
 string_agg(employee_id, ', ' ORDER BY employee_id) || ')' FROM (SELECT DISTINCT employee_id FROM g WHERE mis_d ORDER BY employee_id LIMIT 3)), 'overall run classified as ' || upper({_RUN_RISK}) || ' risk') || '.' AS narrative FROM c, s""")

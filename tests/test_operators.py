@@ -1,5 +1,7 @@
 import hashlib
-from datetime import date
+import random
+import time
+from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
@@ -59,8 +61,45 @@ def test_timing(sides, spark):
     detail = timing.detail(*sides)
     got = {(r["employee_id"], r["pay_date"].day): (r["days_to_deposit"], r["is_late"], r["missing_deposit"]) for r in detail.collect()}
     assert got == {("1", 3): (3, False, False), ("1", 17): (0, False, False), ("2", 3): (17, True, False), ("3", 3): (None, False, True)}
-    assert tuple(timing.summary(detail).first()) == (4, 1, 1, "High")
-    assert tuple(timing.summary(detail.limit(0)).first()) == (0, 0, 0, "Low")
+    assert tuple(timing.summary(*sides).first()) == (4, 1, 1, "High")
+    assert tuple(timing.summary(*[s.limit(0) for s in sides]).first()) == (0, 0, 0, "Low")
+
+
+def counted_by_pairs(detail):
+    return tuple(detail.agg(
+        F.count(F.lit(1)), F.count_if("is_late"), F.count_if("missing_deposit"), F.count("days_to_deposit"), F.coalesce(F.sum("days_to_deposit"), F.lit(0)), F.max("days_to_deposit")
+    ).first())
+
+
+@pytest.mark.parametrize("late_days", [-1, 0, 5, 40])
+@pytest.mark.parametrize("seed", range(3))
+def test_timing_counts_match_the_pairs(spark, late_days, seed):
+    rng = random.Random(seed)
+    day = lambda: rng.choice([None, *[date(2025, 1, 1) + timedelta(days=rng.randrange(60)) for _ in range(9)]])
+    ids = [None, "1", " 1", "2", "3 ", "4", "5", "6", "7"]
+    payroll = side(spark, [(rng.choice(ids[:-2]), day(), 1, 0, 0) for _ in range(80)], "pay_date")
+    rk = side(spark, [(rng.choice(ids[3:]), day(), 1, 0, 0) for _ in range(60)], "deposit_date")
+    detail = timing.detail(payroll, rk, late_days)
+    assert tuple(timing.counts(payroll, rk, late_days).first()) == counted_by_pairs(detail)
+    key = lambda df: sorted((str(tuple(r)) for r in df.select(*detail.columns).collect()))
+    assert key(timing.exceptions(payroll, rk, late_days)) == key(detail.filter("is_late or missing_deposit"))
+
+
+def test_timing_counts_of_a_large_participant(spark):
+    """One participant with 10^5 rows a side: 10^10 pairs are counted, not made."""
+    many = lambda name, k: spark.range(100_000).select(
+        F.lit("1").alias("employee_id"), F.date_add(F.lit("2025-01-01").cast("date"), (F.col("id") * k % 100).cast("int")).alias(name),
+        *[F.lit(1).cast("decimal(18,2)").alias(c) for c in ("pretax", "roth", "loan")],
+    )
+    payroll, rk = many("pay_date", 7), many("deposit_date", 3)
+    began = time.time()
+    got = timing.counts(payroll, rk).first()
+    assert time.time() - began < 20
+    lags = [b - a for a in range(100) for b in range(100)]
+    assert (got["total_rows"], got["late_rows"], got["pairs"]) == (10**10, 10**6 * sum(x > 5 for x in lags), 10**10)
+    assert (got["total_days"], got["max_days"], got["missing_deposits"]) == (10**6 * sum(max(x, 0) for x in lags), 99, 0)
+    plan = timing.summary(payroll, rk)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("partial_sum") >= 1
 
 
 def test_metrics(sides):
@@ -69,7 +108,7 @@ def test_metrics(sides):
     assert tuple(r) == (1, 1, 1, 1, 1, 1)
     values = {(x["category"], x["metric"]): x["value"] for x in metrics.compliance_metrics(both).collect()}
     assert len(values) == 12 and values["Late Contributions", "Max business-day lag (late rows only)"] == 11
-    text = metrics.narrative(both, timing.summary(timing.detail(*sides)), metrics.sample_ids(reconcile.mismatches(reconcile.stream(both, "deferrals")))).first()[0]
+    text = metrics.narrative(both, timing.summary(*sides), metrics.sample_ids(reconcile.mismatches(reconcile.stream(both, "deferrals")))).first()[0]
     assert text == "Flagged 1 deferral mismatches and 1 loan mismatches – 1 payroll rows with late or missing deferrals – Deferral variances tied to IDs (e.g., 2) – overall run classified as HIGH risk."
 
 
