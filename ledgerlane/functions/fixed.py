@@ -56,6 +56,10 @@ LIMITS = {2023: (22500, 7500), 2024: (23000, 7500)}
 
 # Tokens of flags.
 TRUE_TOKENS = ("true", "1", "yes", "y")
+FALSE_TOKENS = ("false", "0", "no", "n")
+
+# Headers of census dates.
+CENSUS_DATES = {"dob": ("dob", "date_of_birth", "birth_date", "Date of Birth"), "hire_date": ("hire_date",), "termination_date": ("termination_date",)}
 
 # Headers that mean the deferral or Roth amount, after lower-casing and white space to underscores.
 DEFERRAL_HEADERS = ("def_amount", "employee_deferral", "deferral", "ee_deferral", "contribution_amount", "pretax", "employee_pre_tax", "ee_pretax_def")

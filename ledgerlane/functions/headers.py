@@ -25,6 +25,17 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(use)
 
 
+def left_aside(columns: list[str], names: dict[str, str]) -> list[tuple[str, str]]:
+    """(header, name) of the headers that renamed() leaves as they are."""
+    taken, out = {c for c in columns if c not in names}, []
+    for c in columns:
+        if c in names:
+            if names[c] in taken and names[c] != c:
+                out.append((c, names[c]))
+            taken.add(names[c])
+    return out
+
+
 def amount_headers(columns: list[str]) -> dict[str, str]:
     """Header variants of the deferral and Roth amounts."""
     return {

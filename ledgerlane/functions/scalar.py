@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlane.functions.fixed import TRUE_TOKENS
+from ledgerlane.functions.fixed import FALSE_TOKENS, TRUE_TOKENS
 
 MONEY = "decimal(18,2)"
 DATE_FORMATS = ("M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "yyyyMMdd", "M/d/yy")
@@ -34,6 +34,12 @@ def parse_flag(c: Column) -> Column:
     return F.coalesce(s.isin(*TRUE_TOKENS) | (s.try_cast("double") != 0), F.lit(False))
 
 
+def unknown_flag(c: Column) -> Column:
+    """Whether a flag is there but says neither yes nor no."""
+    s = F.lower(F.trim(c.cast("string")))
+    return F.coalesce((s != "") & ~s.isin(*TRUE_TOKENS, *FALSE_TOKENS) & s.try_cast("double").isNull(), F.lit(False))
+
+
 def business_days(start: Column, end: Column) -> Column:
     """Weekdays in [start, end), without a holiday calendar; negative when end is before start."""
 

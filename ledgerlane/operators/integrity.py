@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlane.sources import files, storage
 from ledgerlane.sources.scratch import materialize
-from ledgerlane.sources.sinks import parts_of
+from ledgerlane.sources.sinks import parts_of, write_json
 
 LEAVES_A_GROUP = 1024
+#: Files up to this length are read whole by a task.
+LARGEST_ROW = 1 << 30
 
 
 def row_hashes(rows: DataFrame) -> DataFrame:
@@ -72,62 +74,97 @@ def proof_of(rows: DataFrame, *order: str) -> dict:
     leaves = indexed(row_hashes(rows).select(*order, "row_hash"), *order)
     n = leaves.count()
     first = leaves.filter("index_ < 5").orderBy("index_").collect()
-    return {"row_count": n, "columns": sorted(rows.columns), "merkle_root": merkle_root(leaves, n).first()[0], "row_hash_sample": [r["row_hash"] for r in first]}
+    return {"row_count": n, "columns": sorted(rows.columns), "order": list(order), "merkle_root": merkle_root(leaves, n).first()[0], "row_hash_sample": [r["row_hash"] for r in first]}
 
 
 def sha256_file(path: str, prefix: str = "") -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while chunk := f.read(1 << 16):
-            digest.update(chunk)
-    return prefix + digest.hexdigest()
+    return prefix + storage.sha256(path)
 
 
 def sha256_bytes(data: bytes | str, prefix: str = "") -> str:
     return prefix + hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
 
 
-def write_manifest(path: str, inputs: dict[str, str], outputs: dict[str, str], config: dict | None = None, roots: dict | None = None) -> dict:
-    """Time, hashes of inputs and outputs (of a folder, of each part file), configuration and Merkle
-    roots, as JSON. The hash of the sealed ZIP is added later by add_seal()."""
-
-    def hashed(files: dict[str, str]) -> dict:
-        out = {}
-        for key, whole in files.items():
-            for part in parts_of(whole):
-                out[key if part == whole else f"{key}/{os.path.basename(part)}"] = {"path": part, "sha256": sha256_file(part, "sha256:")}
-        return out
-
+def file_hashes(paths: list[str], lenient: bool = False) -> DataFrame:
+    """path (qualified), length and sha256 of files, which tasks read; files longer than a row can hold,
+    and empty ones, which the scan leaves out, are hashed one by one. If lenient, files that the store
+    itself finds damaged are left out instead of being an error."""
+    spark = SparkSession.active()
+    shape = "path string, length long, sha256 string"
+    apart = {p for p in paths if not 0 < storage.size(p) <= LARGEST_ROW}
+    streamed = spark.createDataFrame([(storage.qualified(p), storage.size(p), sha256_file(p, "sha256:")) for p in sorted(apart)], shape)
+    small = [p for p in paths if p not in apart]
+    if not small:
+        return streamed
+    there = spark.read.format("binaryFile").option("ignoreCorruptFiles", lenient).load(small)
+    return there.select("path", "length", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256")).union(streamed)
+
+
+def write_manifest(
+    path: str, inputs: dict[str, str], outputs: dict[str, str], config: dict | None = None, roots: dict | None = None, written: list[str] | None = None
+) -> dict:
+    """Time, hashes of inputs and outputs (of a table, of each part file), configuration and Merkle
+    roots, as JSON; written names all that the run has put into its folder. A file that is not there is
+    an error. The hash of the sealed ZIP is added later by add_seal()."""
+    entries = {}
+    for kind, whole in (("inputs", inputs), ("outputs", outputs)):
+        for key, source in whole.items():
+            for part in parts_of(source):
+                entries[kind, key if part == source else f"{key}/{storage.name_of(part)}"] = storage.qualified(part)
+    known = {r["path"]: r["sha256"] for r in file_hashes(sorted(set(entries.values()))).collect()} if entries else {}
+    hashed = {kind: {key: {"path": p, "sha256": known[p]} for (k, key), p in entries.items() if k == kind} for kind in ("inputs", "outputs")}
     manifest = {
-        "created_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H-%M-%SZ"), "config": config or {}, "inputs": hashed(inputs),
-        "outputs": hashed(outputs), "merkle_roots": roots or {}, "evidence_pack_sha256": None,
+        "created_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H-%M-%SZ"), "config": config or {}, **hashed, "merkle_roots": roots or {},
+        "evidence_pack_sha256": None, "written": [storage.qualified(p) for p in written or []],
     }
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(manifest, f, indent=2, sort_keys=True)
+    write_json(manifest, path)
     return manifest
 
 
 def add_seal(path: str, sealed: str) -> None:
     """Adds the ZIP's hash to the manifest that lies beside it; the copy inside holds null."""
-    with open(path, encoding="utf-8") as f:
-        manifest = json.load(f) | {"evidence_pack_sha256": sha256_file(sealed, "sha256:")}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(manifest, f, indent=2, sort_keys=True)
+    manifest = json.loads(storage.read(path))
+    write_json(manifest | {"evidence_pack_sha256": sha256_file(sealed, "sha256:"), "written": [*manifest["written"], storage.qualified(sealed)]}, path)
 
 
 def latest_manifest(folder: str) -> str | None:
     """The last manifest by name."""
-    names = sorted(x for x in os.listdir(folder) if x.endswith(".json")) if os.path.isdir(folder) else []
-    return os.path.join(folder, names[-1]) if names else None
+    names = [p for p in storage.files(folder) if p.endswith(".json")]
+    return names[-1] if names else None
+
+
+def verified(manifest_path: str, folder: str | None = None) -> DataFrame:
+    """kind, name, path and status of every file of a manifest and of every other file in the folder
+    (given, or that of the manifest, without manifests): ok, changed, missing or unlisted. One job hashes
+    the files and meets the manifest in a full outer join."""
+    spark = SparkSession.active()
+    manifest = json.loads(storage.read(manifest_path))
+    named = [(kind, name, e["path"], e["sha256"]) for kind in ("inputs", "outputs") for name, e in manifest[kind].items()]
+    sealed = [p for p in manifest["written"] if p.endswith(".zip")]
+    named += [("outputs", storage.name_of(p), p, manifest["evidence_pack_sha256"]) for p in sealed]
+    folder = folder or manifest_path.rsplit("/", 1)[0]
+    found = {p for p in storage.all_files(folder) if not storage.name_of(p).startswith("manifest")} | {p for _, _, p, _ in named if storage.exists(p)}
+    listed = spark.createDataFrame(named, "kind string, name string, path string, expected string")
+    there = spark.createDataFrame([(p, True) for p in sorted(found)], "path string, there boolean")
+    if found:
+        there = there.join(file_hashes(sorted(found), lenient=True).drop("length"), "path", "left")
+    else:
+        there = there.withColumn("sha256", F.lit(None).cast("string"))
+    status = F.when(F.col("expected").isNull(), "unlisted").when(F.col("there").isNull(), "missing").when(F.col("sha256") == F.col("expected"), "ok").otherwise("changed")
+    return listed.join(there, "path", "full_outer").select("kind", "name", "path", status.alias("status"))
 
 
 def verify(manifest_path: str) -> dict[str, str]:
-    """For every file of a manifest: ok, changed or missing."""
-    with open(manifest_path, encoding="utf-8") as f:
-        manifest = json.load(f)
+    """By name (of an unlisted file, by path): ok, changed, missing or unlisted."""
+    return {r["name"] or r["path"]: r["status"] for r in verified(manifest_path).collect()}
+
+
+def verify_proofs(proofs_path: str, tables: dict[str, str]) -> dict[str, str]:
+    """Whether written tables, by name, still have the row count and Merkle root of their proof: the rows
+    are read back and hashed anew."""
     out = {}
-    for kind in ("inputs", "outputs"):
-        for name, entry in manifest[kind].items():
-            there = os.path.exists(entry["path"])
-            out[name] = "missing" if not there else "ok" if sha256_file(entry["path"], "sha256:") == entry["sha256"] else "changed"
+    for name, proof in json.loads(storage.read(proofs_path)).items():
+        rows = files.read_csv(SparkSession.active(), tables[name]).select(*[F.col(f"`{c}`") for c in proof["columns"]])
+        now = proof_of(rows, *proof["order"])
+        out[name] = "ok" if (now["row_count"], now["merkle_root"]) == (proof["row_count"], proof["merkle_root"]) else "changed"
     return out

@@ -22,9 +22,10 @@ def _fix(issue: Column) -> Column:
 
 def secure20(rows: DataFrame) -> DataFrame:
     """Two disjoint catch-up rules over rows with employee_id, is_hce, pretax, roth, catchup_pretax,
-    catchup_roth, and age or dob with pay_date."""
-    age = F.col("age") if "age" in rows.columns else age_on(F.col("dob"), F.col("pay_date"))
-    rows = rows.withColumn("age", F.coalesce(age, F.lit(-1)).cast("int")).withColumn("catchup_amount", F.col("catchup_pretax") + F.col("catchup_roth"))
+    catchup_roth, and age, dob with pay_date, or both: a row without an age gets that of its dob."""
+    ages = [F.col("age").try_cast("int")] if "age" in rows.columns else []
+    ages += [age_on(F.col("dob"), F.col("pay_date"))] if "dob" in rows.columns else []
+    rows = rows.withColumn("age", F.coalesce(*ages, F.lit(-1)).cast("int")).withColumn("catchup_amount", F.col("catchup_pretax") + F.col("catchup_roth"))
     kind = F.when(
         F.col("is_hce") & (F.col("age") >= 50) & (F.col("catchup_pretax") > 0) & (F.col("catchup_roth") == 0), HCE_ROTH
     ).when((F.col("age") >= 50) & (F.col("catchup_amount") == 0), MISCODED)

@@ -1,19 +1,13 @@
-"""Writing results: one CSV per table, JSON, workbook where a writer is there, and the sealed ZIP."""
+"""Writing results on any file system of Spark: tables as CSV, JSON, the sealed ZIP."""
 
 from __future__ import annotations
 
-import glob
 import json
-import os
-import shutil
-import warnings
-import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a sheet of a workbook holds, below its header.
-SHEET_ROWS = 1_048_575
+from ledgerlane.sources import archive, storage
 
 
 def with_run(rows: DataFrame, run_id: str, plan_name: str | None, plan_year: int | None) -> DataFrame:
@@ -23,70 +17,66 @@ def with_run(rows: DataFrame, run_id: str, plan_name: str | None, plan_year: int
     })
 
 
-def clean(folder: str) -> None:
-    """Removes earlier results from an output folder."""
-    for pattern in ("*.csv", "*.xlsx"):
-        for path in glob.glob(os.path.join(folder, pattern)):
-            shutil.rmtree(path) if os.path.isdir(path) else os.remove(path)
+def refuse_inputs(folder: str, inputs: list[str]) -> None:
+    """An output folder must not hold an input."""
+    held = [p for p in inputs if storage.inside(p, folder)]
+    if held:
+        raise ValueError(f"the output folder {folder} holds inputs, choose another: {held}")
+
+
+def clean(folder: str) -> list[str]:
+    """Removes from an output folder what earlier runs have written there, and nothing else: the files
+    and tables that their manifests name. Returns what went."""
+    gone = []
+    for path in storage.files(folder):
+        if storage.name_of(path).startswith("manifest") and path.endswith(".json"):
+            for written in json.loads(storage.read(path)).get("written", []):
+                if storage.inside(written, folder) and written != path and storage.exists(written):
+                    storage.delete(written)
+                    gone.append(written)
+    return gone
 
 
 def write_csv(rows: DataFrame, path: str, single: bool = False) -> str:
-    """A folder of part files, each with a header, written in parallel on any file system of Spark; or
-    (single, for tables of few rows and a local path) one CSV file."""
+    """A folder of part files, each with a header, written in parallel; or (single, for tables of few
+    rows) one CSV file. Quotes are doubled and white space stays, so that what is read back is equal."""
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     if not single:
-        rows.write.mode("overwrite").csv(path, header=True)
+        rows.write.mode("overwrite").csv(path, **options)
         return path
-    parts = path + ".parts"
-    rows.coalesce(1).write.mode("overwrite").csv(parts, header=True)
-    found = sorted(glob.glob(os.path.join(parts, "part-*.csv")))
+    folder = path + ".parts"
+    rows.coalesce(1).write.mode("overwrite").csv(folder, **options)
+    found = [p for p in storage.files(folder) if storage.name_of(p).startswith("part-")]
     if found:
-        shutil.move(found[0], path)
+        storage.move(found[0], path)
     else:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(",".join(rows.columns) + "\n")
-    shutil.rmtree(parts)
+        storage.write(path, [(",".join(rows.columns) + "\n").encode()])
+    storage.delete(folder)
     return path
 
 
 def write_json(value: dict, path: str) -> str:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, default=str, sort_keys=True)
-    return path
-
-
-def write_workbook(tables: dict[str, DataFrame], path: str) -> str | None:
-    """A sheet per table (names cut to 31 characters, a placeholder row when empty). It is written on the
-    driver, so a table must fit a sheet: one of more than SHEET_ROWS rows is an error, before anything
-    is written. None, with a warning, where no workbook writer is installed."""
-    try:
-        import openpyxl  # noqa: F401
-        import pandas as pd
-    except ImportError:
-        warnings.warn("no workbook: openpyxl is not installed", stacklevel=2)
-        return None
-    large = [name for name, rows in tables.items() if rows.limit(SHEET_ROWS + 1).count() > SHEET_ROWS]
-    if large:
-        raise ValueError(f"too many rows for a sheet, write them as CSV: {large}")
-    with pd.ExcelWriter(path) as book:
-        for name, rows in tables.items():
-            frame = rows.toPandas()
-            (frame if len(frame) else pd.DataFrame({"message": ["No records"]})).to_excel(book, sheet_name=name[:31], index=False)
-    return path
+    return storage.write(path, [(json.dumps(value, indent=2, default=str, sort_keys=True) + "\n").encode()])
 
 
 def parts_of(path: str) -> list[str]:
-    """The file, or the part files of a folder that Spark wrote; none where there is neither."""
-    return [path] if os.path.isfile(path) else sorted(glob.glob(os.path.join(path, "part-*")))
+    """The file, or the part files of a table that Spark wrote; neither is an error."""
+    if storage.is_file(path):
+        return [path]
+    found = [p for p in storage.files(path) if storage.name_of(p).startswith("part-")]
+    if not found:
+        raise FileNotFoundError(f"neither a file nor a written table: {path}")
+    return found
 
 
 def seal(files: dict[str, str], path: str, notes: dict[str, str] | None = None, names: dict[str, str] | None = None) -> str:
-    """A ZIP of the files that exist, by key, and of notes as text files; written last. A folder's part
-    files keep its name; names holds, by key, other names than the files have."""
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for key, source in files.items():
-            for part in parts_of(source) if source else []:
-                inside = (names or {}).get(key, os.path.basename(source))
-                z.write(part, inside if part == source else f"{inside}/{os.path.basename(part)}")
-        for name, text in (notes or {}).items():
-            z.writestr(name, text)
-    return path
+    """A ZIP of files and tables by key, and of notes as text files; written last. A table's part files
+    keep its name; names holds, by key, other names than the files have. Members are deflated by tasks."""
+    members = {}
+    for key, source in files.items():
+        inside = (names or {}).get(key, storage.name_of(source))
+        for part in parts_of(source):
+            members[inside if part == source else f"{inside}/{storage.name_of(part)}"] = part
+    spark = SparkSession.active()
+    pieces = archive.pieces_of(spark, members) if members else spark.createDataFrame([], archive.PIECES)
+    return archive.assemble(pieces, path, notes)
