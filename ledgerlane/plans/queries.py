@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlane.functions import fixed
 from ledgerlane.functions.scalar import age_on, age_rounded, business_days, calendar_days, dollars, first_of_month, numeric, parse_amount, parse_date, parse_flag, years_after
 from ledgerlane.operators import integrity, issues, metrics, preflight, reconcile, rules, timing
-from ledgerlane.sources import files, sinks
+from ledgerlane.sources import catalogue, files, sinks
 from ledgerlane.sources.adapter import view, view_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,8 @@ def _detail(v: Callable) -> DataFrame:
 add("timing_detail", _detail, _DETAIL + f"SELECT {_DETAIL_COLUMNS} FROM t")
 add("late_contributions", lambda v: timing.exceptions(v("payroll"), v("rk")), _DETAIL + f"SELECT {_DETAIL_COLUMNS} FROM t WHERE is_late OR missing_deposit")
 add("timing_summary", lambda v: timing.summary(v("payroll"), v("rk")), _DETAIL.rstrip() + _SUMMARY + f"SELECT *, {_RISK} FROM s")
+add("timing_counts", lambda v: timing.counts(v("payroll"), v("rk")), _DETAIL.rstrip() + """ SELECT count(*) AS total_rows, count(*) FILTER (is_late) AS late_rows, count(*) FILTER (missing_deposit) AS missing_deposits,
+count(days_to_deposit) AS pairs, CAST(coalesce(sum(days_to_deposit), 0) AS BIGINT) AS total_days, max(days_to_deposit) AS max_days FROM t""")
 add("timing_risk", lambda v: timing.risk_with_drivers(v("payroll"), v("rk")), _DETAIL.rstrip() + """, s AS (SELECT count(*) AS total_rows, count(*) FILTER (is_late) AS late_rows,
 count(*) FILTER (missing_deposit) AS missing_deposits, max(days_to_deposit) AS max_days, round(avg(days_to_deposit), 6) AS avg_days FROM t), q AS (SELECT *,
 (late_rows + missing_deposits) / greatest(total_rows, 1) AS rate FROM s) SELECT total_rows, late_rows, missing_deposits, max_days, avg_days, round(rate, 6) AS exception_rate,
@@ -133,6 +135,8 @@ def _s20(v: Callable) -> DataFrame:
 
 
 add("secure20_violations", _s20, _S20 + "SELECT * FROM s20")
+add("secure20_ages_from_dob", lambda v: rules.secure20(_aged(v).withColumn("age", F.when(F.col("employee_id").cast("bigint") % 3 != 0, F.col("age") + 1))),
+    _S20.replace(_AGE.format(d="pay_date") + " AS age", "CASE WHEN CAST(c.employee_id AS BIGINT) % 3 <> 0 THEN 1 ELSE 0 END + " + _AGE.format(d="pay_date") + " AS age") + "SELECT * FROM s20")
 add("secure20_summary", lambda v: rules.secure20_summary(_s20(v)), _S20 + f"""SELECT count(*) AS total_violations, count(*) FILTER (violation_type = {quoted(rules.HCE_ROTH)}) AS hce_violation_count,
 count(*) FILTER (violation_type = {quoted(rules.MISCODED)}) AS potential_catchup_miscode_count FROM s20""")
 add("secure20_by_type", lambda v: _s20(v).groupBy("violation_type").agg(F.count(F.lit(1)).alias("violations")), _S20 + "SELECT violation_type, count(*) AS violations FROM s20 GROUP BY violation_type")
@@ -328,6 +332,9 @@ SELECT *, {_BATCH_RISK.format(d="deferral_mismatches", l="loan_mismatches", t="l
 _RUNS = view_sql("runs")
 add("recent_runs", lambda v: metrics.recent_runs(v("runs")), _RUNS + " SELECT * FROM v_runs ORDER BY created_at DESC, id DESC LIMIT 50")
 add("runs_lookup", lambda v: files.get_run(v("runs"), "run-100"), _RUNS + " SELECT * FROM v_runs WHERE id = 'run-100'")
+_NEWEST = ("updated_at", "status", "plan_name", "user_id", "payroll_filename", "rk_filename", "summary_json", "manifest_json", "evidence_pack_path", "error_message")
+add("catalogue_runs", lambda v: catalogue.merged(v("run_records")), view_sql("run_records") + " SELECT id, min(created_at) AS created_at, "
+    + ", ".join(f"arg_max({c}, (updated_at, recorded_at)) FILTER ({c} IS NOT NULL) AS {c}" for c in _NEWEST) + " FROM v_run_records GROUP BY id")
 add("run_history", lambda v: metrics.run_history(v("runs")), _RUNS + """, h AS (SELECT *, deferral_mismatch_count + loan_mismatch_count + late_deferral_count AS total_issues FROM v_runs) SELECT *,
 CASE WHEN total_issues = 0 THEN 'Low' WHEN total_issues <= 20 THEN 'Medium' ELSE 'High' END AS risk FROM h""")
 

@@ -65,6 +65,13 @@ VIEWS = {
         "concat('payroll-', cast(o_custkey % 40 as string), '.csv') as payroll_filename",
         "concat('rk-', cast(o_custkey % 40 as string), '.csv') as rk_filename",
     ]),
+    "run_records": ("orders", "true", [
+        "concat('run-', cast(o_custkey as string)) as id", "cast(o_orderdate as timestamp) as created_at", "cast(o_orderdate as timestamp) as updated_at", "o_orderkey as recorded_at",
+        "case when o_orderkey % 4 > 0 then o_orderstatus end as status", "concat('Plan ', cast(o_custkey % 40 as string)) as plan_name",
+        "case when o_orderkey % 3 = 0 then concat('user-', cast(o_orderkey as string)) end as user_id", "'payroll.csv' as payroll_filename", "cast(null as string) as rk_filename",
+        "case when o_orderkey % 2 = 0 then o_orderpriority end as summary_json", "case when o_orderkey % 5 = 0 then o_orderpriority end as manifest_json",
+        "case when o_orderkey % 7 = 0 then concat('packs/', cast(o_orderkey as string), '.zip') end as evidence_pack_path", "case when o_orderkey % 11 = 0 then o_orderpriority end as error_message",
+    ]),
     "batches": ("nation", "true", [
         "cast(n_nationkey + 1 as bigint) as run_no", "concat('batch-', cast(n_nationkey as string)) as batch_id", "concat('Plan #', cast(n_nationkey + 1 as string)) as plan_name",
         "concat('payroll-', cast(n_nationkey as string), '.csv') as payroll_file", "concat('rk-', cast(n_nationkey as string), '.csv') as rk_file",

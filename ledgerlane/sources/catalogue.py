@@ -57,7 +57,8 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def _merged(stored: DataFrame) -> DataFrame:
+def merged(stored: DataFrame) -> DataFrame:
+    """One row per id of FIELDS and recorded_at: each column's newest value that is not null."""
     at = F.struct("updated_at", "recorded_at")
     newest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("value"))))["value"].alias(c)
     rest = [c for c in FIELDS if c not in ("id", "created_at")]
@@ -66,13 +67,13 @@ def _merged(stored: DataFrame) -> DataFrame:
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
     """One row per run."""
-    return _merged(_stored(spark, path))
+    return merged(_stored(spark, path))
 
 
 def find_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     """The run of an id, from its bucket only."""
     bucket = zlib.crc32(run_id.encode()) % BUCKETS
-    return _merged(_stored(spark, path).filter((F.col("bucket") == bucket) & (F.col("id") == run_id)))
+    return merged(_stored(spark, path).filter((F.col("bucket") == bucket) & (F.col("id") == run_id)))
 
 
 def compact(spark: SparkSession, path: str) -> None:

@@ -159,6 +159,12 @@ def test_files(spark, tmp_path):
     assert files.strict(payroll, {"id": "employee_id"}).columns == ["id"]
 
 
+def test_dates_of_birth_under_other_headers(spark):
+    df = spark.createDataFrame([("1", "2025-01-03", "5", "1960-05-01")], "employee_id string, pay_date string, `EE Deferral $` string, `Date of Birth` string")
+    rows, *_ = files.prepared(df, "payroll")
+    assert str(rows.first()["dob"]) == "1960-05-01"
+
+
 def test_sinks(spark, tmp_path):
     empty = spark.createDataFrame([], "a int, b int")
     assert open(sinks.write_csv(empty, str(tmp_path / "e.csv"), single=True)).read().strip() == "a,b"

@@ -126,6 +126,9 @@ def test_catch_up_rules(spark):
     assert set(by(rules.secure20_demo(rows))) == {"a"} | {"b"}
     born = rows.drop("age").withColumn("dob", F.lit("1970-01-01").cast("date"))
     assert by(rules.secure20(born))["a"]["age"] == 54
+    # A row without an age gets that of its date of birth; one with an age keeps it.
+    both = people(spark, [("f", None, True, day, 10, 0, 5, 0), ("g", 20, True, day, 10, 0, 5, 0)]).withColumn("dob", F.lit("1960-01-01").cast("date"))
+    assert {k: r["age"] for k, r in by(rules.secure20(both)).items()} == {"f": 64}
     assert rules.secure20(rows.limit(0)).columns == rules.secure20(rows).columns
 
 
