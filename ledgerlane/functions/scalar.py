@@ -51,6 +51,13 @@ def business_days(start: Column, end: Column) -> Column:
     return F.when(end >= start, weekdays_before(end) - weekdays_before(start)).when(end < start, back).cast("int")
 
 
+def business_days_after(start: Column, days: Column) -> Column:
+    """The date so many weekdays (0 or more) after start; a weekend counts as the Friday before it."""
+    weekday = F.weekday(start)  # Monday is 0
+    at = F.least(weekday, F.lit(4)) + days
+    return F.date_add(F.date_sub(start, weekday), (F.floor(at / 5) * 7 + at % 5).cast("int"))
+
+
 def calendar_days(start: Column, end: Column) -> Column:
     """Days from start to end, 0 at least, null if either is null."""
     days = F.datediff(end, start)
