@@ -158,3 +158,23 @@ WHOLE_HEADERS = {
 ID_TOKENS = ("employeeid", "empid", "employeenumber", "empnumber", "emplid", "participantid")
 ID_COLUMNS = ("employee_id", "empnumber", "part_id", "emp_id", "participant_id")
 AMOUNT_TOKENS = ("deferral", "pretax", "pre-tax", "roth", "loan", "amount", "contribution", "match")
+
+# Parts of headers by canonical name, after lower-casing and without white space, $, %, #, - and /.
+PAY_DATE_TOKENS = ("paydate", "checkdate", "payperiodend")
+LOAN_TOKENS = ("repaid", "repayment", "payment", "pmt", "amount")
+
+# Compliance metrics: category, metric, notes.
+METRICS = (
+    ("Late Contributions", "Late deferral rows", "Count of rows flagged as late for deferrals"),
+    ("Late Contributions", "Late loan rows", "Count of rows flagged as late for loans"),
+    ("Late Contributions", "Unique employees with any late event", "Across deferrals and loans"),
+    ("Late Contributions", "Max business-day lag (late rows only)", ""),
+    ("Late Contributions", "Average business-day lag (late rows only)", ""),
+    ("Mismatches", "Deferral mismatch rows", "Rows where payroll vs RK deferral amounts differ"),
+    ("Mismatches", "Loan mismatch rows", "Rows where payroll vs RK loan amounts differ"),
+    ("Mismatches", "Unique employees with any mismatch", ""),
+    ("Coverage", "Only-in-payroll deferral rows", "Payroll has row; RK is missing it (deferrals)"),
+    ("Coverage", "Only-in-recordkeeper deferral rows", "RK has row; payroll is missing it (deferrals)"),
+    ("Coverage", "Only-in-payroll loan rows", "Payroll has row; RK is missing it (loans)"),
+    ("Coverage", "Only-in-recordkeeper loan rows", "RK has row; payroll is missing it (loans)"),
+)

@@ -48,10 +48,10 @@ def amount_headers(columns: list[str]) -> dict[str, str]:
 _ALIASES = (
     *[(name, whole, None) for name, whole in fixed.WHOLE_HEADERS.items()],
     ("employee_id", (), lambda k: _any(k, *fixed.ID_TOKENS)),
-    ("pay_date", (), lambda k: _any(k, "paydate", "checkdate", "payperiodend")),
+    ("pay_date", (), lambda k: _any(k, *fixed.PAY_DATE_TOKENS)),
     ("def_amount", (), lambda k: "deferral" in k and _any(k, "ee", "employee", "pretax") or k.startswith("deferralamount") or "pretax" in k and "def" in k),
     ("roth_amount", (), lambda k: "roth" in k and _any(k, "ee", "employee", "def")),
-    ("loan_amount", (), lambda k: "loan" in k and _any(k, "repaid", "repayment", "payment", "pmt", "amount")),
+    ("loan_amount", (), lambda k: "loan" in k and _any(k, *fixed.LOAN_TOKENS)),
     ("deposit_date", (), lambda k: "deposit" in k and "date" in k),
     ("amount", (), lambda k: "total" in k and "deposit" in k and "amount" in k),
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlane.functions.fixed import METRICS
 from ledgerlane.functions.scalar import business_days
 from ledgerlane.operators.reconcile import BOTH, LEFT, RIGHT
 
@@ -61,21 +62,8 @@ def compliance_metrics(both: DataFrame, late_days: int = 5) -> DataFrame:
         F.count_if(F.col("merge_status") == LEFT).alias("left"), F.count_if(F.col("merge_status") == RIGHT).alias("right"),
     )
     v = lambda c: F.col(c).cast("double")
-    a, m, c = "Late Contributions", "Mismatches", "Coverage"
-    return _long(one, ["category", "metric", "notes"], [
-        (a, "Late deferral rows", "Count of rows flagged as late for deferrals", v("late")),
-        (a, "Late loan rows", "Count of rows flagged as late for loans", v("late")),
-        (a, "Unique employees with any late event", "Across deferrals and loans", v("late")),
-        (a, "Max business-day lag (late rows only)", "", v("max_lag")),
-        (a, "Average business-day lag (late rows only)", "", F.bround("avg_lag", 2)),
-        (m, "Deferral mismatch rows", "Rows where payroll vs RK deferral amounts differ", v("mis_d")),
-        (m, "Loan mismatch rows", "Rows where payroll vs RK loan amounts differ", v("mis_l")),
-        (m, "Unique employees with any mismatch", "", v("mis_people")),
-        (c, "Only-in-payroll deferral rows", "Payroll has row; RK is missing it (deferrals)", v("left")),
-        (c, "Only-in-recordkeeper deferral rows", "RK has row; payroll is missing it (deferrals)", v("right")),
-        (c, "Only-in-payroll loan rows", "Payroll has row; RK is missing it (loans)", v("left")),
-        (c, "Only-in-recordkeeper loan rows", "RK has row; payroll is missing it (loans)", v("right")),
-    ])
+    values = [v("late"), v("late"), v("late"), v("max_lag"), F.bround("avg_lag", 2), v("mis_d"), v("mis_l"), v("mis_people"), v("left"), v("right"), v("left"), v("right")]
+    return _long(one, ["category", "metric", "notes"], [(*told, value) for told, value in zip(METRICS, values, strict=True)])
 
 
 def inferred_plan_year(payroll: DataFrame) -> DataFrame:
@@ -165,11 +153,10 @@ def narrative(both: DataFrame, timing: DataFrame, ids: DataFrame) -> DataFrame:
     d, ln, late = F.col("deferral_mismatch_count"), F.col("loan_mismatch_count"), F.col("late_deferral_count")
     risk = run_risk(F.col("missing_deposits"), F.greatest(F.col("late_rows"), late), d, ln)
     text = F.concat_ws(
-        " – ",
-        F.format_string("Flagged %d deferral mismatches and %d loan mismatches", d, ln),
-        F.when(late > 0, F.format_string("%d payroll rows with late or missing deferrals", late))
-        .otherwise("no late or missing deferral rows based on the current threshold"),
-        F.when(F.col("ids") != "", F.format_string("Deferral variances tied to IDs (e.g., %s)", F.col("ids"))),
-        F.format_string("overall run classified as %s risk", F.upper(risk)),
+        "; ",
+        F.format_string("%d deferral and %d loan amounts differ between payroll and recordkeeper", d, ln),
+        F.when(late > 0, F.format_string("%d participants were paid in late", late)).otherwise(F.lit("no deposit was late")),
+        F.when(F.col("ids") != "", F.format_string("differing deferrals include participants %s", F.col("ids"))),
+        F.format_string("risk of this run: %s", risk),
     )
     return one.select(F.concat(text, F.lit(".")).alias("narrative"))

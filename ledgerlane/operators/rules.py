@@ -107,14 +107,15 @@ def eligibility_drift(dates: DataFrame, rule: EligibilityRule, grace_days: int =
     return with_metadata(found)
 
 
-def _limit(year: Column, which: int) -> Column:
+def _limit(year: Column, which: int, limits: dict[int, tuple[int, int]]) -> Column:
     """The limit of a year; years without one use the latest."""
-    known = [F.when(year == y, F.lit(v[which])) for y, v in LIMITS.items()]
-    return F.coalesce(*known, F.lit(LIMITS[max(LIMITS)][which])).cast("decimal(18,2)")
+    known = [F.when(year == y, F.lit(v[which])) for y, v in limits.items()]
+    return F.coalesce(*known, F.lit(limits[max(limits)][which])).cast("decimal(18,2)")
 
 
-def deferral_totals(rows: DataFrame, plan_year: int | None = None) -> DataFrame:
-    """Per participant and year: base and catch-up totals, greatest age, limits and excess."""
+def deferral_totals(rows: DataFrame, plan_year: int | None = None, limits: dict[int, tuple[int, int]] = LIMITS) -> DataFrame:
+    """Per participant and year: base and catch-up totals, greatest age, limits (by year: base and
+    catch-up) and excess."""
     dated = rows.filter("employee_id is not null and pay_date is not null").withColumn("plan_year", F.year("pay_date"))
     if plan_year is not None:
         dated = dated.filter(F.col("plan_year") == plan_year)
@@ -127,7 +128,7 @@ def deferral_totals(rows: DataFrame, plan_year: int | None = None) -> DataFrame:
     eligible = F.coalesce(F.col("age") >= 50, F.lit(False)) | (F.col("total_catchup_deferrals") > 0)
     totals = totals.withColumns({
         "total_deferrals": money(F.col("total_base_deferrals") + F.col("total_catchup_deferrals")), "is_catchup_eligible": eligible,
-        "base_limit": _limit(year, 0), "catchup_limit": _limit(year, 1),
+        "base_limit": _limit(year, 0, limits), "catchup_limit": _limit(year, 1, limits),
     })
     allowed = money(F.col("base_limit") + F.when(F.col("is_catchup_eligible"), F.col("catchup_limit")).otherwise(F.lit(0)))
     return totals.withColumn("allowed_limit", allowed).withColumn(

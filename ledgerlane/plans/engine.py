@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlane.functions import fixed
 from ledgerlane.operators import integrity, issues, metrics, preflight, reconcile, rules, timing
 from ledgerlane.sources import catalogue, files, sinks, storage, workbook
 
@@ -35,6 +36,7 @@ class Config:
     eligibility_grace_days: int = 30
     eligibility: rules.EligibilityRule = rules.EligibilityRule()
     match: rules.MatchRule = rules.MatchRule()
+    limits: dict[int, tuple[int, int]] = field(default_factory=lambda: dict(fixed.LIMITS))  # by year: base and catch-up
     secure20: bool = True
     payroll_vendor: str | None = None
     rk_vendor: str | None = None
@@ -92,7 +94,7 @@ class Engine:
             dated = have & {"age", "dob"}
             rule("secure20", {"is_hce", "catchup_pretax", "catchup_roth", *([] if dated else ["dob"])}, lambda: rules.secure20(payroll))
         rule("eligibility", {"hire_date", "dob"}, lambda: rules.eligibility_drift(rules.eligibility_dates(payroll, payroll), c.eligibility, c.eligibility_grace_days))
-        rule("comp_402g", {"catchup_pretax", "catchup_roth"}, lambda: rules.deferral_excess(rules.deferral_totals(payroll, c.plan_year)))
+        rule("comp_402g", {"catchup_pretax", "catchup_roth"}, lambda: rules.deferral_excess(rules.deferral_totals(payroll, c.plan_year, c.limits)))
         rule("match", {"compensation", "er_match"}, lambda: rules.match_check(payroll.withColumn("deferral", payroll["pretax"] + payroll["roth"]), c.match))
         if {"termination_date", "employment_status"} <= have:
             out["post_termination_contributions"] = rules.post_termination(payroll, c.termination_grace_days)

@@ -290,17 +290,13 @@ add("summary_counts", lambda v: metrics.summary_counts(_joined(v)), _JOINED.rstr
 
 
 def _metrics_sql() -> str:
-    a, m, c = "Late Contributions", "Mismatches", "Coverage"
     late, left, right = "count(*) FILTER (late)", "count(*) FILTER (merge_status = 'left_only')", "count(*) FILTER (merge_status = 'right_only')"
-    rows = [
-        (a, "Late deferral rows", "Count of rows flagged as late for deferrals", late), (a, "Late loan rows", "Count of rows flagged as late for loans", late),
-        (a, "Unique employees with any late event", "Across deferrals and loans", "count(DISTINCT employee_id) FILTER (late)"), (a, "Max business-day lag (late rows only)", "", "max(lag) FILTER (late)"),
-        (a, "Average business-day lag (late rows only)", "", "round_even(avg(lag) FILTER (late), 2)"), (m, "Deferral mismatch rows", "Rows where payroll vs RK deferral amounts differ", "count(*) FILTER (mis_d)"),
-        (m, "Loan mismatch rows", "Rows where payroll vs RK loan amounts differ", "count(*) FILTER (mis_l)"), (m, "Unique employees with any mismatch", "", "count(DISTINCT employee_id) FILTER (mis_d OR mis_l)"),
-        (c, "Only-in-payroll deferral rows", "Payroll has row; RK is missing it (deferrals)", left), (c, "Only-in-recordkeeper deferral rows", "RK has row; payroll is missing it (deferrals)", right),
-        (c, "Only-in-payroll loan rows", "Payroll has row; RK is missing it (loans)", left), (c, "Only-in-recordkeeper loan rows", "RK has row; payroll is missing it (loans)", right),
+    values = [
+        late, late, "count(DISTINCT employee_id) FILTER (late)", "max(lag) FILTER (late)", "round_even(avg(lag) FILTER (late), 2)", "count(*) FILTER (mis_d)",
+        "count(*) FILTER (mis_l)", "count(DISTINCT employee_id) FILTER (mis_d OR mis_l)", left, right, left, right,
     ]
-    return _JOINED + " UNION ALL ".join(f"SELECT {quoted(x)} AS category, {quoted(y)} AS metric, {quoted(z)} AS notes, CAST({e} AS DOUBLE) AS value FROM g" for x, y, z, e in rows)
+    return _JOINED + " UNION ALL ".join(
+        f"SELECT {quoted(x)} AS category, {quoted(y)} AS metric, {quoted(z)} AS notes, CAST({e} AS DOUBLE) AS value FROM g" for (x, y, z), e in zip(fixed.METRICS, values, strict=True))
 
 
 add("compliance_metrics", lambda v: metrics.compliance_metrics(_joined(v)), _metrics_sql())
@@ -311,9 +307,9 @@ _BATCH_RISK = "CASE WHEN {d} > 100 OR {l} > 50 OR {t} > 50 THEN 'High' WHEN {d}
 add("run_risk_levels", lambda v: metrics.risk_levels(_joined(v), timing.summary(v("payroll"), v("rk"))), _RUN + f"""SELECT {_RUN_RISK} AS run_risk, CASE WHEN late_deferral_count > 0 THEN 'High'
 WHEN deferral_mismatch_count + loan_mismatch_count > 0 THEN 'Medium' ELSE 'Low' END AS narrative_risk, {_BATCH_RISK.format(d="deferral_mismatch_count", l="loan_mismatch_count", t="late_deferral_count")} AS batch_risk FROM c, s""")
 add("anomaly_narrative", lambda v: metrics.narrative(_joined(v), timing.summary(v("payroll"), v("rk")), metrics.sample_ids(reconcile.mismatches(reconcile.stream(_joined(v), "deferrals")))),
-    _RUN + f"""SELECT concat_ws(' – ', 'Flagged ' || deferral_mismatch_count || ' deferral mismatches and ' || loan_mismatch_count || ' loan mismatches', CASE WHEN late_deferral_count > 0 THEN
-late_deferral_count || ' payroll rows with late or missing deferrals' ELSE 'no late or missing deferral rows based on the current threshold' END, (SELECT 'Deferral variances tied to IDs (e.g., ' ||
-string_agg(employee_id, ', ' ORDER BY employee_id) || ')' FROM (SELECT DISTINCT employee_id FROM g WHERE mis_d ORDER BY employee_id LIMIT 3)), 'overall run classified as ' || upper({_RUN_RISK}) || ' risk') || '.' AS narrative FROM c, s""")
+    _RUN + f"""SELECT concat_ws('; ', deferral_mismatch_count || ' deferral and ' || loan_mismatch_count || ' loan amounts differ between payroll and recordkeeper', CASE WHEN late_deferral_count > 0 THEN
+late_deferral_count || ' participants were paid in late' ELSE 'no deposit was late' END, (SELECT 'differing deferrals include participants ' ||
+string_agg(employee_id, ', ' ORDER BY employee_id) FROM (SELECT DISTINCT employee_id FROM g WHERE mis_d ORDER BY employee_id LIMIT 3)), 'risk of this run: ' || {_RUN_RISK}) || '.' AS narrative FROM c, s""")
 add("sample_mismatch_ids", lambda v: metrics.sample_ids(reconcile.mismatches(reconcile.stream(_joined(v), "deferrals"))), _JOINED + "SELECT DISTINCT employee_id FROM g WHERE mis_d ORDER BY employee_id LIMIT 3")
 _BATCHES = view_sql("payroll", "rk") + """, p AS (SELECT batch_id, employee_id, sum(pretax + roth) AS deferral, sum(loan) AS loan, min(pay_date) AS pay_date FROM v_payroll GROUP BY batch_id, employee_id),
 r AS (SELECT batch_id, employee_id, sum(pretax + roth) AS deferral, sum(loan) AS loan, min(deposit_date) AS deposit_date FROM v_rk GROUP BY batch_id, employee_id), q AS (SELECT coalesce(p.batch_id, r.batch_id) AS batch_id,

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: list[str] = []
+_own: set[str] = set()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -30,17 +31,33 @@ def scratch(spark: SparkSession) -> str:
     return _local_scratch[0]
 
 
+def folder(spark: SparkSession) -> str:
+    """This program's own folder in the shared one; it goes when the program ends."""
+    path = f"{scratch(spark)}/ledgerlane/{spark.sparkContext.applicationId}"
+    if path not in _own:
+        fs, p = _at(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _own.add(path)
+    return path
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: lineage ends here, and a
-    lost executor loses nothing that was written."""
-    path = f"{scratch(df.sparkSession)}/ledgerlane/{uuid.uuid4().hex}"
+    lost executor loses nothing that was written. The table stays until the program ends or clear_scratch()."""
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes the shared folder's tables and models of all programs that use it; results that are read
-    from them must have been saved before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/ledgerlane")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes this program's tables in the shared folder; results that are read from them must have been
+    saved before."""
+    fs, p = _at(spark, folder(spark))
+    fs.delete(p, True)
+    _own.clear()

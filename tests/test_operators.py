@@ -109,7 +109,7 @@ def test_metrics(sides):
     values = {(x["category"], x["metric"]): x["value"] for x in metrics.compliance_metrics(both).collect()}
     assert len(values) == 12 and values["Late Contributions", "Max business-day lag (late rows only)"] == 11
     text = metrics.narrative(both, timing.summary(*sides), metrics.sample_ids(reconcile.mismatches(reconcile.stream(both, "deferrals")))).first()[0]
-    assert text == "Flagged 1 deferral mismatches and 1 loan mismatches – 1 payroll rows with late or missing deferrals – Deferral variances tied to IDs (e.g., 2) – overall run classified as HIGH risk."
+    assert text == "1 deferral and 1 loan amounts differ between payroll and recordkeeper; 1 participants were paid in late; differing deferrals include participants 2; risk of this run: High."
 
 
 def people(spark, rows):
@@ -136,6 +136,8 @@ def test_annual_limit(spark):
     rows = people(spark, [("a", 40, False, date(2024, 1, 5), 23000, "0.01", 0, 0), ("b", 55, False, date(2024, 1, 5), 30000, 0, 0, 0), ("c", 40, False, date(2023, 1, 5), 25000, 0, 1, 0), ("d", 40, False, date(1999, 1, 5), 23001, 0, 0, 0), ("e", 40, False, None, 90000, 0, 0, 0)])
     assert {k: float(r["excess_amount"]) for k, r in by(rules.deferral_excess(rules.deferral_totals(rows))).items()} == {"a": 0.01, "d": 1}
     assert set(by(rules.deferral_totals(rows, 2023))) == {"c"}
+    own = by(rules.deferral_totals(rows, limits={2024: (40000, 0), 2030: (50000, 0)}))
+    assert {k: float(r["base_limit"]) for k, r in own.items()} == {"a": 40000, "b": 40000, "c": 50000, "d": 50000}
 
 
 def test_eligibility(spark):
