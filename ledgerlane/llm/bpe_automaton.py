@@ -52,8 +52,8 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LOW_CLASSES = (r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0")
 _HIGH = re.compile(r"[^\x00-\xff]")
 #: Words kept by a worker, characters of text whose new words are learned together, words abreast,
-#: tokens sent back together.
-_CACHE, _TOGETHER, _ABREAST, _SENT = 1 << 16, 1 << 20, 1 << 14, 1 << 19
+#: tokens sent back together; bytes from which a word goes on its own; positions of it abreast.
+_CACHE, _TOGETHER, _ABREAST, _SENT, _LONG, _RUN = 1 << 16, 1 << 20, 1 << 14, 1 << 19, 256, 1 << 12
 
 
 def _byte_letters() -> dict[str, int]:
@@ -126,6 +126,8 @@ class Automaton:
     def _flat_labels(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The labels of pre-split words, one word after the other, and where each word's begin. All
         words advance together, position by position. Words are padded to the longest."""
+        if len(words) == 1 and len(words[0]) > _LONG:
+            return self._labels_of_one(words[0]), np.zeros(1, dtype=np.int64)
         trie = self._table()
         size = np.array([len(w) for w in words], dtype=np.int64)
         order = np.argsort(-size, kind="stable")  # the longest first
@@ -168,6 +170,39 @@ class Automaton:
         counts = np.bincount(word, minlength=len(words))
         return label[sequence], np.cumsum(counts) - counts
 
+    def _labels_of_one(self, word: bytes) -> np.ndarray:
+        """The labels of one long word. The tokens that begin at its positions do not depend on states, so
+        a run of positions walks the trie together; the arcs are then followed one by one in plain numbers."""
+        trie, text, n = self._table(), np.frombuffer(word, dtype=np.uint8), len(word)
+        state, group = self.state.tolist(), self.group.tolist()
+        barred, width = memoryview(np.ascontiguousarray(self.barred).reshape(-1)), self.barred.shape[1]
+        last = [0] * (n + 1)
+        for start in range(0, n, _RUN):
+            at = np.arange(start, min(start + _RUN, n))
+            node, depth, found = trie.roots[text[at]], 1, []
+            while len(at):
+                label = trie.ends[node]
+                good = label >= 0
+                found.append((at[good], at[good] + depth, label[good]))
+                on = at + depth < n
+                at, node = at[on], node[on]
+                node = trie.below(node, text[at + depth])
+                on = node >= 0
+                at, node, depth = at[on], node[on], depth + 1
+            begin, end, label = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(begin, kind="stable")
+            for i, j, arc in zip(begin[order].tolist(), end[order].tolist(), label[order].tolist(), strict=True):
+                if i:
+                    s = state[last[i]]
+                    if barred[group[arc] * width + (s >> 3)] & 128 >> (s & 7):
+                        continue
+                last[j] = arc
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at -= len(self.tokens[last[at]])
+        return np.array(out[::-1], dtype=np.int32)
+
     def _learn(self, words: list[str]) -> list[str]:
         """Each word's token ids in decimal, joined by commas. Words of one call are padded to the
         longest: pass like lengths."""

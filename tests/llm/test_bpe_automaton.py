@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -32,8 +33,21 @@ def test_ids_equal_the_librarys(library):
         assert automaton.bytes_of(",".join(parts).split(",") if parts else []).decode() == text
 
 
-def test_any_ordered_merges():
-    """Random small merge lists against applying the merges one after the other."""
+@pytest.mark.parametrize("letter", ["a", "=", "중", None])
+def test_a_megabyte_without_a_space(library, letter):
+    """Long words take seconds, and the library's ids."""
+    word = letter * (1_000_000 // len(letter.encode())) if letter else "".join(random.Random(5).choices("abcdefghiklmnoprstuéß", k=900_000))
+    began = time.time()
+    got = bpe_automaton.load(PATH).encode(word)
+    assert time.time() - began < 30
+    assert got == library.encode(word, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("long, run", [(256, 4096), (0, 3)])
+def test_any_ordered_merges(monkeypatch, long, run):
+    """Random small merge lists against applying the merges one after the other; words abreast and alone."""
+    monkeypatch.setattr(bpe_automaton, "_LONG", long)
+    monkeypatch.setattr(bpe_automaton, "_RUN", run)
     rng = random.Random(3)
     for _ in range(60):
         tokens, merges = [b"a", b"b", b"c"], []
@@ -45,7 +59,8 @@ def test_any_ordered_merges():
         ids = {bytes([b]): b for b in range(256)} | {a + b: 256 + i for i, (a, b) in enumerate(merges)}
         automaton = compile_merges(merges, ids, {})
         words = [bytes(rng.choices(b"abc", k=rng.randint(1, 14))) for _ in range(60)]
-        for word, labels in zip(words, automaton.labels(words), strict=True):
+        found = automaton.labels(words) if long else [automaton.labels([w])[0] for w in words]
+        for word, labels in zip(words, found, strict=True):
             parts = [bytes([b]) for b in word]
             for a, b in merges:
                 i = 0
