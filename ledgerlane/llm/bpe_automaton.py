@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import release_memory
+from ledgerlane.llm.common import release_memory, small_batches
 
 
 def _filled(letters: str, numbers: str, space: str) -> str:
@@ -365,6 +365,7 @@ def load(path: str) -> Automaton:
 def encoded(docs: DataFrame, vocabulary: str, spark: SparkSession, with_ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256, decoded_sha256, and on request token_ids. vocabulary is read on
     the driver; the compiled table (about 20 MB, bounded by the vocabulary) is broadcast."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(load(vocabulary))
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids]
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlane.sources.scratch import clear_scratch, materialize, scratch  # noqa: F401
+from ledgerlane.sources.scratch import clear_scratch, folder, materialize, scratch  # noqa: F401
 
 #: An ASCII word: what lies between spaces and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +33,14 @@ def lots(texts: list[str | None], most: int) -> list[list[int]]:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers 1,000 at a time, where the session doesn't say otherwise: batches of
+    Spark's own 10,000 stand several times in the memory of an executor and of its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def release_memory() -> None:
     """Hands freed memory back to the system. A Python worker outlives its task, and what its
     allocators keep would stand beside the next stage's own needs."""

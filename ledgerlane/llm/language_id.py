@@ -32,11 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import lots, release_memory
+from ledgerlane.llm.common import lots, release_memory, small_batches
 
 UNKNOWN = "und"
 BUCKET_BITS, SMOOTHING, SWITCH, SCRIPT_SHARE = 15, 0.5, 8.0, 0.01
 WORST = 1.5
+#: Languages that a model may have.
+MOST_LANGS = 400
 #: Characters of text labelled together, and characters whose trigrams are looked up together.
 _TOGETHER, _ABREAST = 4 << 20, 1 << 19
 
@@ -226,7 +228,12 @@ def viterbi(numbers: list[np.ndarray], scores: np.ndarray, switch: float) -> lis
 
 
 def train(labelled: DataFrame) -> Model:
-    """The model of labelled(lang, text); rows with a null lang or text are left out."""
+    """The model of labelled(lang, text); rows with a null lang or text are left out. The model grows
+    with the number of languages, so that more than MOST_LANGS are an error."""
+    small_batches(labelled.sparkSession)
+    many = labelled.select("lang").filter("lang is not null").distinct().limit(MOST_LANGS + 1).count()
+    if many > MOST_LANGS:
+        raise ValueError(f"lang has more than {MOST_LANGS} values: clean it first")
     counts = count_trigrams(labelled.filter("lang is not null and text is not null")).toArrow()
     langs = sorted(set(counts["lang"].to_pylist()))
     n = np.zeros(((1 << BUCKET_BITS) + N_SCRIPTS, len(langs)))
@@ -247,6 +254,7 @@ def train(labelled: DataFrame) -> Model:
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score, n_spans and fit."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, n_spans int, fit double")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import aside, back, materialize, release_memory
+from ledgerlane.llm.common import aside, back, materialize, release_memory, small_batches
 
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 #: Rules on words; limits on lines; the share of its words that a document must keep.
@@ -90,6 +90,7 @@ def facts(docs: DataFrame, host: str, *more: str) -> DataFrame:
         release_memory()
         return out
 
+    small_batches(docs.sparkSession)
     of = docs.select("doc_id", _host(host).alias("host_"), *more, found("text").alias("found"))
     return materialize(of.select(F.monotonically_increasing_id().alias("row_"), "doc_id", "host_", *more, "found.*"))
 

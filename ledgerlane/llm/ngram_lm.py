@@ -10,8 +10,9 @@ follows the word. Words with a large share of the corpus (and the start mark) ar
 buckets by the word that follows; what they have in each is added up in a second step, which also
 counts each word's distinct contexts. A bucket is one file of sorted arrays in the shared folder (a
 path that machines mount, since files are memory-mapped), written under a temporary name and renamed,
-so repeated tasks leave one copy. Keys are the 48 leading bits of a hash: among the few million n-grams
-of a bucket, one that doesn't occur is mistaken for one that does once in 10^8 times. A worker keeps
+so repeated tasks leave one copy. Words are known by all 64 bits of their hash. Keys of bigrams and
+trigrams, which only the model's score reads, are the 48 leading bits of theirs: among the few million
+n-grams of a bucket, one that doesn't occur is mistaken for one that does once in 10^8 times. A worker keeps
 a bounded number of maps open. To the driver come sums, the spread words, and how many words each of
 at most MOST_WORD_BUCKETS buckets of words has.
 
@@ -47,7 +48,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import release_memory, scratch
+from ledgerlane.llm.common import folder as own_folder
+from ledgerlane.llm.common import release_memory, small_batches
 
 #: Bytes of text a bucket stands for; tokens a task gathers before it counts and sends them; bytes of
 #: text scored together; a word is spread if it has more than this share of its bucket's tokens; maps
@@ -63,22 +65,26 @@ _SUMS = "bucket int, kind string, n int, key binary, value binary"
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, ...]:
-    """A number for each byte (capitals as small letters), whether it separates words, and powers of an
-    odd factor and of its inverse."""
-    factor = 0x9E3779B97F4A7C15
-    powers = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(_PIECE, x, dtype=np.uint64)]) for x in (factor, pow(factor, -1, 1 << 64))]
+    """A number for each byte (capitals as small letters), whether it separates words, and a factor for
+    each place in a word."""
     value = np.random.default_rng(42).integers(0, 1 << 64, 256, dtype=np.uint64)
     value[65:91] = value[97:123]
     space = np.zeros(256, dtype=bool)
     space[[32, *range(9, 14)]] = True
     value[space] = 0
-    return value, space, *powers
+    return value, space, _factors(2 * _PIECE)
+
+
+def _factors(n: int) -> np.ndarray:
+    """The first n of an endless row of random numbers, the same on every machine."""
+    return np.random.default_rng(43).integers(0, 1 << 64, n, dtype=np.uint64)
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some bytes, and where each word begins. A hash is a polynomial in the
-    word's bytes, modulo 2^64, got from one running sum; pieces end where words do."""
-    value, space, power, inverse = _tables()
+    """Hashes of the words of some bytes, and where each word begins. A hash is the sum of the bytes'
+    numbers times the factors of their places, modulo 2^64: the factors have no law, so that no pattern
+    in words makes them meet. One running sum gives all; pieces end where words do."""
+    value, space, factor = _tables()
     hashes, begin, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(data):
         end = at + _PIECE
@@ -86,12 +92,15 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             gap = _GAP.search(data, end)
             end = gap.start() if gap else len(data)
         x = np.frombuffer(data, dtype=np.uint8, count=min(end, len(data)) - at, offset=at)
-        if len(x) > len(power):  # a word longer than a piece
-            power, inverse = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), p[1], dtype=np.uint64)]) for p in (power, inverse))
+        if len(x) > len(factor):  # a word longer than a piece
+            factor = _factors(len(x))
         step = np.diff(np.concatenate([[True], space[x], [True]]).view(np.int8))
         starts, ends = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[x] * power[: len(x)], dtype=np.uint64)])
-        h = (sums[ends] - sums[starts]) * inverse[starts]
+        place = np.arange(len(x), dtype=np.int32)
+        place -= np.repeat(np.concatenate([[0], starts]).astype(np.int32), np.diff(np.concatenate([[0], starts, [len(x)]])))
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(value[x] * factor[place], out=sums[1:])
+        h = sums[ends] - sums[starts]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         hashes.append(h ^ (h >> np.uint64(32)))
@@ -258,12 +267,17 @@ def _valued(name: str, value: np.ndarray) -> dict[str, np.ndarray]:
     return {f"{name}-code": code.astype(np.min_scalar_type(max(len(first) - 1, 0))), f"{name}-table": value[first].astype(np.int64)}
 
 
-def keyed(name: str, key: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
-    """Sorted keys (below 2^48) with their values."""
+def halves(key: np.ndarray, low: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The leading 32 bits of keys and the rest, which has the bits of low."""
+    shift = np.uint64(8 * np.dtype(low).itemsize)
+    return (key >> shift).astype(np.uint32), (key & ((np.uint64(1) << shift) - np.uint64(1))).astype(low)
+
+
+def keyed(name: str, key: np.ndarray, value: np.ndarray, low: type = np.uint16) -> dict[str, np.ndarray]:
+    """Sorted keys (of 32 bits and those of low) with their values."""
     order = np.argsort(key)
-    key = key[order].astype(np.uint64)
-    split = {f"{name}-high": (key >> np.uint64(16)).astype(np.uint32), f"{name}-low": (key & np.uint64(0xFFFF)).astype(np.uint16)}
-    return split | _valued(name, value[order])
+    high, rest = halves(key[order].astype(np.uint64), low)
+    return {f"{name}-high": high, f"{name}-low": rest} | _valued(name, value[order])
 
 
 def _path(folder: str, kind: str, bucket: int) -> str:
@@ -354,7 +368,7 @@ class Maps:
             high, low = stored.get(f"{name}-high"), stored.get(f"{name}-low")
             if high is None or not len(high):
                 continue
-            want_high, want_low = (key[at] >> np.uint64(16)).astype(np.uint32), (key[at] & np.uint64(0xFFFF)).astype(np.uint16)
+            want_high, want_low = halves(key[at], low.dtype)
             place = np.minimum(np.searchsorted(high, want_high), len(high) - 1)
             same, there = high[place] == want_high, low[place]
             hit = same & (there == want_low)
@@ -380,7 +394,7 @@ class Maps:
         which don't occur one more."""
         number, n = np.full(len(hashes), int(self.firsts[-1]) + 1), np.zeros(len(hashes), dtype=np.int64)
         buckets = np.uint64(len(self.firsts) - 1)
-        for b, at, place in self.places("word", "word", (hashes % buckets).astype(np.int64), hashes >> np.uint64(16)):
+        for b, at, place in self.places("word", "word", (hashes % buckets).astype(np.int64), hashes):
             number[at] = self.firsts[b] + place
             stored = self.get("word", b)
             n[at] = stored["word-table"][stored["word-code"][place], 0]
@@ -479,10 +493,10 @@ def _wide(number: np.ndarray, spread: np.ndarray, start: int) -> np.ndarray:
 
 
 def mapped_folder(spark: SparkSession) -> str:
-    at = urlparse(scratch(spark))
+    at = urlparse(own_folder(spark))
     if at.scheme not in ("", "file"):
         raise ValueError("the model is memory-mapped: spark.checkpoint.dir must be a mounted path (file://)")
-    return f"{at.path}/ledgerlane/lm-{uuid.uuid4().hex}"
+    return f"{at.path}/lm-{uuid.uuid4().hex}"
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[str | None]:
@@ -494,6 +508,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
     """The model of docs(text), of order 2 or 3."""
     if order not in (2, 3):
         raise ValueError(f"order {order}: only 2 and 3 are built")
+    small_batches(spark)
     docs = docs.select("text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder, buckets = mapped_folder(spark), 1 + size // BUCKET_BYTES
@@ -505,11 +520,11 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
             hashes.sort()
             starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
             hashes, n = hashes[starts], np.diff(np.append(starts, len(hashes)))
-            yield pd.DataFrame(sums_for("word", _home(hashes, few), hashes >> np.uint64(16), n), columns=columns)
+            yield pd.DataFrame(sums_for("word", _home(hashes, few), hashes, n), columns=columns)
 
     def store_words(key: tuple, table: pa.Table) -> pa.Table:
         word, n = _added(table, "word", 1)
-        save(folder, "word", key[0].as_py(), keyed("word", word, n))
+        save(folder, "word", key[0].as_py(), keyed("word", word, n, np.uint32))
         return pa.table(
             {"b": [key[0].as_py()], "tokens": [int(n.sum())], "words": [len(n)], "often": [np.flatnonzero(n[:, 0] > often).tolist()]},
             schema=pa.schema([("b", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("often", pa.list_(pa.int64()))]),
@@ -559,6 +574,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
             parts.append(own)
             at += m
         word, number = np.unique(np.concatenate(lists), return_inverse=True)
+        number = number.astype(np.int32)
         v, w, u, n = np.concatenate(parts, axis=1)
         del parts, lists
         (v, w, u), n = grouped([number[v], number[w], number[u]], n.astype(np.int64))
@@ -622,6 +638,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int = 2) -> Model:
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")

@@ -39,6 +39,35 @@ def test_scores_match_brute_force(spark, make_docs, monkeypatch, bucket_bytes):
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
 
 
+def thue_morse(n, a, b):
+    word, other = a, b
+    while len(word) < n:
+        word, other = word + other, other + word
+    return word
+
+
+def test_patterned_words_are_told_apart(spark, make_docs):
+    """Two words of which polynomials modulo 2^64 make one, whatever their base; the other never occurs."""
+    pairs = [(thue_morse(n, a, b), thue_morse(n, b, a)) for n in (64, 1024, 4096) for a, b in (("a", "b"), ("x", "\u00e9"))]
+    for a, b in pairs:
+        h, begin = ngram_lm.word_hashes(f"{a} {b} {a}".encode())
+        assert h[0] == h[2] != h[1] and begin.tolist() == [0, len(a.encode()) + 1, len(a.encode()) + len(b.encode()) + 2]
+    model = train(spark, make_docs([(k, a) for k, (a, _) in enumerate(pairs)]))
+    assert model.vocabulary == len(pairs) + 1
+    got = scored(spark, make_docs([(k, f"{a} {b}") for k, (a, b) in enumerate(pairs)]), model).collect()
+    assert [r["n_known"] for r in got] == [2] * len(pairs)
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(2)
+    data = " ".join("".join(rng.choices("abcDE\u00fc", k=rng.choice([1, 3, 9, 200]))) + rng.choice(["", "\n\t ", "  "]) for _ in range(400)).encode()
+    whole = ngram_lm.word_hashes(data)
+    monkeypatch.setattr(ngram_lm, "_PIECE", 50)
+    assert all((a == b).all() for a, b in zip(whole, ngram_lm.word_hashes(data), strict=True))
+    words = data.decode().split()
+    assert len(set(whole[0].tolist())) == len({w.encode().lower() for w in words}) and len(whole[0]) == len(words)
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_probabilities_sum_to_one(spark, make_docs, order):
     """Over all words, the end and one word that doesn't occur, after contexts that were seen and not."""
