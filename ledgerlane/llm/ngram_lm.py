@@ -56,6 +56,8 @@ from ledgerlane.llm.common import release_memory, small_batches
 #: that a worker keeps open.
 BUCKET_BYTES, HELD, TOGETHER, SPREAD, OPEN = 16 << 20, 2 << 20, 8 << 20, 0.05, 256
 MOST_WORD_BUCKETS = 1 << 16
+#: Keys from which their first bits stand in a table instead of with each.
+MANY = 1 << 18
 #: Bytes hashed together. The hashes of the end and start marks.
 _PIECE, END, START = 1 << 19, 1, 2
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -274,12 +276,55 @@ def halves(key: np.ndarray, low: np.dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(name: str, key: np.ndarray, value: np.ndarray, low: type = np.uint16) -> dict[str, np.ndarray]:
-    """Sorted keys (of 32 bits and those of low) with their values."""
+    """Sorted keys (of 32 bits and those of low) with their values. Of many keys of 48 bits, which are spread
+    evenly, a table tells where those with the same first bits begin, a few each, and only the last 32 bits
+    or less of each are kept."""
     order = np.argsort(key)
-    high, rest = halves(key[order].astype(np.uint64), low)
+    key = key[order].astype(np.uint64)
+    if low is np.uint16 and len(key) >= MANY:
+        bits = max(16, len(key).bit_length() - 4)
+        first = np.bincount((key >> np.uint64(48 - bits)).astype(np.int64), minlength=1 << bits)
+        starts = np.concatenate([[0], np.cumsum(first)]).astype(np.uint32)
+        return {f"{name}-starts": starts, f"{name}-rest": (key & np.uint64((1 << 48 - bits) - 1)).astype(np.uint32)} | _valued(name, value[order])
+    high, rest = halves(key, low)
     return {f"{name}-high": high, f"{name}-low": rest} | _valued(name, value[order])
 
 
+def _in_run(stored: dict[str, np.ndarray], name: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is among those with its first bits, and where: a binary search of a few steps."""
+    starts, rest = stored[f"{name}-starts"], stored[f"{name}-rest"]
+    bits = (len(starts) - 1).bit_length() - 1
+    run, want = (key >> np.uint64(48 - bits)).astype(np.int64), (key & np.uint64((1 << 48 - bits) - 1)).astype(np.uint32)
+    place, end = starts[run].astype(np.int64), starts[run + 1].astype(np.int64)
+    upto, on = end.copy(), np.flatnonzero(place < end)
+    while len(on):
+        middle = (place[on] + upto[on]) >> 1
+        less = rest[middle] < want[on]
+        place[on[less]] = middle[less] + 1
+        upto[on[~less]] = middle[~less]
+        on = on[place[on] < upto[on]]
+    hit = place < end
+    hit[hit] = rest[place[hit]] == want[hit]
+    return hit, place
+
+
+def _in_all(stored: dict[str, np.ndarray], name: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is among all, and where."""
+    high, low = stored[f"{name}-high"], stored[f"{name}-low"]
+    want_high, want_low = halves(key, low.dtype)
+    place = np.minimum(np.searchsorted(high, want_high), len(high) - 1)
+    same, there = high[place] == want_high, low[place]
+    hit = same & (there == want_low)
+    late = np.flatnonzero(same & (there < want_low) & (place + 1 < len(high)))
+    while len(late):  # few keys share their leading 32 bits
+        place[late] += 1
+        now = place[late]
+        same, there = high[now] == want_high[late], low[now]
+        hit[late] = same & (there == want_low[late])
+        late = late[same & (there < want_low[late]) & (now + 1 < len(high))]
+    return hit, place
+
+
 def _path(folder: str, kind: str, bucket: int) -> str:
     return f"{folder}/{kind}-{bucket // 1000}/{bucket}"
 
@@ -365,20 +410,9 @@ class Maps:
         order = order[np.argsort(bucket[order], kind="stable")]
         for b, cut in _cuts(bucket[order]):
             stored, at = self.get(kind, b), order[cut]
-            high, low = stored.get(f"{name}-high"), stored.get(f"{name}-low")
-            if high is None or not len(high):
+            if not len(stored.get(f"{name}-code", ())):
                 continue
-            want_high, want_low = halves(key[at], low.dtype)
-            place = np.minimum(np.searchsorted(high, want_high), len(high) - 1)
-            same, there = high[place] == want_high, low[place]
-            hit = same & (there == want_low)
-            late = np.flatnonzero(same & (there < want_low) & (place + 1 < len(high)))
-            while len(late):  # few keys share their leading 32 bits
-                place[late] += 1
-                now = place[late]
-                same, there = high[now] == want_high[late], low[now]
-                hit[late] = same & (there == want_low[late])
-                late = late[same & (there < want_low[late]) & (now + 1 < len(high))]
+            hit, place = (_in_run if f"{name}-starts" in stored else _in_all)(stored, name, key[at])
             yield b, at[hit], place[hit]
 
     def look_up(self, kind: str, name: str, width: int, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:

@@ -39,6 +39,23 @@ def test_scores_match_brute_force(spark, make_docs, monkeypatch, bucket_bytes):
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 3_000, 400_000])
+@pytest.mark.parametrize("many", [1, 1 << 18])
+def test_keys_are_found(tmp_path, monkeypatch, n, many):
+    monkeypatch.setattr(ngram_lm, "MANY", many)
+    rng = np.random.default_rng(n)
+    key = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+    if n > 5:
+        key = np.unique(np.concatenate([key, key[:50] + np.uint64(1), np.array([0, (1 << 48) - 1], np.uint64)]))
+    value = rng.integers(1, 9, len(key))
+    mixed_up = rng.permutation(len(key))
+    ngram_lm.save(str(tmp_path), "gram", 0, ngram_lm.keyed("x", key[mixed_up], value[mixed_up]))
+    asked = np.concatenate([key, key + np.uint64(1), rng.integers(0, 1 << 48, 1_000, dtype=np.uint64)]) & np.uint64((1 << 48) - 1)
+    known = dict(zip(key.tolist(), value.tolist(), strict=True))
+    got = ngram_lm.Maps(str(tmp_path), np.zeros(1)).look_up("gram", "x", 1, np.zeros(len(asked), dtype=np.int64), asked)[:, 0]
+    assert got.tolist() == [known.get(k, 0) for k in asked.tolist()]
+
+
 def thue_morse(n, a, b):
     word, other = a, b
     while len(word) < n:
