@@ -134,7 +134,7 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, least: float = 0.95) -
 def _links(classes: DataFrame, n: int, width: int, least: float) -> DataFrame:
     """(rep, links, root) per vector and pair of blocks in which it has links."""
     radius = float(np.sqrt(2 - 2 * least)) + 1e-9
-    some = sample(classes, "first_id", width)
+    some = sample(classes, "first_id", width, n)
     some = some / np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-300)
     mean = some.mean(axis=0) if len(some) else np.zeros(width)
     centred = some - mean

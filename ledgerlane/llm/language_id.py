@@ -40,7 +40,7 @@ WORST = 1.5
 #: Languages that a model may have.
 MOST_LANGS = 400
 #: Characters of text labelled together, and characters whose trigrams are looked up together.
-_TOGETHER, _ABREAST = 4 << 20, 1 << 19
+_TOGETHER, _ABREAST = 1 << 20, 1 << 19
 
 #: First code points of ranges, and the script of each (0: letters of no listed script).
 SCRIPT_RANGES = (

@@ -8,8 +8,10 @@ enough is measured: 200 sampled rows are compared with all rows, and the number
 have found 97 % of their neighbours.
 
 Every row is indexed. Cells are dealt to shards, large cells over several; a query goes to the
-shards that hold its cells and brings back its best few from each. A task reads a shard's entries,
-whose number is bounded, and then lets the shard's queries stream past them, so that it never holds
+shards that hold its cells, with its vector and the least sum that its walk has come to, from which a
+shard tells which of its cells are meant, and brings back its best few from each. A shard holds as many
+entries as memory allows, so that a query is copied seldom next to what it is compared with. A task
+reads a shard's entries and then lets the shard's queries stream past them, so that it never holds
 more than a batch of these. Of equal vectors only the smallest ids can be among the nearest, so k + 1
 of them are kept (a limit that loses no result), and equal queries are searched once. Cell sizes
 (K x K numbers, bounded) are known to all workers. Vectors keep the input's element type throughout.
@@ -35,9 +37,12 @@ from pyspark.sql import functions as F
 from ledgerlane.llm.common import materialize
 from ledgerlane.llm.vectors import matrix, sample, usable
 
-#: Entries a cell and a shard should have; centroids a half; rounds of k-means; entries of a cell that
-#: stay together; queries scored together; queries of the calibration.
-A_CELL, A_SHARD, MOST_CENTROIDS, ROUNDS, A_PART, TOGETHER, CALIBRATING = 50, 4_096, 1024, 10, 2_048, 256, 200
+#: Entries a cell should have; numbers that a shard may hold, and shards that a table of any size is
+#: spread over; centroids a half; rounds of k-means; entries of a cell that stay together; queries scored
+#: together; queries of the calibration.
+A_CELL, A_SHARD, SPREAD, MOST_CENTROIDS, ROUNDS, A_PART, TOGETHER, CALIBRATING = 50, 4 << 20, 24, 1024, 10, 2_048, 256, 200
+#: For the rounding of sums that are computed in other batches.
+SLACK = 1e-9
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -74,13 +79,14 @@ class Index:
         a, b = self.halves(x)
         return nearest(a, self.first) * len(self.second) + nearest(b, self.second)
 
-    def visit(self, a: np.ndarray, b: np.ndarray, enough: int) -> list[int]:
-        """Cells from the largest sum of a query's two inner products on, until they hold enough."""
+    def visit(self, a: np.ndarray, b: np.ndarray, enough: int) -> tuple[list[int], float]:
+        """Cells from the largest sum of a query's two inner products on, until they hold enough, and the
+        least of their sums."""
         i_of, j_of = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
         a, b = a[i_of], b[j_of]
-        heap, seen, out, n = [(-(a[0] + b[0]), 0, 0)], {(0, 0)}, [], 0
+        heap, seen, out, n, least = [(-(a[0] + b[0]), 0, 0)], {(0, 0)}, [], 0, 0.0
         while heap and n < enough:
-            _, i, j = heapq.heappop(heap)
+            least, i, j = heapq.heappop(heap)
             cell = int(i_of[i]) * len(j_of) + int(j_of[j])
             if self.sizes[cell]:
                 out.append(cell)
@@ -89,7 +95,7 @@ class Index:
                 if u < len(a) and v < len(b) and (u, v) not in seen:
                     seen.add((u, v))
                     heapq.heappush(heap, (-(a[u] + b[v]), u, v))
-        return out
+        return out, -least
 
     def parts(self, cell: np.ndarray) -> np.ndarray:
         return 1 + self.sizes[cell] // A_PART
@@ -101,24 +107,27 @@ class Index:
 class _Shard:
     """The entries of a shard, by cell."""
 
-    def __init__(self, parts: list[pd.DataFrame], width: int) -> None:
+    def __init__(self, parts: list[pd.DataFrame], index: Index) -> None:
         entries = pd.concat(parts).sort_values(["cell", "id"])
-        self.x, self.ids, self.cells = matrix(entries["embedding"], width), entries["id"].to_numpy(), entries["cell"].to_numpy()
-
-    def best(self, queries: pd.DataFrame, width: int, k: int) -> Iterator[pd.DataFrame]:
-        """The k best entries for each query, ties to the smaller id."""
-        x, ids, cells = self.x, self.ids, self.cells
-        for start in range(0, len(queries), TOGETHER):
-            some = queries.iloc[start : start + TOGETHER]
-            q, wanted = matrix(some["embedding"], width), some["cells"].to_list()
-            asked, owner = np.concatenate(wanted), np.repeat(np.arange(len(some)), [len(w) for w in wanted])
-            order = np.argsort(asked, kind="stable")
-            asked, owner = asked[order], owner[order]
+        self.index, self.x, self.ids = index, matrix(entries["embedding"], index.width), entries["id"].to_numpy()
+        self.cells, starts = np.unique(entries["cell"].to_numpy(), return_index=True)
+        self.cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(entries)], strict=True)]
+
+    def best(self, queries: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+        """The k best entries of the cells that each query means, ties to the smaller id."""
+        x, ids, index = self.x, self.ids, self.index
+        first, second = np.divmod(self.cells, len(index.second))
+        step = max(1, min(TOGETHER, A_SHARD // max(len(x), 1)))  # so that their scores fit in memory
+        for start in range(0, len(queries), step):
+            some = queries.iloc[start : start + step]
+            q = matrix(some["embedding"], index.width)
+            a, b = (h @ c.T for h, c in zip(index.halves(q), (index.first, index.second), strict=True))
+            meant = a[:, first] + b[:, second] >= some["bar"].to_numpy()[:, None]
             scores = np.full((len(some), len(x)), -np.inf)
-            for cell in np.unique(asked).tolist():
-                s, e = np.searchsorted(cells, [cell, cell + 1])
-                who = owner[slice(*np.searchsorted(asked, [cell, cell + 1]))]
-                scores[who, s:e] = q[who] @ x[s:e].T
+            for (s, e), on in zip(self.cuts, meant.T, strict=True):
+                who = np.flatnonzero(on)
+                if len(who):
+                    scores[who, s:e] = q[who] @ x[s:e].T
             least = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(some), -np.inf)
             row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
             best = np.lexsort((ids[col], -scores[row, col], row))
@@ -139,7 +148,9 @@ def _runs(batch: pd.DataFrame) -> Iterator[tuple[int, bool, pd.DataFrame]]:
 def enough_for(index: Index, celled: DataFrame, k: int, recall: float) -> int:
     """How many entries a walk must gather: for a bounded sample of rows as queries, compared with all
     rows, the number that reaches `recall` of their k nearest."""
-    some = celled.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATING).toArrow()
+    hashed, rows = F.xxhash64("vec_id", F.lit(1)), int(index.sizes.sum())
+    few = celled.filter(hashed < F.lit(int(-(2**63) + 2.0**64 * 8 * CALIBRATING / rows))) if rows > 16 * CALIBRATING else celled
+    some = few.orderBy(hashed, "vec_id").limit(CALIBRATING).toArrow()
     x = matrix(pd.Series(some["embedding"].to_pylist(), dtype=object), index.width)
     own = some["vec_id"].to_numpy()
     if not len(x):
@@ -177,7 +188,7 @@ def search(spark: SparkSession, rows: DataFrame, queries: Column, k: int = 20, r
     kept = materialize(good.withColumn("nth", F.row_number().over(copies)).filter(F.col("nth") <= k + 1).drop("nth"))
     n, width = kept.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     width = width or 2
-    some = sample(kept, "vec_id", width)
+    some = sample(kept, "vec_id", width, n)
     centroids, half = min(MOST_CENTROIDS, max(8, int((n / A_CELL) ** 0.5))), (width + 1) // 2
     index = Index(k_means(some[:, :half], centroids), k_means(some[:, half:], centroids), width)
 
@@ -189,7 +200,7 @@ def search(spark: SparkSession, rows: DataFrame, queries: Column, k: int = 20, r
     counts = celled.groupBy("cell").count().toArrow()
     index.sizes = np.zeros(centroids * centroids, dtype=np.int64)
     index.sizes[counts["cell"].to_numpy()] = counts["count"].to_numpy()
-    index.shards = 1 + n // A_SHARD
+    index.shards = max(1 + n * width // A_SHARD, min(SPREAD, 1 + n // TOGETHER))
     enough = max(k + 1, enough_for(index, celled, k, recall))
     shared = spark.sparkContext.broadcast(index)
 
@@ -205,22 +216,23 @@ def search(spark: SparkSession, rows: DataFrame, queries: Column, k: int = 20, r
             a, b = (h @ c.T for h, c in zip(i.halves(matrix(batch["embedding"], width)), (i.first, i.second), strict=True))
             out = []
             for k_, (qid, vector) in enumerate(zip(batch["qid"], batch["embedding"], strict=True)):
-                cells = np.array(i.visit(a[k_], b[k_], enough), dtype=np.int64)
+                cells, least = i.visit(a[k_], b[k_], enough)
+                cells, bar = np.array(cells, dtype=np.int64), least - SLACK * (1 + abs(least))
                 times = i.parts(cells)
                 cells, part = np.repeat(cells, times), np.concatenate([np.arange(t) for t in times]) if len(times) else times
                 shard = i.shard(cells, part)
-                out += [(int(s), qid, vector, np.unique(cells[shard == s]).astype(np.int32)) for s in np.unique(shard)]
-            yield pd.DataFrame(out, columns=["shard", "qid", "embedding", "cells"])
+                out += [(s, qid, vector, bar) for s in np.unique(shard).tolist()]
+            yield pd.DataFrame(out, columns=["shard", "qid", "embedding", "bar"])
 
     asked = good.filter(queries)
     distinct = materialize(asked.groupBy("embedding").agg(F.min("vec_id").alias("qid")))
     kind = kept.schema["embedding"].dataType.simpleString()
     dealt = distinct.repartition(1 + distinct.count() // TOGETHER, "qid")
-    wanted = dealt.mapInPandas(walk, f"shard int, qid long, embedding {kind}, cells array<int>")
+    wanted = dealt.mapInPandas(walk, f"shard int, qid long, embedding {kind}, bar double")
     entries = celled.select(
-        shard_of("cell", "vec_id").alias("shard"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "embedding", "cell", F.lit(None).cast("array<int>").alias("cells")
+        shard_of("cell", "vec_id").alias("shard"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "embedding", "cell", F.lit(None).cast("double").alias("bar")
     )
-    questions = wanted.select("shard", F.lit(1).alias("asks"), F.col("qid").alias("id"), "embedding", F.lit(0).alias("cell"), "cells")
+    questions = wanted.select("shard", F.lit(1).alias("asks"), F.col("qid").alias("id"), "embedding", F.lit(0).alias("cell"), "bar")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, at, shard = [], None, None
@@ -231,8 +243,8 @@ def search(spark: SparkSession, rows: DataFrame, queries: Column, k: int = 20, r
                 if not asks:
                     parts.append(some)
                 elif parts:
-                    shard = shard or _Shard(parts, width)
-                    yield from shard.best(some, width, k + 1)
+                    shard = shard or _Shard(parts, shared.value)
+                    yield from shard.best(some, k + 1)
 
     streamed = entries.union(questions).repartition(index.shards, "shard").sortWithinPartitions("shard", "asks")
     found = streamed.mapInPandas(find, "qid long, vec_id long, score double")

@@ -1,7 +1,11 @@
+import bisect
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
+import xxhash
 
 from ledgerlane.llm.hilbert_shards import bits_for, hilbert_index, shards
 
@@ -29,6 +33,59 @@ def test_law_slots_and_sizes(make_docs):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got) == want
 
 
+def skilling(point, bits):
+    """The Hilbert index of one point, bit by bit (the transform's usual form)."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        p = q - 1
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= p
+            else:
+                t = (x[0] ^ x[i]) & p
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def brute(rows, n_shards):
+    """Every row's shard and slot, by sorting all rows by their curve index."""
+    name = lambda s: 42 if s is None else (h := xxhash.xxh64_intdigest(s.encode(), seed=42)) - (h >> 63 << 64)
+    bits, n = bits_for(n_shards), len(rows)
+    whole = []
+    for doc_id, text, lang, source in rows:
+        data = (text or "").encode()
+        whole.append((doc_id, len(data) + 1, zlib.crc32(data), (name(source), name(lang), len(data) + 1, -(1 << 63) if doc_id is None else doc_id)))
+    cells = 1 << bits
+    # Quantiles come as doubles, so that cuts between hashes are rounded.
+    cuts = [[int(float(sorted(r[3][d] for r in whole)[-(-n * i // cells) - 1])) for i in range(1, cells)] for d in range(4)]
+    cell = lambda r: skilling([bisect.bisect_left(c, v) for c, v in zip(cuts, r[3], strict=True)], bits)
+    order = sorted(whole, key=lambda r: (cell(r), r[0] is not None, r[0] or 0, r[2], r[1]))
+    out = []
+    for rank, r in enumerate(order):
+        shard = rank * n_shards // n
+        out.append((r[0], r[1], r[2], shard, rank - -(-shard * n // n_shards)))
+    return out
+
+
+@pytest.mark.parametrize("n, n_shards", [(700, 8), (333, 5), (60, 64), (3, 8)])
+def test_rows_lie_as_sorting_all_by_the_curve_puts_them(make_docs, n, n_shards):
+    rng = random.Random(n)
+    rows = [(rng.choice([None, i, i * 1000]), rng.choice([None, "", "w " * rng.randint(1, 400)]), rng.choice(["en", "de", None]), rng.choice(["hot", "hot", f"s{rng.randint(0, 9)}", None])) for i in range(n)]
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in shards(make_docs(rows), n_shards).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows, n_shards), key=str)
+
+
 def test_few_rows_and_none(make_docs):
     docs = make_docs([(1, "a"), (2, "b")])
     assert sorted(r["slot"] for r in shards(docs).collect()) == [0, 0]

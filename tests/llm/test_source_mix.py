@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -36,6 +37,31 @@ def test_targets_and_taken(make_docs):
         assert abs(taken - target) <= max(60, 0.02 * size)
 
 
+def brute_taken(data, starts):
+    """What is taken of every row, by laying the rows of each source in a line."""
+    size = lambda t: len(WORDS.findall(t or ""))
+    total = Counter()
+    for _, t, _, s in data:
+        total[s] += size(t)
+    target, out = brute.targets(dict(total)), []
+    for s in total:
+        line = sorted(((math.floor(math.log2(size(t) + 1) * 8), i is not None, i or 0, size(t)) for i, t, _, x in data if x == s))
+        each = target[s] / total[s] if total[s] else 0.0
+        for rank, (_, there, i, n) in enumerate(line):
+            copies = min(3, math.floor((rank + 1) * each + starts[s]) - math.floor(rank * each + starts[s]))
+            out.append((i if there else None, n, total[s], copies * n))
+    return out
+
+
+@pytest.mark.parametrize("seed", [42, 7])
+def test_plan_matches_brute_force(spark, make_docs, seed):
+    data = [(i, t, lang, s) for i, t, lang, s in rows()]
+    keys = {s: "-" if s is None else f"={s}" for *_, s in data}
+    starts = {s: spark.range(1).select(F.lit(k).alias("source_key_")).select(offset(seed)).first()[0] for s, k in keys.items()}
+    got = [(r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in mix_plan(make_docs(data), seed).collect()]
+    assert sorted(got, key=str) == sorted(brute_taken(data, starts), key=str)
+
+
 def test_reruns_agree(make_docs):
     docs = make_docs(rows())
     key = lambda df: sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in df.collect())

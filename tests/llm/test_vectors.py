@@ -113,14 +113,14 @@ def test_walk_visits_cells_by_falling_sum():
     rng = random.Random(0)
     a, b = (np.array([rng.random() for _ in range(6)]) for _ in range(2))
     index = Index(np.zeros((6, 1)), np.zeros((6, 1)), 2, np.ones(36, dtype=int))
-    sums = [a[c // 6] + b[c % 6] for c in index.visit(a, b, 36)]
+    sums = [a[c // 6] + b[c % 6] for c in index.visit(a, b, 36)[0]]
     assert len(sums) == 36 and sums == sorted(sums, reverse=True)
 
 
 def test_search_keeps_doubles_and_counts_repeated_rows_and_ids_once(spark, monkeypatch):
     """Against brute force on the original doubles, over several shards; an id with two vectors stands
     for the smaller one."""
-    monkeypatch.setattr(multi_index, "A_SHARD", 64)
+    monkeypatch.setattr(multi_index, "A_SHARD", 1024)
     monkeypatch.setattr(multi_index, "TOGETHER", 7)
     rng = np.random.default_rng(5)
     m = rng.normal(size=(300, 9)) + 1e-9 * rng.normal(size=(300, 9))
