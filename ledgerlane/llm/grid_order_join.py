@@ -32,6 +32,9 @@ from ledgerlane.llm.common import connected_components, materialize
 from ledgerlane.llm.vectors import matrix, sample, usable
 
 LEADING, BLOCK, LEAF = 6, 4096, 256
+#: Of many vectors a block holds up to this many numbers, as soon as there would be this many blocks: a
+#: block is copied to each of its partners, so that larger blocks make fewer copies of each vector.
+MOST_NUMBERS, BLOCKS = 2 << 20, 64
 #: Pairs of blocks are looked up by cells of this many leading dimensions, of this side at least.
 KEYED, SIDE = 3, 0.125
 
@@ -141,6 +144,7 @@ def _links(classes: DataFrame, n: int, width: int, least: float) -> DataFrame:
     turn = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :LEADING]
     turn = np.pad(turn, ((0, 0), (0, LEADING - turn.shape[1])))
 
+    block = max(BLOCK, min(MOST_NUMBERS // width, n // BLOCKS))
     names = [f"c{k}" for k in range(LEADING)] + [f"p{k}" for k in range(LEADING)]
 
     @F.pandas_udf(", ".join(f"{x} {'int' if x[0] == 'c' else 'double'}" for x in names))
@@ -151,12 +155,12 @@ def _links(classes: DataFrame, n: int, width: int, least: float) -> DataFrame:
 
     placed = classes.select("rep", "copies", "embedding", place("embedding").alias("at")).select("rep", "copies", "embedding", "at.*")
     order = [*names[:LEADING], "p0", "rep"]
-    parts = materialize(placed.repartitionByRange(1 + n // BLOCK, *order).withColumn("part", F.spark_partition_id()))
+    parts = materialize(placed.repartitionByRange(1 + n // block, *order).withColumn("part", F.spark_partition_id()))
     # Neighbouring parts that are small become one block.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     blocks = parts.groupBy("part").agg(
         F.count(F.lit(1)).alias("n"), *[f(f"p{k}").alias(f"{s}{k}") for k in range(LEADING) for s, f in (("lo", F.min), ("hi", F.max))]
-    ).withColumn("block", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BLOCK))
+    ).withColumn("block", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / block))
     of = materialize(blocks)
     boxes = of.groupBy("block").agg(*[f(f"{s}{k}").alias(f"{s}{k}") for k in range(LEADING) for s, f in (("lo", F.min), ("hi", F.max))])
     inside = parts.join(of.select("part", "block"), "part").drop("part")
