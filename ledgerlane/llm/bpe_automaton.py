@@ -53,7 +53,7 @@ _LOW_CLASSES = (r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\
 _HIGH = re.compile(r"[^\x00-\xff]")
 #: Words kept by a worker, characters of text whose new words are learned together, words abreast,
 #: tokens sent back together; bytes from which a word goes on its own; positions of it abreast.
-_CACHE, _TOGETHER, _ABREAST, _SENT, _LONG, _RUN = 1 << 16, 1 << 20, 1 << 14, 1 << 19, 256, 1 << 12
+_CACHE, _TOGETHER, _ABREAST, _SENT, _LONG, _RUN = 1 << 15, 1 << 19, 1 << 14, 1 << 19, 256, 1 << 12
 
 
 def _byte_letters() -> dict[str, int]:
@@ -391,5 +391,6 @@ def encoded(docs: DataFrame, vocabulary: str, spark: SparkSession, with_ids: boo
         automaton.forget()
         release_memory()
 
+    run = run.asNondeterministic()  # once a text, also where a filter reads the result
     keep = [c for c in docs.columns if c not in (*names, "bpe_")]
     return docs.select(*keep, run(docs["text"]).alias("bpe_")).select(*keep, "bpe_.*")

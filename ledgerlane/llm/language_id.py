@@ -263,6 +263,8 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame(shared.value.predict(list(batch)), columns=["lang_pred", "score", "n_spans", "fit"])
             release_memory()
 
+    # Else a filter on what is found would find it a second time, in workers of its own.
+    run = run.asNondeterministic()
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "n_spans", "fit", "lid_")]
     return docs.select(*keep, run(docs["text"]).alias("lid_")).select(*keep, "lid_.*")
 

@@ -682,6 +682,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             release_memory()
         shared.value.maps.files.clear()
 
+    run = run.asNondeterministic()  # once a text, also where a filter reads the result
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "lm_")
     keep = [c for c in docs.columns if c not in new]
     return docs.select(*keep, run(docs["text"]).alias("lm_")).select(

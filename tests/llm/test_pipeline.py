@@ -86,3 +86,11 @@ def test_components_of_a_chain_a_star_and_a_pair(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(201, 200), (200, 201), (300, 300)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)} | {200: 200, 201: 200}
+
+
+def test_no_stage_runs_python_twice_on_a_text(spark, make_docs):
+    """A filter on what a Python function finds must not call it again."""
+    docs = make_docs([(1, "some text in a language", "en", "s")], clash=False)
+    for name, stage in corpus_pipeline.STAGES:
+        plan = stage(spark, docs, None)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") <= 1, name
