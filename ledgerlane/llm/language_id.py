@@ -41,6 +41,8 @@ WORST = 1.5
 MOST_LANGS = 400
 #: Characters of text labelled together, and characters whose trigrams are looked up together.
 _TOGETHER, _ABREAST = 1 << 20, 1 << 19
+#: Words of a chunk, all of which are labelled abreast.
+_CHUNK = 256
 
 #: First code points of ranges, and the script of each (0: letters of no listed script).
 SCRIPT_RANGES = (
@@ -190,41 +192,84 @@ class Model:
 
 
 def viterbi(numbers: list[np.ndarray], scores: np.ndarray, switch: float) -> list[np.ndarray]:
-    """The best path of each sequence, where a change of label costs `switch`; all sequences advance
-    together, the longest first, one position at a time."""
-    order = sorted(range(len(numbers)), key=lambda k: -len(numbers[k]))
-    size = np.array([len(numbers[k]) for k in order])
-    longest = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(longest), side="left")  # sequences longer than t
-    place = np.concatenate([[0], np.cumsum(active)])
-    # Words in order of position, then of sequence.
-    flat = np.concatenate([numbers[k] for k in order]) if longest else np.zeros(0, np.int32)
-    position = np.concatenate([np.arange(s) for s in size]) if longest else np.zeros(0, np.int64)
-    flat = flat[np.argsort(position, kind="stable")]
-    back = np.zeros((len(flat), scores.shape[1]), dtype=np.int16)
-    labels = np.arange(scores.shape[1], dtype=np.int16)
-    best = np.zeros((len(order), scores.shape[1]), dtype=np.float32)
-    for t in range(longest):
-        m, at = active[t], slice(place[t], place[t + 1])
-        now = scores[flat[at]]
-        if t:
-            held = best[:m]
-            top = held.argmax(axis=1)
-            jump = held[np.arange(m), top][:, None] - switch
-            stay = held >= jump
-            back[at] = np.where(stay, labels, top[:, None])
-            now = now + np.where(stay, held, jump)
-        best[:m] = now - now.max(axis=1, keepdims=True)
-    path = np.zeros(len(flat), dtype=np.int32)
-    here = best.argmax(axis=1)
-    for t in range(longest - 1, -1, -1):
-        m, at = active[t], slice(place[t], place[t + 1])
-        path[at] = here[:m]
-        here[:m] = back[at][np.arange(m), here[:m]]
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(numbers)
-    for row, k in enumerate(order):
-        out[k] = path[place[: size[row]] + row]
-    return out
+    """The best path of each sequence, where a change of label costs `switch`.
+
+    Sequences are cut into chunks that all advance together, one position at a time. A chunk first
+    runs from a state that knows nothing, then again from its predecessor's last state, until both runs
+    have left every other label for the same one: from there on they agree. Most do after a few words. What
+    is then still open goes from chunk to chunk, so that a word is looked at three times at most."""
+    sizes = np.array([len(x) for x in numbers], dtype=np.int64)
+    behind = np.cumsum(sizes)
+    n, langs = int(sizes.sum()), scores.shape[1]
+    if not n:
+        return [np.zeros(0, np.int32) for _ in numbers]
+    flat = np.concatenate(numbers)
+    times = -(-sizes // _CHUNK)
+    owner = np.repeat(np.arange(len(sizes)), times)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+    begin = np.repeat(behind - sizes, times) + nth * _CHUNK
+    end = np.minimum(begin + _CHUNK, behind[owner])
+    follows = np.append(nth > 0, False)  # whether a chunk goes on where the one before it ends
+    labels, cost = np.arange(langs, dtype=np.int16), np.float32(switch)
+    back, path = np.zeros((n, langs), dtype=np.int16), np.zeros(n, dtype=np.int32)
+    first, last = (np.zeros((len(owner), langs), dtype=np.float32) for _ in range(2))  # states, the best at 0
+
+    def forward(on: np.ndarray, again: bool) -> None:
+        state, at = first[on], begin[on]
+        while len(on):
+            top = state.argmax(axis=1).astype(np.int16)[:, None]
+            stay = state >= -cost
+            came = np.where(stay, labels, top)
+            met = again & (came == top).all(axis=1) & (back[at] == top).all(axis=1)
+            back[at] = came
+            state = scores[flat[at]] + np.where(stay, state, -cost)
+            state -= state.max(axis=1, keepdims=True)
+            at = at + 1
+            done = at == end[on]
+            if done.any():
+                last[on[done]] = state[done]
+            go = ~(done | met)
+            if not go.all():
+                on, at, state = on[go], at[go], state[go]
+
+    def trace(on: np.ndarray, here: np.ndarray, again: bool) -> None:
+        at = end[on] - 1
+        while len(on):
+            go = (at > begin[on]) & ~(again & (path[at] == here))
+            path[at] = here
+            here = back[at, here]
+            at = at - 1
+            if not go.all():
+                on, at, here = on[go], at[go], here[go]
+
+    chunks = np.arange(len(owner))
+    forward(chunks, again=False)
+    open_ = np.zeros(len(owner) + 1, dtype=bool)
+    done, whole = chunks, True
+    while True:
+        after = done[follows[done + 1]] + 1
+        open_[after] = (first[after] != last[after - 1]).any(axis=1)
+        done = np.flatnonzero(open_)
+        if not len(done):
+            break
+        if not whole:  # the first of each sequence, whose beginning is certain
+            done = done[np.unique(owner[done], return_index=True)[1]]
+        first[done], open_[done], whole = last[done - 1], False, False
+        forward(done, again=True)
+
+    trace(chunks, last.argmax(axis=1), again=False)
+    done, whole = chunks, True
+    while True:
+        before = done[follows[done]] - 1
+        open_[before] = path[end[before] - 1] != back[end[before], path[end[before]]]
+        done = np.flatnonzero(open_)
+        if not len(done):
+            break
+        if not whole:  # the last of each sequence, whose end is certain
+            done = done[::-1][np.unique(owner[done][::-1], return_index=True)[1]]
+        open_[done], whole = False, False
+        trace(done, back[end[done], path[end[done]]], again=True)
+    return np.split(path, behind[:-1])
 
 
 def train(labelled: DataFrame) -> Model:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from ledgerlane.llm import language_id
 from ledgerlane.llm.language_id import BUCKET_BITS, SMOOTHING, SWITCH, UNKNOWN, identify, label_spans, train, trigrams, viterbi, words_of
 from ledgerlane.llm.queries import op2_language_id
 
@@ -39,6 +40,36 @@ def test_viterbi_is_the_best_path():
         assert cost(path) == pytest.approx(best, abs=1e-4)
 
 
+def plain_viterbi(scores, switch):
+    """One word after the other."""
+    state, back = np.zeros(scores.shape[1], np.float32), []
+    for now in scores:
+        top = int(state.argmax())
+        stay = state >= -np.float32(switch)
+        back.append(np.where(stay, np.arange(len(now)), top))
+        state = now + np.where(stay, state, -np.float32(switch))
+        state = state - state.max()
+    path = [int(state.argmax())]
+    for came in back[:0:-1]:
+        path.append(int(came[path[-1]]))
+    return path[::-1] if len(scores) else []
+
+
+@pytest.mark.parametrize("scale", [0.0, 0.3, 3.0, 20.0])
+@pytest.mark.parametrize("chunk", [1, 2, 7, 256])
+def test_chunks_do_not_change_paths(monkeypatch, chunk, scale):
+    monkeypatch.setattr(language_id, "_CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    for labels in (1, 2, 5):
+        sizes = [*rng.integers(0, 60, 6).tolist(), 0, 1, 700]
+        scores = np.round(rng.standard_normal((sum(sizes), labels)) * scale, 1).astype(np.float32)
+        scores[rng.random(len(scores)) < 0.3] = 0
+        ends = np.cumsum(sizes)
+        got = viterbi([np.arange(e - s, e) for s, e in zip(sizes, ends, strict=True)], scores, SWITCH)
+        assert [p.tolist() for p in got] == [plain_viterbi(scores[e - s : e], SWITCH) for s, e in zip(sizes, ends, strict=True)]
+    assert viterbi([], scores, SWITCH) == []
+
+
 def test_held_out_accuracy(spark, make_docs, model):
     rows = [(i, t, lang) for lang, words in (("en", EN), ("de", DE), ("ru", RU)) for i, t in enumerate(sentences(words, 20, 9))]
     got = identify(spark, make_docs(rows), model).collect()
